@@ -1,0 +1 @@
+"""operators of the upper-air weather library."""

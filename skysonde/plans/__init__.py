@@ -1,0 +1 @@
+"""plans of the upper-air weather library."""

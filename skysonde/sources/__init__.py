@@ -1,0 +1 @@
+"""sources of the upper-air weather library."""
