@@ -252,3 +252,21 @@ def modes_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(bds == "50", b50).alias("bds50"),
         F.when(bds == "60", b60).alias("bds60"),
     )
+
+
+def modes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw Mode S text lines: proper ones, short ones, padded ones and noise."""
+    kind = _mod(6)
+
+    def digits(width: int) -> Column:
+        return F.lpad(F.hex(F.col("event_id")), width, "8")
+
+    line = (
+        F.when(kind == 0, digits(28))
+        .when(kind == 1, F.concat(F.lit("*"), digits(22), F.lit(";")))
+        .when(kind == 2, F.concat(F.lit("*"), digits(28), F.lit(";")))
+        .when(kind == 3, F.concat(F.lit("*"), digits(14), F.lit(";")))
+        .when(kind == 4, F.concat(F.lit("  *"), digits(28), F.lit("; ")))
+        .otherwise("")
+    )
+    return events(spark, sf_dir).select(F.col("event_id").alias("seq"), line.alias("line"))

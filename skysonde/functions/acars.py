@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skysonde.functions.staging import computed_once
+
 # --- Fixed values: message formats ---------------------------------------
 # Position report, all fields joined, and the form with a gap before the speed.
 WN_JOINED = r"WN(\d{5})([EW])(\d{5,6})\d{6}P?(\d{5})([MP-])(\d{2})(\d{3})(\d{2,3})"
@@ -133,24 +135,21 @@ def level_weather(text: Column) -> Column:
 def with_weather_text(df: DataFrame, text: str = "msg_text") -> DataFrame:
     """Add `weather` (struct) and `format` from the text column.
 
-    Formats are tried in the order WN, PNTAF, flight level.  The captured groups
-    are a projection of their own so that each pattern runs once per row.
+    Formats are tried in the order WN, PNTAF, flight level.  Each pattern runs
+    once per row.
     """
     t = F.col(text)
-    staged = df.withColumns({"_wn": wn_fields(t), "_pntaf": pntaf_fields(t)})
-    parsed = staged.withColumns(
-        {
-            "_wn": wn_weather(F.col("_wn")),
-            "_pntaf": pntaf_weather(F.col("_pntaf")),
-            "_fl": level_weather(t),
-        }
+    matched = computed_once(
+        df, _wn=wn_fields(t), _pntaf=pntaf_fields(t), _fl=level_weather(t)
+    )
+    read = computed_once(
+        matched, _wn=wn_weather(F.col("_wn")), _pntaf=pntaf_weather(F.col("_pntaf"))
     )
     level_only = F.when(F.col("_fl.altitude_ft") != 0, F.col("_fl"))
-    return parsed.withColumns(
-        {
-            "weather": F.coalesce(F.col("_wn"), F.col("_pntaf"), level_only),
-            "format": F.when(F.col("_wn").isNotNull(), "wn")
-            .when(F.col("_pntaf").isNotNull(), "pntaf")
-            .when(level_only.isNotNull(), "fl"),
-        }
+    return computed_once(
+        read,
+        weather=F.coalesce(F.col("_wn"), F.col("_pntaf"), level_only),
+        format=F.when(F.col("_wn").isNotNull(), "wn")
+        .when(F.col("_pntaf").isNotNull(), "pntaf")
+        .when(level_only.isNotNull(), "fl"),
     ).drop("_wn", "_pntaf", "_fl")

@@ -76,6 +76,11 @@ def _write(grid: DataFrame, path: str, overwrite: str) -> None:
     )
 
 
+def replace_days(grid: DataFrame, path: str) -> None:
+    """Replace the stored days that `grid` has rows for; others stay as they are."""
+    _write(grid, path, "dynamic")
+
+
 def rebuild_grid(observations: DataFrame, spec: GridSpec, path: str) -> None:
     write_grid(representative_grid(observations, spec), path)
 
@@ -97,7 +102,7 @@ def refresh_grid(observations: DataFrame, spec: GridSpec, path: str, now: Column
     recent = observations.where(
         F.col("time").cast("timestamp") >= first_day.cast("timestamp")
     )
-    _write(representative_grid(recent, spec), path, "dynamic")
+    replace_days(representative_grid(recent, spec), path)
 
 
 def refresh_all(

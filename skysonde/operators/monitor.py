@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysonde import settings as S
+from skysonde.functions.staging import computed_once
 from skysonde.functions.timebins import age_seconds, micros
 from skysonde.sources.messages import message_kind
 
@@ -245,36 +246,31 @@ def clamp_ranges(ranges: DataFrame, observations: DataFrame) -> DataFrame:
     minutes.  `adjusted` tells that something moved, `valid` that start <= end.
     """
     extent = data_range(observations).select(F.struct("earliest", "latest")).scalar()
-    minute = lambda c: F.date_trunc("minute", c).cast("timestamp_ntz")
-    cut = (
-        ranges.withColumn("_d", extent)
-        .withColumns({"_s": minute(F.col("start")), "_e": minute(F.col("end"))})
-        .withColumns(
-            {
-                "_late": F.coalesce(F.col("_e") > F.col("_d.latest"), F.lit(False)),
-                "_early": F.coalesce(F.col("_s") < F.col("_d.earliest"), F.lit(False)),
-            }
-        )
-        .withColumns(
-            {
-                "_e": F.when(F.col("_late"), minute(F.col("_d.latest"))).otherwise(F.col("_e")),
-                "_s": F.when(F.col("_early"), minute(F.col("_d.earliest"))).otherwise(
-                    F.col("_s")
-                ),
-            }
-        )
+    d = F.col("_d")
+
+    def minute(time: Column) -> Column:
+        return F.date_trunc("minute", time).cast("timestamp_ntz")
+
+    asked = computed_once(
+        ranges, _d=extent, _s=minute(F.col("start")), _e=minute(F.col("end"))
+    )
+    late = F.coalesce(F.col("_e") > d["latest"], F.lit(False))
+    early = F.coalesce(F.col("_s") < d["earliest"], F.lit(False))
+    cut = computed_once(
+        asked,
+        _cut=late | early,
+        _s=F.when(early, minute(d["earliest"])).otherwise(F.col("_s")),
+        _e=F.when(late, minute(d["latest"])).otherwise(F.col("_e")),
     )
     back = F.col("_e") - F.make_dt_interval(secs=F.col("keep_seconds"))
-    usable = F.coalesce(back >= F.col("_d.earliest"), F.lit(False))
-    return (
-        cut.withColumns({"_usable": usable, "_back": minute(back)})
-        .withColumn("_moved", F.col("_usable") & (F.col("_back") != F.col("_s")))
-        .withColumn("_start", F.when(F.col("_usable"), F.col("_back")).otherwise(F.col("_s")))
-        .select(
-            *ranges.columns,
-            F.col("_start").alias("clamped_start"),
-            F.col("_e").alias("clamped_end"),
-            (F.col("_late") | F.col("_early") | F.col("_moved")).alias("adjusted"),
-            (F.col("_start") <= F.col("_e")).alias("valid"),
-        )
+    kept = computed_once(
+        cut, _back=F.when(F.coalesce(back >= d["earliest"], F.lit(False)), minute(back))
+    )
+    begin = F.coalesce("_back", "_s")
+    return kept.select(
+        *ranges.columns,
+        begin.alias("clamped_start"),
+        F.col("_e").alias("clamped_end"),
+        (F.col("_cut") | (begin != F.col("_s"))).alias("adjusted"),
+        (begin <= F.col("_e")).alias("valid"),
     )

@@ -3,19 +3,22 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skysonde.functions.acars import with_weather_text
 from skysonde.functions.units import feet_to_metres
 from skysonde.operators.asof import fill_altitude_by_order, report_observations
 from skysonde.operators.filters import drop_absurd_temperature, is_valid_observation
 from skysonde.operators.outliers import latest_history, without_outliers
 from skysonde.operators.pairing import aircraft_state, replay_observations
 from skysonde.operators.running import SLICE_WIDTH
+from skysonde.sources.storage import materialized
 from skysonde.sources.messages import acars_reports, parse_datalink, xid_reports
 
 
 def replay_positions(messages: DataFrame, docs: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
     """Position history of a replay: Mode S positions and callsigns, and XID reports.
 
-    A callsign row repeats the position the aircraft was last seen at.
+    A callsign row repeats the position the aircraft was last seen at; an XID
+    counts only in a message without weather text.
     """
     state = aircraft_state(messages, width)
     fed = F.col("altitude_ft").isNotNull() | (
@@ -30,8 +33,11 @@ def replay_positions(messages: DataFrame, docs: DataFrame, width: int = SLICE_WI
         F.col("last_lat").alias("latitude"),
         F.col("last_lon").alias("longitude"),
     )
+    silent = with_weather_text(
+        docs.withColumn("msg_text", F.col("doc.vdl2.avlc.acars.msg_text"))
+    ).where(F.col("weather").isNull())
     xid = (
-        xid_reports(docs)
+        xid_reports(silent)
         .where(F.col("altitude_ft") != 0)
         .select(
             "seq",
@@ -55,19 +61,20 @@ def replay(
 ) -> DataFrame:
     """Observations of both methods.  `seq` must run on from the messages to the lines.
 
-    Mode S rows of a replay carry no trusted time and sort last.
+    Mode S rows of a replay carry no trusted time and sort last.  The position
+    history and the merged rows are read several times each and are therefore
+    written to the shared folder once.
     """
     docs = parse_datalink(lines)
-    reports = fill_altitude_by_order(
-        acars_reports(docs), replay_positions(messages, docs, width)
-    )
+    positions = materialized(replay_positions(messages, docs, width), "positions")
+    reports = fill_altitude_by_order(acars_reports(docs), positions)
     merged = merge_observations(
         replay_observations(messages, width).withColumn("time", F.lit(None).cast("timestamp_ntz")),
         report_observations(reports, live=False),
     ).where(is_valid_observation())
-    clean = drop_absurd_temperature(merged)
     if not outliers:
         return merged
+    clean = materialized(drop_absurd_temperature(merged), "replay")
     return without_outliers(clean, latest_history(clean), rounds)
 
 

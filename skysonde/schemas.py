@@ -73,7 +73,7 @@ VDL2_LINES = T.StructType(
 
 # One datalink document.  `value` of a parameter is kept as text: only the
 # location parameter is an object, others may be anything.
-DATALINK = T.StructType.fromDDL(
+DATALINK = (
     "vdl2 struct<"
     "t: struct<sec: bigint, usec: bigint>,"
     "avlc: struct<"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from skysonde import schemas
 from skysonde.functions.acars import with_weather_text
 from skysonde.functions.identifiers import strip_callsign
+from skysonde.functions.staging import computed_once
 
 MIN_MESSAGE_DIGITS = 22
 
@@ -78,7 +79,7 @@ def usable_fields(messages: DataFrame) -> DataFrame:
 
 def parse_datalink(lines: DataFrame, line: str = "line") -> DataFrame:
     """JSON lines as a `doc` struct; broken JSON and non-objects are dropped."""
-    parsed = lines.withColumn("doc", F.from_json(F.col(line), schemas.DATALINK))
+    parsed = computed_once(lines, doc=F.from_json(F.col(line), schemas.DATALINK))
     return parsed.where(F.col("doc.vdl2").isNotNull()).drop(line)
 
 
@@ -98,7 +99,7 @@ def xid_reports(docs: DataFrame) -> DataFrame:
     params = F.col("doc.vdl2.avlc.xid.vdl_params")
     first = F.get(F.filter(params, lambda p: p["name"] == "ac_location"), 0)
     return (
-        docs.withColumn("_location", F.from_json(first["value"], schemas.AC_LOCATION))
+        computed_once(docs, _location=F.from_json(first["value"], schemas.AC_LOCATION))
         .withColumn("icao", datalink_icao())
         .where(F.col("icao").isNotNull() & F.col("_location.alt").isNotNull())
         .select(

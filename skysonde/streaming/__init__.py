@@ -1 +1 @@
-"""streaming of the upper-air weather library."""
+"""Streaming jobs of the upper-air weather library."""
