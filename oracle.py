@@ -123,7 +123,7 @@ docs AS (
 
 _HEAD = r"WN(\d{5})([EW])(\d{5,6})\d{6}P?(\d{5})([MP-])(\d{2})"
 _WN1, _WN2 = _HEAD + r"(\d{3})(\d{2,3})", _HEAD + r"(\d{3})\s+(\d{2,3})"
-_PN = r"([NS])(\d{5})([EW])(\d{6})(\d{6})(\d{3})"
+_PN = r"([NS])(\d{5})([EW])(\d{6})\d{6}(\d{3})"
 _PN1, _PN2 = _PN + r"([MP-])(\d{2})(\d{3})\s+(\d{2})", _PN + r"([MP])(\d{2})(\d{3})(\d{2,3})"
 
 
@@ -136,7 +136,9 @@ def _group(text: str, first: str, second: str, n: int) -> str:
 
 _FLT = r"FL\d{3}\s*[/\s]?\s*([MP-])(\d{2})"
 _WNG = ", ".join(f"{_group('wn_line', _WN1, _WN2, n)} AS w{n}" for n in range(1, 9))
-_PNG = ", ".join(f"{_group('txt', _PN1, _PN2, n)} AS p{n}" for n in range(1, 11))
+_PNG = ", ".join(
+    f"{_group('txt', _PN1, _PN2, n)} AS p{n if n < 5 else n + 1}" for n in range(1, 10)
+)
 
 
 def _signed(sign: str, digits: str) -> str:
@@ -266,13 +268,13 @@ def _circ(a: str, b: str) -> str:
     return f"least(abs({a} - {b}), 360e0 - abs({a} - {b}))"
 
 
-def put(name: str, ctes: list[str], source: str, columns: str, doubles: str = "") -> None:
-    """Register a statement; `doubles` are rounded to six places and never negative zero."""
+def put(name: str, ctes: list[str], source: str, columns: str, doubles: str = "", places: int = 6) -> None:
+    """Register a statement; `doubles` are rounded to `places` and never negative zero."""
     rounded = []
     for item in [d.strip() for d in doubles.split("|") if d.strip()]:
         expr, _, alias = item.rpartition(" AS ")
         expr, alias = (expr, alias) if expr else (alias, alias)
-        rounded.append(f"round({expr}, 6) + 0e0 AS {alias}")
+        rounded.append(f"round({expr}, {places}) + 0e0 AS {alias}")
     picked = ", ".join([c for c in [columns.strip()] if c] + rounded)
     head = "WITH RECURSIVE " + ", ".join(ctes) + " " if ctes else ""
     ORACLES[name] = f"{head}SELECT {picked} FROM {source}"
@@ -533,14 +535,14 @@ put("j9_cross_source_discrepancies", [OBS, _PAIRS], "bad", "modes_obs_id, vdl2_o
 _HIST = """
 judged AS (SELECT * FROM obs WHERE altitude IS NOT NULL AND temperature >= -100),
 hist AS (SELECT * FROM {rows} WHERE altitude IS NOT NULL AND temperature > -100 ORDER BY time DESC, obs_id DESC LIMIT 30000),
-ranked AS (SELECT *, row_number() OVER (ORDER BY altitude, obs_id) AS at,
+ranked AS (SELECT *, row_number() OVER (ORDER BY altitude, obs_id) AS rank_no,
     altitude + lead(altitude, 200) OVER (ORDER BY altitude, obs_id) AS twice FROM hist),
 runs AS (SELECT *, avg(temperature) OVER r AS mean_t, stddev_pop(temperature) OVER r AS std_t, count(*) OVER r AS kn
-  FROM ranked WINDOW r AS (ORDER BY at ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING)),
-passed AS (SELECT max(at) AS at, twice FROM ranked WHERE twice IS NOT NULL GROUP BY twice),
-placed AS (SELECT j.*, coalesce(p.at, 0) + 1 AS run FROM judged j ASOF LEFT JOIN passed p ON 2 * j.altitude > p.twice),
-near AS (SELECT p.*, mean_t, std_t, kn FROM placed p JOIN runs r ON r.at = p.run)"""
-put("j10_altitude_neighbours", [OBS, _HIST.format(rows="judged")], "near", "obs_id, kn AS neighbours", "mean_t AS mean_temperature")
+  FROM ranked WINDOW r AS (ORDER BY rank_no ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING)),
+passed AS (SELECT max(rank_no) AS rank_no, twice FROM ranked WHERE twice IS NOT NULL GROUP BY twice),
+placed AS (SELECT j.*, coalesce(p.rank_no, 0) + 1 AS run FROM judged j ASOF LEFT JOIN passed p ON 2 * j.altitude > p.twice),
+near AS (SELECT p.*, mean_t, std_t, kn FROM placed p JOIN runs r ON r.rank_no = p.run)"""
+put("j10_altitude_neighbours", [OBS, _HIST.format(rows="judged")], "near", "obs_id, kn AS neighbours", "mean_t AS mean_temperature", 9)
 
 # --- aggregations ------------------------------------------------------------------------------------
 put("a1_data_range", [OBS], "obs", "min(time) AS earliest, max(time) AS latest, count(*) AS count")
@@ -610,11 +612,11 @@ anchors AS (
 bins AS (SELECT s.band, s.a, avg(p.temperature) AS mean_temperature, count(*) AS n
   FROM anchors s JOIN pts p ON p.band = s.band AND p.t BETWEEN s.a AND s.a + 1799971200 GROUP BY s.band, s.a)"""
 _SCOLS = "band, make_timestamp(a) AS bin_start, n, make_timestamp(a + 899985600) AS bin_centre"
-put("a14_anchored_bins", [OBS, FIT, _BANDS, _SERIES.format(time="time", rows="fit")], "bins", _SCOLS, "mean_temperature")
+put("a14_anchored_bins", [OBS, FIT, _BANDS, _SERIES.format(time="time", rows="fit")], "bins", _SCOLS, "mean_temperature", 9)
 put("a15_temperature_regression", [OBS, _HIST.format(rows="obs")], "hist", "count(*) AS n",
     "regr_slope(temperature, altitude) AS slope | regr_intercept(temperature, altitude) AS intercept")
 put("a16_neighbour_deviation", [OBS, _HIST.format(rows="judged")], "near", "obs_id",
-    "mean_t AS mean_temperature | std_t AS std_temperature")
+    "mean_t AS mean_temperature | std_t AS std_temperature", 9)
 put("a17_outlier_flags", [OBS, _HIST.format(rows="obs"),
     "line AS (SELECT regr_slope(temperature, altitude) AS s, regr_intercept(temperature, altitude) AS i FROM hist)",
     """v AS (SELECT *, abs(temperature - (s * altitude + i)) AS residual, abs(temperature - mean_t) AS dev FROM near, line)"""],
@@ -692,12 +694,12 @@ placed AS (SELECT (epoch_us(time) - t0) * {nodes - 1}e0 / (t1 - t0) AS u, altitu
     temperature AS z FROM {rows}, ext WHERE epoch_us(time) BETWEEN t0 AND t1 AND altitude BETWEEN 0 AND {top}),
 shared AS (SELECT (floor(u + 0.5e0) - p)::INTEGER AS i, (floor(v + 0.5e0) - q)::INTEGER AS j, u, v, z
   FROM placed, range(-2, 3) a(p), range(-2, 3) b(q)),
-fitted AS (SELECT i, j, CASE WHEN count(*) >= 3 AND var_pop(u) * var_pop(v) - pow(covar_pop(u, v), 2) > 1e-6 THEN
-    avg(z) - (covar_pop(u, z) * var_pop(v) - covar_pop(v, z) * covar_pop(u, v))
-        / (var_pop(u) * var_pop(v) - pow(covar_pop(u, v), 2)) * (avg(u) - i)
-      - (covar_pop(v, z) * var_pop(u) - covar_pop(u, z) * covar_pop(u, v))
-        / (var_pop(u) * var_pop(v) - pow(covar_pop(u, v), 2)) * (avg(v) - j) END AS value
+moments AS (SELECT i, j, count(*) AS n, avg(u) - i AS mu, avg(v) - j AS mv, avg(z) AS mz, var_pop(u) AS uu,
+    var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, z) AS uz, covar_pop(v, z) AS vz
   FROM shared WHERE i BETWEEN 0 AND {nodes - 1} AND j BETWEEN 0 AND {alts - 1} GROUP BY i, j),
+fitted AS (SELECT i, j, mz - (uz * vv - vz * uv) / (uu * vv - uv * uv) * mu - (vz * uu - uz * uv) / (uu * vv - uv * uv) * mv AS value
+  FROM moments WHERE n >= 3 AND uu * vv - uv * uv > 1e-2
+    AND (mu * mu * vv - 2 * mu * mv * uv + mv * mv * uu) / (uu * vv - uv * uv) <= 8),
 {_mesh(nodes, alts, top)},
 surf AS (SELECT m.*, value FROM mesh m LEFT JOIN fitted f ON f.i = m.i AND f.j = m.j)"""
 
@@ -750,7 +752,7 @@ put("v4_contour_3d", [*_V, _VEXT, _surface("g", 60, 60, 13000), _iso(-80, 30, 10
     "i, j, edge, lvl AS level", _ISOC)
 put("v5_density", _V, "g", "", "altitude | temperature")
 put("v6_heatmap", _VS, "surf", "i, j", "mesh_day | mesh_altitude | value")
-put("v7_temperature", [*_V, _BANDS, _SERIES.format(time="time", rows="g")], "bins", _SCOLS, "mean_temperature")
+put("v7_temperature", [*_V, _BANDS, _SERIES.format(time="time", rows="g")], "bins", _SCOLS, "mean_temperature", 9)
 _GF = _WF.format(low="", step=200, last=63).replace("FROM fit", "FROM g")
 put("v8_wind_direction", [*_V, _GF, "s AS (SELECT *, sqrt(wind_x * wind_x + wind_y * wind_y) AS wind_speed FROM field)"], "s",
     "time_bin, alt_bin, altitude_bin",

@@ -45,19 +45,24 @@ NOW = "2024-01-30 12:34:56"
 PERIOD = ("2024-01-05 00:10:00", "2024-01-25 12:50:00")
 
 
-def query(name: str) -> Callable[[Query], Query]:
+# Means of temperatures are decimals of seven places; cutting those at six would
+# leave the last digit to the order of summation.
+MEAN_PLACES = 9
+
+
+def query(name: str, places: int = 6) -> Callable[[Query], Query]:
     def register(make: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: tidy(make(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: tidy(make(spark, sf_dir), places)
         return make
 
     return register
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles rounded to six places (and never negative zero), for comparison."""
+def tidy(df: DataFrame, places: int) -> DataFrame:
+    """Doubles rounded (and never negative zero), for comparison."""
     return df.select(
         *[
-            (F.round(F.col(c), 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
+            (F.round(F.col(c), places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -639,7 +644,7 @@ def _judged(spark, sf):
     return filters.drop_absurd_temperature(obs(spark, sf).where(F.col("altitude").isNotNull()))
 
 
-@query("j10_altitude_neighbours")
+@query("j10_altitude_neighbours", MEAN_PLACES)
 def _(spark, sf):
     rows = _judged(spark, sf)
     return outliers.neighbour_statistics(rows, outliers.latest_history(rows)).select(
@@ -744,7 +749,7 @@ def _(spark, sf):
     return profile.hodograph(filters.windy_rows(_measures(spark, sf)))
 
 
-@query("a14_anchored_bins")
+@query("a14_anchored_bins", MEAN_PLACES)
 def _(spark, sf):
     return series.anchored_bins(filters.band_rows(_measures(spark, sf)), "band", "temperature")
 
@@ -754,7 +759,7 @@ def _(spark, sf):
     return outliers.regression(outliers.latest_history(obs(spark, sf)))
 
 
-@query("a16_neighbour_deviation")
+@query("a16_neighbour_deviation", MEAN_PLACES)
 def _(spark, sf):
     rows = _judged(spark, sf)
     return outliers.neighbour_statistics(rows, outliers.latest_history(rows)).select(
@@ -1055,7 +1060,8 @@ def _request(spark, sf, **options):
 
 
 def _view(number: int, name: str) -> None:
-    query(f"v{number}_{name}")(lambda spark, sf: views.view(name, _request(spark, sf)))
+    places = MEAN_PLACES if name == "temperature" else 6
+    query(f"v{number}_{name}", places)(lambda spark, sf: views.view(name, _request(spark, sf)))
 
 
 for _number, _name in enumerate(views.VIEWS, 1):

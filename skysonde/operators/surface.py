@@ -13,8 +13,10 @@ from skysonde.functions.timebins import micros
 
 # Nodes within this many mesh steps share their observations with a node.
 REACH = 2
-# A node whose points lie on a line, relative to their spread, has no plane.
-SINGULAR = 1e-6
+# Points that (nearly) lie on a line, in mesh steps, have no plane.
+SINGULAR = 1e-2
+# A node this far from its points, in squared deviations, lies outside their support.
+SUPPORT = 8.0
 
 
 def altitude_nodes(nodes: int, limited: bool) -> int:
@@ -150,11 +152,13 @@ def temperature_surface(
     det = cuu * cvv - cuv * cuv
     slope_u = (cuz * cvv - cvz * cuv) / det
     slope_v = (cvz * cuu - cuz * cuv) / det
+    distance = (mu * mu * cvv - 2 * mu * mv * cuv + mv * mv * cuu) / det
+    solid = (F.col("n") >= 3) & (det > F.lit(SINGULAR))
     fitted = sums.select(
         "i",
         "j",
         F.when(
-            (F.col("n") >= 3) & (det > F.lit(SINGULAR)), mz - slope_u * mu - slope_v * mv
+            solid & F.when(solid, distance <= SUPPORT), mz - slope_u * mu - slope_v * mv
         ).alias("value"),
     )
     return regular_mesh(extent, nodes, limited).join(fitted, ["i", "j"], "left")
@@ -180,13 +184,13 @@ def isotherms(surface: DataFrame, limited: bool = False, step: int | None = None
     both = edges(along_time, "time").unionByName(edges(along_altitude, "altitude"))
     va, vb = F.col("a.value"), F.col("b.value")
     bottom, top = F.least(va, vb), F.greatest(va, vb)
-    first = F.greatest(F.ceil(bottom / by), F.lit(low // by))
-    last = F.least(F.ceil(top / by) - 1, F.lit(high // by))
+    first = F.greatest(F.ceil(bottom / by), F.lit(low // by).cast("long"))
+    last = F.least(F.ceil(top / by) - 1, F.lit(high // by).cast("long"))
     crossed = (
         both.where(va.isNotNull() & vb.isNotNull() & (va != vb))
         .withColumns({"_first": first, "_last": last})
         .where(F.col("_first") <= F.col("_last"))
-        .withColumn("level", F.explode(F.sequence("_first", "_last")) * by)
+        .withColumn("level", F.explode(F.sequence(F.col("_first") * by, F.col("_last") * by, F.lit(by).cast("long"))))
     )
     share = (F.col("level") - va) / (vb - va)
 

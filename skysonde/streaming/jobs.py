@@ -119,8 +119,9 @@ def store_stream(
         spark = batch.sparkSession
         rows = batch.withColumn("batch_id", F.lit(batch_id))
         fresh = _not_stored(spark, rows, path, batch_id)
-        good = accept_batch(spark, fresh.where(storable()), path) if filter_outliers else fresh
-        bad = fresh.where(~storable())
+        good, bad = fresh.where(storable()), fresh.where(~storable())
+        if filter_outliers:
+            good = accept_batch(spark, good, path)
         store_batch(good.unionByName(bad), path, quarantine)
 
     return _start(observations, each, checkpoint, available_now)
