@@ -31,7 +31,7 @@ from skysonde.operators import (
 from skysonde.plans import replay, views
 from skysonde.sources import exports, landing, messages, tables
 from skysonde.streaming import fragments, jobs
-from skysonde.sources.storage import fresh_folder
+from skysonde.sources.storage import fresh_folder, materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1049,12 +1049,16 @@ def _(spark, sf):
 
 
 def _request(spark, sf, **options):
-    """All thirty days of the driver events, which the half-hour grid serves."""
+    """All thirty days of the driver events, which the half-hour grid serves.
+
+    Grids are stored tables: it is built and stored here, then read by the view.
+    """
+    stored = materialized(_half(spark, sf), "half-hour")
     return views.Request(
         obs(spark, sf),
         datetime(2024, 1, 1),
         datetime(2024, 1, 31),
-        {"half_hour": _half(spark, sf), "three_hour": _three(spark, sf)},
+        {"half_hour": stored},
         **options,
     )
 

@@ -13,6 +13,8 @@ bins.  The chain of starts is found from distinct times alone, slice by slice:
 The averages are then an ordinary join on time cells and a grouped mean.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -72,8 +74,29 @@ def _starts(times: np.ndarray, covered: int, width: int) -> np.ndarray:
     return np.array(found, dtype=np.int64)
 
 
+def _whole_groups(
+    batches: Iterator[pd.DataFrame],
+) -> Iterator[list[tuple[str, int, pd.DataFrame]]]:
+    """Groups of a partition sorted by (key, slice), as many per step as a batch completes."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        changes = (rows["key"].ne(rows["key"].shift()) | rows["slice"].ne(rows["slice"].shift()))
+        edges = np.flatnonzero(changes.to_numpy())
+        yield [
+            (rows["key"].iloc[i], int(rows["slice"].iloc[i]), rows.iloc[i:j])
+            for i, j in zip(edges[:-1], edges[1:])
+        ]
+        held = rows.iloc[edges[-1] :]
+    if held is not None and len(held):
+        yield [(held["key"].iloc[0], int(held["slice"].iloc[0]), held)]
+
+
 def bin_starts(df: DataFrame, key: str, at: str, width: int) -> DataFrame:
-    """Bin starts per key, from a whole-number time column."""
+    """Bin starts per key, from a whole-number time column.
+
+    A task holds the distinct times of one (key, slice) at a time.
+    """
     length = width * CELLS_PER_SLICE
     times = (
         df.where(F.col(at).isNotNull())
@@ -83,30 +106,49 @@ def bin_starts(df: DataFrame, key: str, at: str, width: int) -> DataFrame:
             F.col(at).alias("at"),
         )
         .distinct()
+        .repartition("key", "slice")
     )
 
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = np.sort(pdf["at"].to_numpy())
-        number = int(pdf["slice"].iloc[0])
-        out = _slice_steps(ordered, number * length, width)
-        return out.assign(key=pdf["key"].iloc[0], slice=number)[["key", "slice", "upto", "leave"]]
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in _whole_groups(batches):
+            parts = [
+                _slice_steps(rows["at"].to_numpy(), number * length, width).assign(
+                    key=name, slice=number
+                )
+                for name, number, rows in groups
+            ]
+            if parts:
+                yield pd.concat(parts)[["key", "slice", "upto", "leave"]]
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         return _chain(pdf).assign(key=pdf["key"].iloc[0])[["key", "slice", "covered"]]
 
-    def starts(own: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        ordered = np.sort(own["at"].to_numpy())
-        found = _starts(ordered, int(entry["covered"].iloc[0]), width)
-        return pd.DataFrame({"key": own["key"].iloc[0], "start": found})
-
-    stepped = times.groupBy("key", "slice").applyInPandas(
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in _whole_groups(batches):
+            parts = [
+                pd.DataFrame(
+                    {
+                        "key": name,
+                        "start": _starts(
+                            rows["at"].to_numpy(), int(rows["covered"].iloc[0]), width
+                        ),
+                    }
+                )
+                for name, _number, rows in groups
+            ]
+            if parts:
+                yield pd.concat(parts)
+
+    order = ("key", "slice", "at")
+    stepped = times.sortWithinPartitions(*order).mapInPandas(
         steps, "key string, slice long, upto long, leave long"
     )
     entering = stepped.groupBy("key").applyInPandas(follow, "key string, slice long, covered long")
     return (
-        times.groupBy("key", "slice")
-        .cogroup(entering.groupBy("key", "slice"))
-        .applyInPandas(starts, "key string, start long")
+        times.join(entering, ["key", "slice"])
+        .repartition("key", "slice")
+        .sortWithinPartitions(*order)
+        .mapInPandas(starts, "key string, start long")
     )
 
 
