@@ -1048,17 +1048,24 @@ def _(spark, sf):
 # --- views -----------------------------------------------------------------------------------------
 
 
-def _request(spark, sf, **options):
-    """All thirty days of the driver events, which the half-hour grid serves.
+_STORED_GRIDS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _stored_grid(spark, sf) -> DataFrame:
+    """The half-hour grid as a stored table, built once per session and table set."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _STORED_GRIDS:
+        _STORED_GRIDS[place] = materialized(_half(spark, sf), "half-hour")
+    return _STORED_GRIDS[place]
 
-    Grids are stored tables: it is built and stored here, then read by the view.
-    """
-    stored = materialized(_half(spark, sf), "half-hour")
+
+def _request(spark, sf, **options):
+    """All thirty days of the driver events, which the stored half-hour grid serves."""
     return views.Request(
         obs(spark, sf),
         datetime(2024, 1, 1),
         datetime(2024, 1, 31),
-        {"half_hour": stored},
+        {"half_hour": _stored_grid(spark, sf)},
         **options,
     )
 

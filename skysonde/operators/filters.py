@@ -44,11 +44,18 @@ def quality_rows(
 
 
 def within(df: DataFrame, time: str, start: Column | None, end: Column | None) -> DataFrame:
-    """Rows with start <= time <= end; a missing bound is open."""
+    """Rows with start <= time <= end; a missing bound is open.
+
+    On a table stored by day the bounds are put on `date` as well, which leaves
+    whole directories unread.
+    """
+    by_day = "date" in df.columns
     if start is not None:
         df = df.where(F.col(time) >= start)
+        df = df.where(F.col("date") >= F.to_date(start)) if by_day else df
     if end is not None:
         df = df.where(F.col(time) <= end)
+        df = df.where(F.col("date") <= F.to_date(end)) if by_day else df
     return df
 
 

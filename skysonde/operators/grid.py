@@ -67,7 +67,7 @@ def write_grid(grid: DataFrame, path: str) -> None:
 def _write(grid: DataFrame, path: str, overwrite: str) -> None:
     (
         grid.withColumn("date", F.to_date("time_bucket"))
-        .repartition("date")
+        .hint("rebalance", "date")
         .sortWithinPartitions("time_bucket", "altitude_bin")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", overwrite)
@@ -102,6 +102,8 @@ def refresh_grid(observations: DataFrame, spec: GridSpec, path: str, now: Column
     recent = observations.where(
         F.col("time").cast("timestamp") >= first_day.cast("timestamp")
     )
+    if "date" in observations.columns:
+        recent = recent.where(F.col("date") >= first_day)
     replace_days(representative_grid(recent, spec), path)
 
 

@@ -66,13 +66,16 @@ def neighbour_spans(history: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     ).where(F.col("above") < F.col("upto"))
 
 
-def _with_neighbours(candidates: DataFrame, spans: DataFrame) -> DataFrame:
+def _with_neighbours(
+    candidates: DataFrame, spans: DataFrame, small_history: bool = True
+) -> DataFrame:
     """Candidates joined to the span that holds their altitude.
 
     Spans are listed under every altitude step they touch, which makes this an
     equality join with a short residual check.  The listed frame has at most the
-    history size plus the number of steps in the altitude range, so it is safe
-    to broadcast.
+    history size plus the number of steps in the altitude range: with a history
+    of the default size that is about 43,000 short rows, which is safe to
+    broadcast.  For a larger one pass `small_history=False` and Spark decides.
     """
 
     def step(altitude: Column) -> Column:
@@ -86,7 +89,7 @@ def _with_neighbours(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     )
     return (
         candidates.withColumn("_step", step(F.col("altitude")))
-        .join(F.broadcast(listed), "_step", "left")
+        .join(F.broadcast(listed) if small_history else listed, "_step", "left")
         .where(
             F.col("above").isNull()
             | ((F.col("altitude") > F.col("above")) & (F.col("altitude") <= F.col("upto")))
@@ -96,10 +99,13 @@ def _with_neighbours(candidates: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def neighbour_statistics(
-    candidates: DataFrame, history: DataFrame, k: int = S.NEIGHBOURS
+    candidates: DataFrame,
+    history: DataFrame,
+    k: int = S.NEIGHBOURS,
+    small_history: bool = True,
 ) -> DataFrame:
     """Mean and population deviation of temperature among the k nearest altitudes."""
-    return _with_neighbours(candidates, neighbour_spans(history, k))
+    return _with_neighbours(candidates, neighbour_spans(history, k), small_history)
 
 
 def outlier_flags(
@@ -110,6 +116,7 @@ def outlier_flags(
     sigma_limit: float = S.SIGMA_LIMIT,
     tolerance: float = S.RESIDUAL_TOLERANCE_C,
     least: int = S.HISTORY_MIN,
+    small_history: bool = True,
 ) -> DataFrame:
     """Batch with `is_outlier`, judged against a frozen history.
 
@@ -130,7 +137,7 @@ def outlier_flags(
     )
     near_line = F.coalesce(F.col("residual") <= tolerance, F.lit(True))
     scored = _with_neighbours(
-        judged.withColumn("_near", near_line), neighbour_spans(history, k)
+        judged.withColumn("_near", near_line), neighbour_spans(history, k), small_history
     )
     deviation = F.abs(F.col("temperature") - F.col("mean_temperature"))
     z = F.when(F.col("std_temperature") > 0, deviation / F.col("std_temperature")).otherwise(

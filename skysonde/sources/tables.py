@@ -25,12 +25,13 @@ def append_observations(observations: DataFrame, path: str, ingest_time: Column
     """Append rows in storage form, one directory per day.
 
     The stored time is the time of arrival: pass `ingest_time` to stamp the rows,
-    leave it out when `time` already is the arrival time.
+    leave it out when `time` already is the arrival time.  Rebalancing by day lets
+    a day with much data become several files and small days share a task.
     """
     rows = observations if ingest_time is None else observations.withColumn("time", ingest_time)
     (
         with_date(storage_form(rows))
-        .repartition("date", F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 3_600_000_000))
+        .hint("rebalance", "date")
         .sortWithinPartitions("time")
         .write.mode("append")
         .partitionBy("date")

@@ -1,14 +1,16 @@
 """Streaming joins and the jobs that feed the stored tables."""
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skysonde import settings as S
 from skysonde.functions.units import finite
+from skysonde.operators.asof import SLICE_FACTOR
 from skysonde.operators.grid import GRIDS, GridSpec, replace_days, representative_grid
 from skysonde.operators.outliers import latest_history, outlier_flags
 from skysonde.sources.tables import append_observations, read_observations
@@ -22,22 +24,33 @@ def nearest_position_stream(
 ) -> DataFrame:
     """Nearest position within `window_s` for each weather row of a stream.
 
-    Both sides carry a watermark, so positions are kept for the window and no
-    longer.  A result appears once the watermark has passed its probe; the newest
+    The join key holds the aircraft and a time slot ten times as wide as the
+    window (positions are listed under every slot they can serve), so the state of
+    a busy aircraft is spread.  Both sides carry a watermark, so positions are kept
+    for the window and no longer.  A result appears once the watermark has passed its probe; the newest
     probes wait until more input arrives.
     """
-    left = probes.select("seq", "icao", F.col("time").cast("timestamp").alias("time"))
+    def slot(micros: Column) -> Column:
+        return F.floor(micros / F.lit(window_s * SLICE_FACTOR * 1_000_000))
+
+    span = F.lit(window_s * 1_000_000)
+    at = F.unix_micros(F.col("time").cast("timestamp"))
+    left = probes.select(
+        "seq", "icao", F.col("time").cast("timestamp").alias("time"), slot(at).alias("slot")
+    )
     right = positions.select(
         F.col("icao").alias("_icao"),
         F.col("time").cast("timestamp").alias("_time"),
         "altitude_m",
         "latitude",
         "longitude",
+        F.explode(F.sequence(slot(at - span), slot(at + span))).alias("_slot"),
     )
     reach = F.expr(f"INTERVAL {window_s} SECONDS")
     joined = left.withWatermark("time", lateness).join(
         right.withWatermark("_time", lateness),
         (F.col("icao") == F.col("_icao"))
+        & (F.col("slot") == F.col("_slot"))
         & (F.col("_time") >= F.col("time") - reach)
         & (F.col("_time") <= F.col("time") + reach),
     )
@@ -63,32 +76,57 @@ def storable() -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def store_batch(
-    batch: DataFrame, path: str, quarantine: str, arrival: Column | None = None
-) -> None:
-    """Append the storable rows; the others go to the quarantine table."""
-    flagged = batch.withColumn("_ok", storable())
-    append_observations(flagged.where("_ok").drop("_ok"), path, arrival)
-    flagged.where("NOT _ok").drop("_ok").write.mode("append").parquet(quarantine)
+def store_batch(good: DataFrame, bad: DataFrame, path: str, quarantine: str) -> None:
+    """Append the good rows to the table and the others to the quarantine table."""
+    append_observations(good, path)
+    bad.write.mode("append").parquet(quarantine)
+
+
+HISTORY_DAYS = 7
+
+
+def _stored_days(
+    spark: SparkSession, path: str, first: date | None, last: date | None = None
+) -> DataFrame | None:
+    """The stored table between two days, None while there is none."""
+    try:
+        stored = read_observations(spark, path)
+    except AnalysisException:
+        return None
+    if first is not None:
+        stored = stored.where(F.col("date") >= F.lit(first))
+    return stored if last is None else stored.where(F.col("date") <= F.lit(last))
+
+
+def _batch_days(batch: DataFrame) -> tuple[date | None, date | None]:
+    """First and last day of a micro-batch: two values."""
+    row = batch.agg(F.min(F.to_date("time")).alias("a"), F.max(F.to_date("time")).alias("b")).first()
+    return row.a, row.b
 
 
 def accept_batch(
-    spark: SparkSession, batch: DataFrame, path: str, history_size: int = S.HISTORY_SIZE
+    spark: SparkSession,
+    batch: DataFrame,
+    path: str,
+    history_size: int = S.HISTORY_SIZE,
+    history_days: int = HISTORY_DAYS,
 ) -> DataFrame:
     """Rows of a micro-batch that are no outliers against the stored history.
 
     The model is fitted once per batch on the latest stored rows, which also
-    warm-starts a new stream.
+    warm-starts a new stream.  Those are looked for in the last days first, so
+    that a batch does not read the whole table; only when the days hold too few
+    rows, which means there are few, all of it is read.
     """
-    columns = batch.columns
-    try:
-        history = read_observations(spark, path)
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        history = batch.limit(0)
-    if "obs_id" not in history.columns:
+    first, _last = _batch_days(batch)
+    start = None if first is None else first - timedelta(days=history_days)
+    history = _stored_days(spark, path, start)
+    if history is not None and history.limit(history_size).count() < history_size:
+        history = _stored_days(spark, path, None)
+    if history is None:
         history = batch.limit(0)
     flagged = outlier_flags(batch, latest_history(history, history_size))
-    return flagged.where(~F.col("is_outlier")).select(columns)
+    return flagged.where(~F.col("is_outlier")).select(batch.columns)
 
 
 def _start(
@@ -111,8 +149,8 @@ def store_stream(
 ) -> StreamingQuery:
     """Observation stream → outlier check → observation table (and quarantine).
 
-    A batch id is part of the output only once: rows of a replayed batch are
-    dropped by `obs_id` against what the table holds for the same days.
+    Rows carry their batch id: when a batch is repeated after a failure, rows it
+    has stored already are left out.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -122,18 +160,21 @@ def store_stream(
         good, bad = fresh.where(storable()), fresh.where(~storable())
         if filter_outliers:
             good = accept_batch(spark, good, path)
-        store_batch(good.unionByName(bad), path, quarantine)
+        store_batch(good, bad, path, quarantine)
 
     return _start(observations, each, checkpoint, available_now)
 
 
 def _not_stored(spark: SparkSession, rows: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Rows of a batch that an earlier, interrupted attempt has not stored yet."""
-    try:
-        stored = read_observations(spark, path).where(F.col("batch_id") == batch_id)
-        return rows.join(stored.select("obs_id"), "obs_id", "left_anti")
-    except Exception:  # noqa: BLE001 - nothing stored yet
+    """Rows of a batch that an earlier, interrupted attempt has not stored yet.
+
+    Only the days of the batch are read.
+    """
+    stored = _stored_days(spark, path, *_batch_days(rows))
+    if stored is None or "batch_id" not in stored.columns:
         return rows
+    done = stored.where(F.col("batch_id") == batch_id).select("obs_id")
+    return rows.join(done, "obs_id", "left_anti")
 
 
 def grid_stream(

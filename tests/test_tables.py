@@ -203,6 +203,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     stored = tables.read_observations(spark, path)
     rows = filters.quality_rows(stored.where(F.col("date") == "2024-01-05"), F.lit("2024-01-05").cast("timestamp_ntz"))
     scan = plan_of(rows.select("time", "altitude", "temperature"))
+    ranged = plan_of(filters.quality_rows(stored, F.lit("2024-01-05").cast("timestamp_ntz")))
+    assert "date" in ranged.split("PartitionFilters: [")[1].split("]")[0]
     assert "PartitionFilters: [isnotnull(date" in scan
     assert "LessThanOrEqual(distance,100.0)" in scan
     assert "callsign" not in scan.split("ReadSchema")[1]
