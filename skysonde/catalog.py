@@ -41,6 +41,7 @@ POSITION_REACH_S = 3600
 XID_REACH_S = 21_600
 COMPARE_REACH_S = 3600
 PAIRING_TTL_S = 86_400
+SECOND_ARRIVAL = "2024-01-15"
 NOW = "2024-01-30 12:34:56"
 PERIOD = ("2024-01-05 00:10:00", "2024-01-25 12:50:00")
 
@@ -993,7 +994,7 @@ def _observation_stream(spark, sf):
     )
 
 
-def _stored(spark, sf, filter_outliers):
+def _stored(spark, sf):
     path, bad = fresh_folder(spark, "stored"), fresh_folder(spark, "quarantine")
     jobs.store_stream(
         _observation_stream(spark, sf),
@@ -1001,14 +1002,23 @@ def _stored(spark, sf, filter_outliers):
         bad,
         fresh_folder(spark, "store-mark"),
         available_now=True,
-        filter_outliers=filter_outliers,
+        filter_outliers=False,
     ).awaitTermination()
     return path, bad
 
 
 @query("st5_outlier_stream")
 def _(spark, sf):
-    path, _bad = _stored(spark, sf, True)
+    """Two arrivals: the second is judged against what the first left in the table."""
+    rows = _zoned(obs(spark, sf), "time")
+    first = F.col("time") < F.lit(SECOND_ARRIVAL).cast("timestamp")
+    landed, path = fresh_folder(spark, "arrivals"), fresh_folder(spark, "stored")
+    bad, mark = fresh_folder(spark, "quarantine"), fresh_folder(spark, "store-mark")
+    for part in (rows.where(first), rows.where(~first)):
+        part.write.mode("append").parquet(landed)
+        jobs.store_stream(
+            landing.stream_observations(spark, landed), path, bad, mark, available_now=True
+        ).awaitTermination()
     return tables.read_observations(spark, path).select("obs_id", "temperature")
 
 
@@ -1033,7 +1043,7 @@ def _(spark, sf):
 
 @query("st8_quarantine")
 def _(spark, sf):
-    path, bad = _stored(spark, sf, False)
+    path, bad = _stored(spark, sf)
     stored = tables.read_observations(spark, path).select("obs_id", F.lit("stored").alias("sink"))
     return stored.unionByName(
         spark.read.parquet(bad).select("obs_id", F.lit("quarantine").alias("sink"))

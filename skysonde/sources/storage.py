@@ -1,16 +1,28 @@
 """The folder shared by all executors, for checkpoints and intermediate tables."""
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` as the cluster names it."""
+    """`spark.checkpoint.dir` as the cluster names it.
+
+    Only a session whose executors run in the driver may go without the setting;
+    it then gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
+    if folder is not None:
+        return folder
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return folder
+    return _LOCAL_FOLDERS.setdefault(
+        spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="skysonde-")
+    )
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

@@ -765,3 +765,47 @@ put("v9_temperature_profile", [OBS, FIT, _TAIL,
     "prof", "(b * 250)::INTEGER AS altitude_bin", "median_temperature | (b + 0.5e0) * 250 AS altitude_centre")
 put("v10_hodograph", [OBS, FIT, _TAIL, _HODO.format("tail"), _SEG], "seg WHERE b2 IS NOT NULL",
     "(b * 250)::INTEGER AS altitude_bin", _SEGC)
+
+# --- streams folded row by row -----------------------------------------------------------------------------
+_FOLD_COLS = ("callsign", "alt", "lat", "lon", "t44", "s44", "d44", "trk", "gs", "tas", "hdg", "mach")
+_READY = """CASE WHEN callsign IS NULL OR alt IS NULL OR lat IS NULL THEN NULL WHEN t44 IS NOT NULL THEN 'bds44'
+    WHEN trk IS NOT NULL AND hdg IS NOT NULL THEN 'bds50_60' END AS kind"""
+_MERGED = ", ".join(
+    f"coalesce(u.{c}, CASE WHEN f.kind IS NULL AND u.us - f.us <= 86400000000 THEN f.{c} END) AS {c}"
+    for c in _FOLD_COLS
+)
+_LIVE = f"""
+upd AS (
+  SELECT seq, icao, epoch_us(time) AS us, row_number() OVER (PARTITION BY icao ORDER BY seq) AS n, callsign,
+    CASE WHEN lat IS NOT NULL THEN altitude_ft END AS alt, lat, lon, t44,
+    CASE WHEN t44 IS NOT NULL THEN s44 END AS s44, CASE WHEN t44 IS NOT NULL THEN d44 END AS d44,
+    CASE WHEN at50 IS NOT NULL THEN trk END AS trk, CASE WHEN at50 IS NOT NULL THEN gs END AS gs,
+    CASE WHEN at50 IS NOT NULL THEN tas END AS tas, CASE WHEN at60 IS NOT NULL THEN hdg END AS hdg,
+    CASE WHEN at60 IS NOT NULL THEN mach END AS mach
+  FROM used WHERE callsign IS NOT NULL OR lat IS NOT NULL OR t44 IS NOT NULL OR at50 IS NOT NULL OR at60 IS NOT NULL),
+fold AS (
+  SELECT seq, icao, us, n, {", ".join(_FOLD_COLS)}, {_READY} FROM upd WHERE n = 1
+  UNION ALL
+  SELECT *, {_READY} FROM (
+    SELECT u.seq, u.icao, u.us, u.n, {_MERGED} FROM fold f JOIN upd u ON u.icao = f.icao AND u.n = f.n + 1)),
+live AS (SELECT seq, icao, callsign, alt, lat AS la, lon AS lo, kind, t44, s44 * 0.514444e0 AS s, d44, trk,
+    gs * 0.514444e0 AS gs, tas * 0.514444e0 AS air, hdg, mach FROM fold WHERE kind IS NOT NULL),
+live_obs AS (SELECT *, CASE kind WHEN 'bds44' THEN t44 ELSE {_temp('air', 'mach')} END AS temperature,
+    CASE kind WHEN 'bds44' THEN -s * sin(radians(d44)) ELSE {_PX} END AS wind_x,
+    CASE kind WHEN 'bds44' THEN -s * cos(radians(d44)) ELSE {_PY} END AS wind_y FROM live)"""
+put("j7_live_pairing", [MSG, _LIVE], "live_obs WHERE temperature >= -100", "seq AS obs_id, icao, callsign",
+    f"alt * 0.3048e0 AS altitude | {_hav('la', 'lo')} AS distance | temperature | wind_x | wind_y")
+put("st1_fragment_state", [MSG, _LIVE], "live GROUP BY icao, kind", "icao, kind AS data_source, count(*) AS reports")
+put("st4_xid_fragment_stream", [REPORTS, _ASK.format("reports", ""), _XID.format(asking="asking")],
+    "taken t JOIN reports r ON r.seq = t.seq", "t.seq, r.icao, xid_feet AS altitude_ft",
+    "coalesce(xid_lat, r.latitude) AS latitude")
+_ARRIVED = "time < TIMESTAMP '2024-01-15'"
+put("st5_outlier_stream", [OBS,
+    f"early AS (SELECT * FROM obs WHERE {_ARRIVED} AND altitude IS NOT NULL AND temperature >= -100)",
+    _HIST.format(rows="early"),
+    "line AS (SELECT regr_slope(temperature, altitude) AS s, regr_intercept(temperature, altitude) AS i FROM hist)",
+    f"""kept AS (SELECT obs_id, temperature FROM early UNION ALL
+      SELECT obs_id, temperature FROM near, line WHERE NOT {_ARRIVED}
+        AND NOT (abs(temperature - (s * altitude + i)) > 3.25 AND (abs(temperature - mean_t) > 20
+          OR (std_t > 0 AND abs(temperature - mean_t) / std_t > 4))))"""],
+    "kept", "obs_id", "temperature")
