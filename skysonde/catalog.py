@@ -271,7 +271,7 @@ def _(spark, sf):
 
 @query("p12_period_clamp")
 def _(spark, sf):
-    """Each order's date range against the observation range, for all presets."""
+    """A range around each observation against the data range, for all presets."""
     preset = F.explode(F.array(*[F.lit(d) for d in S.PERIOD_PRESETS_DAYS]))
     wanted = obs(spark, sf).select("obs_id", "time", preset.alias("days"))
     ranges = wanted.select(
@@ -705,7 +705,7 @@ def _(spark, sf):
 
 @query("a8_incremental_refresh")
 def _(spark, sf):
-    """Grid stored up to ten days before `NOW`'s day, brought up to date by one refresh."""
+    """A grid stored up to four hours before `NOW`, brought up to date by one refresh."""
     path = fresh_folder(spark, "refresh")
     rows = obs(spark, sf)
     early = rows.where(F.col("time") < instant(NOW) - F.expr("INTERVAL 4 HOURS"))

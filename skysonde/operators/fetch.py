@@ -124,14 +124,22 @@ def grid_or_raw(
     """Grid rows of the period, or raw rows when the grid is missing or has none.
 
     Whether the grid has rows is a scalar subquery of the same plan, so nothing
-    runs ahead of the query.
+    runs ahead of the query.  It gives the end of the raw read: when the grid has
+    rows that lies before the start, and neither directories nor row groups of the
+    raw table are read.
     """
-    raw = fetch_measures(observations, start, end, max_altitude=max_altitude, wind=wind)
+
+    def raw(until: Column) -> DataFrame:
+        return fetch_measures(observations, start, until, max_altitude=max_altitude, wind=wind)
+
     if grid is None:
-        return raw
+        return raw(end)
     sampled = fetch_grid_measures(grid, start, end, max_altitude, wind)
-    found = sampled.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return sampled.unionByName(raw.where(found == 0))
+    nothing = start - F.expr("INTERVAL 1 DAY")
+    until = sampled.limit(1).agg(
+        F.when(F.count(F.lit(1)) == 0, end).otherwise(nothing).alias("until")
+    )
+    return sampled.unionByName(raw(until.scalar()))
 
 
 def fetch_summary(rows: DataFrame) -> DataFrame:

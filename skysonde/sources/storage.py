@@ -20,9 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL_FOLDERS.setdefault(
-        spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="skysonde-")
-    )
+    session = spark.sparkContext.applicationId
+    if session not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[session] = tempfile.mkdtemp(prefix="skysonde-")
+    return _LOCAL_FOLDERS[session]
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

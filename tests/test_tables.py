@@ -221,6 +221,23 @@ def test_short_views_read_raw_rows_and_all_views_run(spark):
     assert views.view("density", limited).agg(F.max("altitude")).first()[0] <= 2000
 
 
+def test_raw_table_is_not_read_when_the_grid_serves(spark):
+    from skysonde.operators import fetch
+
+    rows = bridge.observations(spark, SF)
+    path = fresh_folder(spark, "raw")
+    tables.append_observations(rows, path)
+    stored = tables.read_observations(spark, path)
+    start, end = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-02", "2024-01-20"))
+    half = grid.representative_grid(rows, grid.HALF_HOUR_GRID)
+    served = fetch.grid_or_raw(half, stored, start, end)
+    assert served.count() == fetch.fetch_grid_measures(half, start, end).count() > 0
+    assert "date" in plan_of(served).split("PartitionFilters: [")[-1].split("]")[0]
+    empty = fetch.grid_or_raw(half.limit(0), stored, start, end)
+    assert empty.count() == filters.quality_rows(rows, start, end).count() > 0
+    assert fetch.grid_or_raw(None, stored, start, end).count() == empty.count()
+
+
 def test_naive_times_become_instants_once(spark):
     naive = spark.createDataFrame([(datetime(2024, 1, 1, 9),)], "time timestamp_ntz")
     zoned = tables.naive_to_zoned(naive)
