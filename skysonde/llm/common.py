@@ -5,10 +5,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from skysonde.sources.storage import fresh_folder
 
 U = np.uint64
 #: Texts are worked on in chunks of about this many bytes; one longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
+#: Words are turned into symbols for so many bytes at a time.
+PIECE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -110,12 +115,62 @@ def words(chunk: Texts, table: np.ndarray) -> Words:
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | edges[1:])) + 1
-    up, down = POWERS.upto(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(value * up[:n], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
+    h = np.empty(len(start), U)
+    first = 0
+    while first < len(start):  # piece by piece, so that 64-bit values are held for few bytes
+        last = max(int(np.searchsorted(end, start[first] + PIECE_BYTES, side="right")), first + 1)
+        begin = start[first]
+        piece = value[begin : end[last - 1]]
+        up, down = POWERS.upto(len(piece) + 1)
+        total = np.zeros(len(piece) + 1, U)
+        np.cumsum(piece * up[: len(piece)], out=total[1:])
+        h[first:last] = (total[end[first:last] - begin] - total[start[first:last] - begin]) * down[start[first:last] - begin]
+        first = last
     h ^= (end - start).astype(U) << U(48)
     h = mixed(h)
     h[h == 0] = 1
     row = np.searchsorted(chunk.offsets, start, side="right") - 1
     return Words(start, end, row, h, np.bincount(row, minlength=len(chunk.offsets) - 1))
+
+
+class Scratch:
+    """Intermediate tables in the shared folder, removed when the block ends.
+
+    with Scratch(spark) as scratch: ... scratch.table(df, "name") ...
+    The result of the block must not read them any more, or be kept by `result`.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def _written(self, df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+        path = fresh_folder(self.spark, purpose)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def table(self, df: DataFrame, purpose: str) -> DataFrame:
+        """df, written and read back; lineage ends here, and a lost executor costs no more."""
+        back, path = self._written(df, purpose)
+        self.paths.append(path)
+        return back
+
+    def result(self, df: DataFrame, purpose: str) -> DataFrame:
+        """Like table, but left for the caller to read."""
+        return self._written(df, purpose)[0]
+
+    def drop_before(self, kept: int) -> None:
+        """Remove all but the last `kept` tables now."""
+        gone, self.paths = self.paths[:-kept], self.paths[-kept:]
+        self._remove(gone)
+
+    def _remove(self, paths: list[str]) -> None:
+        jvm = self.spark._jvm
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __exit__(self, *failure) -> None:
+        self._remove(self.paths)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skysonde.llm import byte_bpe, contamination
+from skysonde.llm import byte_bpe, contamination, minhash, url_cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +37,42 @@ def _(spark, sf):
 def _(spark, sf):
     rows = contamination.overlap_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return rows.drop("matches")
+
+
+@query("op6_minhash_near_duplicates")
+def _(spark, sf):
+    return minhash.near_duplicates(table(spark, sf, "documents"))
+
+
+#: Rules of the list, as the contract of the query gives them.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query("op8_url_bloom_cascade")
+def _(spark, sf):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_cascade.judged_urls(table(spark, sf, "pages"), rules)
+
+
+ORACLES["op8_url_bloom_cascade"] = """
+WITH rules(rh, rp, rv) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+    ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+    FROM pages),
+hosts AS (SELECT *, regexp_extract(rest, '^[^/?#]*', 0, 's') AS raw FROM rests),
+parts AS (SELECT page_id,
+    translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0, 's') AS path FROM hosts)
+SELECT page_id, host, path,
+    (SELECT max_by(rh || rp, length(rh || rp)) FROM rules
+     WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)) AS rule,
+    coalesce((SELECT max_by(rv, length(rh || rp)) FROM rules
+     WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)), 'allow') AS verdict
+FROM parts
+"""
