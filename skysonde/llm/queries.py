@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skysonde.llm import byte_bpe, contamination, minhash, url_cascade
+from skysonde.llm import byte_bpe, contamination, minhash, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,22 @@ SELECT page_id, host, path,
      WHERE (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)), 'allow') AS verdict
 FROM parts
 """
+
+
+@query("op7_voronoi_top_k")
+def _(spark, sf):
+    return voronoi_knn.top_k(table(spark, sf, "embeddings"), k=5, every=50)
+
+
+ORACLES["op7_voronoi_top_k"] = """
+WITH valid AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM valid q JOIN valid c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT query_id,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
