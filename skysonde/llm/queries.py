@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skysonde.llm import byte_bpe, contamination, minhash, url_cascade, voronoi_knn
+from skysonde.llm import byte_bpe, contamination, minhash, quality_fm, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,9 @@ ranked AS (SELECT query_id,
     FROM scored)
 SELECT * FROM ranked WHERE rank <= 5
 """
+
+
+@query("op9_factorisation_quality")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality_fm.scored(docs, quality_fm.trained(docs, table(spark, sf, "labels")))
