@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skysonde.llm import byte_bpe, contamination, minhash, quality_fm, url_cascade, voronoi_knn
+from skysonde.llm import byte_bpe, contamination, disclosure, minhash, quality_fm, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,8 @@ SELECT * FROM ranked WHERE rank <= 5
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return quality_fm.scored(docs, quality_fm.trained(docs, table(spark, sf, "labels")))
+
+
+@query("op2_disclosure_pii")
+def _(spark, sf):
+    return disclosure.personal_data(table(spark, sf, "documents"))
