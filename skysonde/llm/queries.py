@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skysonde.llm import byte_bpe, contamination, disclosure, minhash, quality_fm, url_cascade, voronoi_knn
+from skysonde.llm import byte_bpe, contamination, disclosure, license_rules, minhash, quality_fm, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,11 @@ def _(spark, sf):
 @query("op2_disclosure_pii")
 def _(spark, sf):
     return disclosure.personal_data(table(spark, sf, "documents"))
+
+
+@query("op1_license_sentences")
+def _(spark, sf):
+    return license_rules.license_scan(table(spark, sf, "documents"))
+
+
+ORACLES["op1_license_sentences"] = license_rules.oracle()
