@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skysonde.llm import byte_bpe, contamination, disclosure, license_rules, minhash, quality_fm, secret_forest, url_cascade, voronoi_knn
+from skysonde.llm import bwt_repeats, byte_bpe, contamination, disclosure, license_rules, minhash, quality_fm, secret_forest, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,3 +119,8 @@ ORACLES["op1_license_sentences"] = license_rules.oracle()
 @query("op3_secret_forest")
 def _(spark, sf):
     return secret_forest.secret_scan(table(spark, sf, "documents"))
+
+
+@query("op10_bwt_repeats")
+def _(spark, sf):
+    return bwt_repeats.repeated_bytes(table(spark, sf, "documents")).drop("spans")
