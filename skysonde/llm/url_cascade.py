@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysonde.llm.common import Scratch, U
+from skysonde.llm.common import Scratch, U, mixed
 
 #: Bits and hash functions per encoded key.
 BITS_PER_KEY, HASHES = 12, 6
@@ -20,19 +20,23 @@ REPORT = "page_id long, host string, path string, rule string, verdict string"
 
 
 class Level(NamedTuple):
+    """One filter; `depth` makes its hash functions others than those of the level before."""
+
     words: np.ndarray
     bits: int
+    depth: int
 
     def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Which keys the filter seems to hold."""
         held = np.ones(len(h1), bool)
-        for at in positions(h1, h2, self.bits):
+        for at in positions(h1, h2, self.bits, self.depth):
             held &= (self.words[at >> 6] >> (at & 63).astype(U)) & U(1) != 0
         return held
 
 
-def positions(h1: np.ndarray, h2: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    a, b = h1.view(U), h2.view(U) | U(1)
+def positions(h1: np.ndarray, h2: np.ndarray, bits: int, depth: int) -> Iterator[np.ndarray]:
+    salt = U((depth + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    a, b = mixed(h1.view(U) + salt), mixed(h2.view(U) ^ salt) | U(1)
     for k in range(HASHES):
         yield ((a + U(k) * b) % U(bits)).astype(np.int64)
 
@@ -61,17 +65,17 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key), F.xxhash64(key, F.lit(1))
 
 
-def _encoded(keys: DataFrame) -> Level | None:
+def _encoded(keys: DataFrame, depth: int) -> Level | None:
     """A filter of keys (h1, h2), or-ed together by Spark; None if there are none."""
     n = keys.count()
     if not n:
         return None
-    bits = max(64, n * BITS_PER_KEY)
+    bits = max(1024, n * BITS_PER_KEY)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h1, h2 = (batch.column(i).to_numpy() for i in (0, 1))
-            at = np.unique(np.concatenate(list(positions(h1, h2, bits))))
+            at = np.unique(np.concatenate(list(positions(h1, h2, bits, depth))))
             word, first = np.unique(at >> 6, return_index=True)
             value = np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], names=["word", "value"])
@@ -81,7 +85,7 @@ def _encoded(keys: DataFrame) -> Level | None:
     # at most BITS_PER_KEY * KEYS_PER_CASCADE bits
     for r in parts.groupBy("word").agg(F.bit_or("value").alias("value")).toLocalIterator():
         out[r.word] = r.value & (2**64 - 1)
-    return Level(out, bits)
+    return Level(out, bits, depth)
 
 
 def _still_held(keys: DataFrame, level: Level) -> DataFrame:
@@ -99,7 +103,7 @@ def build_cascade(scratch: Scratch, listed: DataFrame, unlisted: DataFrame) -> C
     """Cascade over two disjoint sets of keys (h1, h2)."""
     inside, outside = listed, unlisted
     levels: list[Level] = []
-    while (level := _encoded(inside)) is not None:
+    while (level := _encoded(inside, len(levels))) is not None:
         levels.append(level)
         inside, outside = scratch.table(_still_held(outside, level), "false-positives"), inside
     return Cascade(levels)
