@@ -648,7 +648,7 @@ def _judged(spark, sf):
 @query("j10_altitude_neighbours", MEAN_PLACES)
 def _(spark, sf):
     rows = _judged(spark, sf)
-    return outliers.neighbour_statistics(rows, outliers.latest_history(rows)).select(
+    return outliers.neighbour_statistics(rows, outliers.usable_history(rows)).select(
         "obs_id", "neighbours", "mean_temperature"
     )
 
@@ -757,13 +757,13 @@ def _(spark, sf):
 
 @query("a15_temperature_regression")
 def _(spark, sf):
-    return outliers.regression(outliers.latest_history(obs(spark, sf)))
+    return outliers.regression(outliers.usable_history(obs(spark, sf)))
 
 
 @query("a16_neighbour_deviation", MEAN_PLACES)
 def _(spark, sf):
     rows = _judged(spark, sf)
-    return outliers.neighbour_statistics(rows, outliers.latest_history(rows)).select(
+    return outliers.neighbour_statistics(rows, outliers.usable_history(rows)).select(
         "obs_id", "mean_temperature", "std_temperature"
     )
 
@@ -771,7 +771,7 @@ def _(spark, sf):
 @query("a17_outlier_flags")
 def _(spark, sf):
     rows = obs(spark, sf)
-    return outliers.outlier_flags(rows, outliers.latest_history(rows)).select(
+    return outliers.outlier_flags(rows, outliers.usable_history(rows)).select(
         "obs_id", "residual", "is_outlier"
     )
 
@@ -847,7 +847,7 @@ def _(spark, sf):
 
 @query("t2_measure_fetch")
 def _(spark, sf):
-    return fetch.fetch_measures(obs(spark, sf), *period(), wind=True, limit=S.FETCH_LIMIT)
+    return fetch.fetch_measures(obs(spark, sf), *period(), wind=True)
 
 
 @query("t3_latest_rows")

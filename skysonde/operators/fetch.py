@@ -18,25 +18,27 @@ def fetch_range(
     distance_km: float = S.DISTANCE_LIMIT_KM,
     columns: Sequence[str] | None = None,
     max_altitude: float | None = None,
-    limit: int = S.FETCH_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Fit rows of a period in time order, at most `limit` of them."""
+    """Fit rows of a period, all of them, or the first `limit` in time order."""
     rows = quality_rows(observations, start, end, distance_km, max_altitude)
-    return time_limited(rows, limit).select(*allowed_columns(columns))
+    if limit is not None:
+        rows = time_limited(rows, limit)
+    return rows.select(*allowed_columns(columns))
 
 
 def was_truncated(
     observations: DataFrame,
     start: Column,
     end: Column,
+    limit: int,
     distance_km: float = S.DISTANCE_LIMIT_KM,
     max_altitude: float | None = None,
-    limit: int = S.FETCH_LIMIT,
 ) -> DataFrame:
-    """One row: how many rows the period has and whether the limit cuts them."""
+    """One row: how many rows the period has and whether the limit cuts some off."""
     rows = quality_rows(observations, start, end, distance_km, max_altitude)
     return rows.agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "truncated", F.col("rows") >= limit
+        "truncated", F.col("rows") > limit
     )
 
 

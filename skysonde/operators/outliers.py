@@ -1,29 +1,30 @@
-"""Outliers against the altitude-temperature relation of a bounded history."""
+"""Outliers against the altitude-temperature relation of a history."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysonde import settings as S
 from skysonde.operators.filters import drop_absurd_temperature
+from skysonde.operators.ranges import numbered, with_latest
 from skysonde.operators.topn import time_limited
 
-# Width of the altitude steps that candidates and neighbour spans are joined on.
-SPAN_STEP_M = 1.0
+# Runs are taken over slices of this many times k rows.
+SLICE_FACTOR = 10
 
 
-def latest_history(
-    observations: DataFrame, size: int = S.HISTORY_SIZE, distance_km: float | None = None
-) -> DataFrame:
-    """Latest `size` rows with altitude and a sane temperature.
-
-    The bound is part of the rule: an outlier is judged by recent history only.
-    """
+def usable_history(observations: DataFrame, distance_km: float | None = None) -> DataFrame:
+    """Rows with altitude and a sane temperature: what a history is made of."""
     rows = observations.where(
         F.col("altitude").isNotNull() & (F.col("temperature") > S.TEMPERATURE_FLOOR_C)
     )
-    if distance_km is not None:
-        rows = rows.where(F.col("distance") <= distance_km)
-    return time_limited(rows, size, latest=True)
+    return rows if distance_km is None else rows.where(F.col("distance") <= distance_km)
+
+
+def latest_history(
+    observations: DataFrame, size: int, distance_km: float | None = None
+) -> DataFrame:
+    """The latest `size` usable rows, for callers that want a history of so many."""
+    return time_limited(usable_history(observations, distance_km), size, latest=True)
 
 
 def regression(history: DataFrame, least: int = S.HISTORY_MIN) -> DataFrame:
@@ -43,69 +44,69 @@ def neighbour_spans(history: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     the run moves up by one where the altitude passes half-way between the row it
     drops and the row it takes up.  So a history of n rows has n-k+1 runs, each
     valid for a span of altitudes (`above`, `upto`].  On a tie the lower row stays.
-    The frame is as small as the history, which is bounded.
+    Rows are numbered in altitude order and cut into slices; a slice also gets the
+    row before it and the k rows behind it, so that it knows all its runs.
     """
-    order = Window.orderBy("altitude", "obs_id")
+    rows = numbered(history.select("altitude", "obs_id", "temperature"), "altitude", "obs_id")
+    width = k * SLICE_FACTOR
+    home, place = F.floor((F.col("_at") - 1) / width), (F.col("_at") - 1) % width
+    slices = F.array(
+        home, F.when(place < k, home - 1), F.when(place == width - 1, home + 1)
+    )
+    shared = rows.select(
+        "*", home.alias("_home"), F.explode(F.filter(slices, lambda s: s.isNotNull())).alias("_slice")
+    )
+    order = Window.partitionBy("_slice").orderBy("_at")
     run = order.rowsBetween(0, k - 1)
-    runs = history.withColumns(
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    runs = shared.withColumns(
         {
-            "_at": F.row_number().over(order),
-            "_n": F.count(F.lit(1)).over(Window.partitionBy()),
             "mean_temperature": F.avg("temperature").over(run),
             "std_temperature": F.stddev_pop("temperature").over(run),
             "neighbours": F.count(F.lit(1)).over(run),
+            "above": (F.lag("altitude").over(order) + F.lead("altitude", k - 1).over(order)) / 2,
             "upto": (F.col("altitude") + F.lead("altitude", k).over(order)) / 2,
         }
-    ).where(F.col("_at") <= F.greatest(F.col("_n") - k + 1, F.lit(1)))
+    ).where((F.col("_slice") == F.col("_home")) & (F.col("_at") <= F.greatest(total - k + 1, F.lit(1))))
     return runs.select(
-        F.coalesce(F.lag("upto").over(order), F.lit(float("-inf"))).alias("above"),
-        F.coalesce(F.col("upto"), F.lit(float("inf"))).alias("upto"),
+        F.coalesce("above", F.lit(float("-inf"))).alias("above"),
+        F.coalesce("upto", F.lit(float("inf"))).alias("upto"),
         "mean_temperature",
         "std_temperature",
         "neighbours",
     ).where(F.col("above") < F.col("upto"))
 
 
-def _with_neighbours(
-    candidates: DataFrame, spans: DataFrame, small_history: bool = True
-) -> DataFrame:
-    """Candidates joined to the span that holds their altitude.
+def _with_neighbours(candidates: DataFrame, spans: DataFrame) -> DataFrame:
+    """Candidates with the values of the span that holds their altitude.
 
-    Spans are listed under every altitude step they touch, which makes this an
-    equality join with a short residual check.  The listed frame has at most the
-    history size plus the number of steps in the altitude range: with a history
-    of the default size that is about 43,000 short rows, which is safe to
-    broadcast.  For a larger one pass `small_history=False` and Spark decides.
+    Spans follow each other without gaps, so it is the last one that begins below
+    the altitude: both are put into one order, a candidate before a span that
+    begins at its own altitude.
     """
-
-    def step(altitude: Column) -> Column:
-        return F.floor(
-            F.least(F.greatest(altitude, F.lit(-1.0)), F.lit(S.ALTITUDE_MAX_M + 1.0))
-            / F.lit(SPAN_STEP_M)
-        )
-
-    listed = spans.withColumn(
-        "_step", F.explode(F.sequence(step(F.col("above")), step(F.col("upto"))))
+    values = ("mean_temperature", "std_temperature", "neighbours")
+    left = candidates.select(
+        F.struct(*candidates.columns).alias("_row"),
+        F.col("altitude").alias("_altitude"),
+        F.lit(0).alias("_kind"),
+        F.xxhash64(*candidates.columns).alias("_tie"),
     )
-    return (
-        candidates.withColumn("_step", step(F.col("altitude")))
-        .join(F.broadcast(listed) if small_history else listed, "_step", "left")
-        .where(
-            F.col("above").isNull()
-            | ((F.col("altitude") > F.col("above")) & (F.col("altitude") <= F.col("upto")))
-        )
-        .drop("_step", "above", "upto")
+    right = spans.select(
+        F.col("above").alias("_altitude"),
+        F.lit(1).alias("_kind"),
+        F.lit(0).cast("bigint").alias("_tie"),
+        F.struct(*values).alias("_span"),
     )
+    both = left.unionByName(right, allowMissingColumns=True)
+    placed = with_latest(both, "_span", "_altitude", "_kind", "_tie").where(F.col("_kind") == 0)
+    return placed.select("_row.*", *[F.col(f"_span.{v}").alias(v) for v in values])
 
 
 def neighbour_statistics(
-    candidates: DataFrame,
-    history: DataFrame,
-    k: int = S.NEIGHBOURS,
-    small_history: bool = True,
+    candidates: DataFrame, history: DataFrame, k: int = S.NEIGHBOURS
 ) -> DataFrame:
     """Mean and population deviation of temperature among the k nearest altitudes."""
-    return _with_neighbours(candidates, neighbour_spans(history, k), small_history)
+    return _with_neighbours(candidates, neighbour_spans(history, k))
 
 
 def outlier_flags(
@@ -116,7 +117,6 @@ def outlier_flags(
     sigma_limit: float = S.SIGMA_LIMIT,
     tolerance: float = S.RESIDUAL_TOLERANCE_C,
     least: int = S.HISTORY_MIN,
-    small_history: bool = True,
 ) -> DataFrame:
     """Batch with `is_outlier`, judged against a frozen history.
 
@@ -136,9 +136,7 @@ def outlier_flags(
         ),
     )
     near_line = F.coalesce(F.col("residual") <= tolerance, F.lit(True))
-    scored = _with_neighbours(
-        judged.withColumn("_near", near_line), neighbour_spans(history, k), small_history
-    )
+    scored = _with_neighbours(judged.withColumn("_near", near_line), neighbour_spans(history, k))
     deviation = F.abs(F.col("temperature") - F.col("mean_temperature"))
     z = F.when(F.col("std_temperature") > 0, deviation / F.col("std_temperature")).otherwise(
         F.lit(0.0)
@@ -150,12 +148,12 @@ def outlier_flags(
 
 
 def without_outliers(
-    batch: DataFrame, history: DataFrame, rounds: int = 1, size: int = S.HISTORY_SIZE, **limits
+    batch: DataFrame, history: DataFrame, rounds: int = 1, **limits
 ) -> DataFrame:
     """Accepted rows of a batch; more rounds refit on what the last one accepted."""
     columns = batch.columns
     accepted = batch
     for turn in range(rounds):
-        basis = history if turn == 0 else latest_history(accepted, size)
+        basis = history if turn == 0 else usable_history(accepted)
         accepted = outlier_flags(batch, basis, **limits).where(~F.col("is_outlier")).select(columns)
     return accepted

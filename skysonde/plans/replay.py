@@ -7,7 +7,7 @@ from skysonde.functions.acars import with_weather_text
 from skysonde.functions.units import feet_to_metres
 from skysonde.operators.asof import fill_altitude_by_order, report_observations
 from skysonde.operators.filters import drop_absurd_temperature, is_valid_observation
-from skysonde.operators.outliers import latest_history, without_outliers
+from skysonde.operators.outliers import usable_history, without_outliers
 from skysonde.operators.pairing import aircraft_state, replay_observations
 from skysonde.operators.running import SLICE_WIDTH
 from skysonde.sources.storage import materialized
@@ -75,7 +75,7 @@ def replay(
     if not outliers:
         return merged
     clean = materialized(drop_absurd_temperature(merged), "replay")
-    return without_outliers(clean, latest_history(clean), rounds)
+    return without_outliers(clean, usable_history(clean), rounds)
 
 
 def merge_observations(modes: DataFrame, vdl2: DataFrame) -> DataFrame:

@@ -78,7 +78,6 @@ HALF_HOUR_REFRESH_S = 3 * 60 * 60
 THREE_HOUR_REFRESH_S = 12 * 60 * 60
 RAW_MAX_DAYS = 14
 HALF_HOUR_MAX_DAYS = 90
-FETCH_LIMIT = 500_000
 RANGE_EXTENSION = 0.1
 PERIOD_PRESETS_DAYS = (1, 7, 30, 180, 365)
 
@@ -101,7 +100,6 @@ ISOTHERM_RANGE = (-80, 30, 10)
 ISOTHERM_RANGE_LIMITED = (-20, 40, 5)
 
 # --- Fixed values: outlier rule -----------------------------------------------
-HISTORY_SIZE = 30_000
 HISTORY_MIN = 100
 NEIGHBOURS = 200
 DEVIATION_LIMIT_C = 20.0

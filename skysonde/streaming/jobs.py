@@ -12,7 +12,7 @@ from skysonde import settings as S
 from skysonde.functions.units import finite
 from skysonde.operators.asof import SLICE_FACTOR
 from skysonde.operators.grid import GRIDS, GridSpec, replace_days, representative_grid
-from skysonde.operators.outliers import latest_history, outlier_flags
+from skysonde.operators.outliers import outlier_flags, usable_history
 from skysonde.sources.tables import append_observations, read_observations
 
 
@@ -82,6 +82,7 @@ def store_batch(good: DataFrame, bad: DataFrame, path: str, quarantine: str) ->
     bad.write.mode("append").parquet(quarantine)
 
 
+#: Days before a batch whose stored rows are its history.
 HISTORY_DAYS = 7
 
 
@@ -105,27 +106,19 @@ def _batch_days(batch: DataFrame) -> tuple[date | None, date | None]:
 
 
 def accept_batch(
-    spark: SparkSession,
-    batch: DataFrame,
-    path: str,
-    history_size: int = S.HISTORY_SIZE,
-    history_days: int = HISTORY_DAYS,
+    spark: SparkSession, batch: DataFrame, path: str, history_days: int = HISTORY_DAYS
 ) -> DataFrame:
     """Rows of a micro-batch that are no outliers against the stored history.
 
-    The model is fitted once per batch on the latest stored rows, which also
-    warm-starts a new stream.  Those are looked for in the last days first, so
-    that a batch does not read the whole table; only when the days hold too few
-    rows, which means there are few, all of it is read.
+    The model is fitted once per batch on the rows stored for the `history_days`
+    before the first day of the batch, and for the days of the batch itself.
     """
     first, _last = _batch_days(batch)
     start = None if first is None else first - timedelta(days=history_days)
     history = _stored_days(spark, path, start)
-    if history is not None and history.limit(history_size).count() < history_size:
-        history = _stored_days(spark, path, None)
     if history is None:
         history = batch.limit(0)
-    flagged = outlier_flags(batch, latest_history(history, history_size))
+    flagged = outlier_flags(batch, usable_history(history))
     return flagged.where(~F.col("is_outlier")).select(batch.columns)
 
 

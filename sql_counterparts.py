@@ -534,7 +534,7 @@ put("j9_cross_source_discrepancies", [OBS, _PAIRS], "bad", "modes_obs_id, vdl2_o
 # k nearest by altitude: the run of k rows chosen by counting the half-way points passed
 _HIST = """
 judged AS (SELECT * FROM obs WHERE altitude IS NOT NULL AND temperature >= -100),
-hist AS (SELECT * FROM {rows} WHERE altitude IS NOT NULL AND temperature > -100 ORDER BY time DESC, obs_id DESC LIMIT 30000),
+hist AS (SELECT * FROM {rows} WHERE altitude IS NOT NULL AND temperature > -100),
 ranked AS (SELECT *, row_number() OVER (ORDER BY altitude, obs_id) AS rank_no,
     altitude + lead(altitude, 200) OVER (ORDER BY altitude, obs_id) AS twice FROM hist),
 runs AS (SELECT *, avg(temperature) OVER r AS mean_t, stddev_pop(temperature) OVER r AS std_t, count(*) OVER r AS kn
@@ -653,10 +653,10 @@ put("w4_gap_islands", [OBS, FIT, _BANDS,
     "g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY band ORDER BY t) > 1799971200, TRUE)::INTEGER AS opens FROM pts)",
     "i AS (SELECT *, sum(opens) OVER (PARTITION BY band ORDER BY t ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM g)"],
     "i GROUP BY band, island", "band, island, min(time) AS first_time, max(time) AS last_time, count(*) AS n")
-put("t1_range_fetch", [OBS, FIT, f"r AS (SELECT * FROM fit WHERE {_IN} ORDER BY time LIMIT 500000)"], "r",
+put("t1_range_fetch", [OBS, FIT, f"r AS (SELECT * FROM fit WHERE {_IN})"], "r",
     "time", "altitude | temperature | distance")
-put("t1_range_fetch_truncated", [OBS, FIT], f"fit WHERE {_IN}", "count(*) AS rows, count(*) >= 5000 AS truncated")
-put("t2_measure_fetch", [OBS, FIT, f"r AS (SELECT * FROM fit WHERE {_IN} ORDER BY time LIMIT 500000)"], "r", "time", _GV)
+put("t1_range_fetch_truncated", [OBS, FIT], f"fit WHERE {_IN}", "count(*) AS rows, count(*) > 5000 AS truncated")
+put("t2_measure_fetch", [OBS, FIT, f"r AS (SELECT * FROM fit WHERE {_IN})"], "r", "time", _GV)
 put("t3_latest_rows", [OBS, """r AS (SELECT * FROM obs WHERE altitude IS NOT NULL AND temperature > -100 AND distance <= 100
   ORDER BY time DESC, obs_id DESC LIMIT 500)"""], "r", "time", "altitude | temperature | distance")
 _INB = f"time_bucket >= {START} AND time_bucket <= {END}"
@@ -802,7 +802,9 @@ put("st4_xid_fragment_stream", [REPORTS, _ASK.format("reports", ""), _XID.format
 _ARRIVED = "time < TIMESTAMP '2024-01-15'"
 put("st5_outlier_stream", [OBS,
     f"early AS (SELECT * FROM obs WHERE {_ARRIVED} AND altitude IS NOT NULL AND temperature >= -100)",
-    _HIST.format(rows="early"),
+    f"""week AS (SELECT * FROM early WHERE time >= (SELECT date_trunc('day', min(time)) - INTERVAL 7 DAY FROM obs
+      WHERE NOT {_ARRIVED} AND altitude IS NOT NULL))""",
+    _HIST.format(rows="week"),
     "line AS (SELECT regr_slope(temperature, altitude) AS s, regr_intercept(temperature, altitude) AS i FROM hist)",
     f"""kept AS (SELECT obs_id, temperature FROM early UNION ALL
       SELECT obs_id, temperature FROM near, line WHERE NOT {_ARRIVED}
