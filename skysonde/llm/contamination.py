@@ -14,7 +14,7 @@ WINDOW = 10
 #: what a task holds of them doesn't grow with the benchmark.
 BLOCK_BYTES = 8 << 20
 #: Bytes of documents in one suffix array.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: ASCII letters, digits and everything outside ASCII make words.
 WORD_BYTES = word_table([range(0x00, 0x30), range(0x3A, 0x41), range(0x5B, 0x61), range(0x7B, 0x80)])
 REPORT = (
