@@ -26,6 +26,8 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TERM = r"\p{L}{4,}"
 LONGEST_TERM = 64
+#: Terms that are broadcast at most (about 20 MB); more are joined by shuffle.
+BROADCAST_TERMS = 500_000
 _SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -101,28 +103,31 @@ def _terms(text: Column) -> Column:
 
 
 def _disclosing(scratch: Scratch, docs: DataFrame, share: float, support: int) -> tuple[DataFrame, DataFrame]:
-    """(texts with personal data, terms that disclose a kind), over all different texts.
+    """(texts with personal data, terms that disclose a kind), from counts over all documents.
 
-    With N texts, n(k) with kind k, n(t) with term t and n(t, k) with both,
+    With N documents, n(k) with kind k, n(t) with term t and n(t, k) with both,
     PMI(t, k) = log2(N n(t, k) / (n(t) n(k))) is at most log2(N / n(k)), which it is
     when the term is never without the kind.
     """
     held = _with_kinds(docs)
     kinds = F.filter(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
     held = held.select("_key", "_text", kinds.alias("kinds")).where(F.size("kinds") > 0)
-    # copies of a text count once
-    texts = scratch.table(held.groupBy("_key").agg(F.first("_text").alias("_text"), F.first("kinds").alias("kinds")), "private")
-    paired = texts.select(F.explode("kinds").alias("kind"), _terms(F.col("_text")).alias("terms"))
-    paired = paired.select("kind", F.explode("terms").alias("term")).groupBy("kind", "term").agg(F.count("*").alias("both"))
-    # a table: its size is known when it is joined, so that it is broadcast only if small
-    paired = scratch.table(paired.where(F.col("both") >= support), "co-occurring")
-    every = docs.select(F.coalesce("text", F.lit("")).alias("_text"))
-    every = every.select(F.xxhash64("_text").alias("text_hash"), F.explode(_terms(F.col("_text"))).alias("term"))
-    alone = every.join(paired.select("term").distinct(), "term", "left_semi")
-    alone = alone.groupBy("term").agg(F.countDistinct("text_hash").alias("alone"))
-    total = docs.agg(F.countDistinct(F.xxhash64(F.coalesce("text", F.lit("")))).alias("total"))
-    of_kind = texts.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("of_kind"))
-    joined = paired.join(alone, "term").join(of_kind, "kind").crossJoin(F.broadcast(total))  # one row
+    held = held.groupBy("_key").agg(
+        F.first("_text").alias("_text"), F.first("kinds").alias("kinds"), F.count("*").alias("copies"))
+    texts = scratch.table(held, "private")
+    paired = texts.select("copies", F.explode("kinds").alias("kind"), _terms(F.col("_text")).alias("terms"))
+    paired = paired.select("copies", "kind", F.explode("terms").alias("term")).groupBy("kind", "term")
+    # copies of a text are no support
+    paired = paired.agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support)
+    paired = scratch.table(paired, "co-occurring")
+    wanted = paired.select("term").distinct()
+    every = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    if wanted.count() <= BROADCAST_TERMS:
+        alone = every.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("alone"))
+    else:  # counts per term first, so that the join moves one row for each
+        alone = every.groupBy("term").agg(F.count("*").alias("alone"))
+    of_kind = texts.select("copies", F.explode("kinds").alias("kind")).groupBy("kind").agg(F.sum("copies").alias("of_kind"))
+    joined = paired.join(alone, "term").join(of_kind, "kind").withColumn("total", F.lit(docs.count()))
     information = F.log2(F.col("total") / F.col("of_kind"))
     mutual = F.log2(F.col("total") * F.col("both") / (F.col("alone") * F.col("of_kind")))
     found = joined.where((information > 0) & (mutual >= share * information)).select("kind", "term")
@@ -154,7 +159,8 @@ def personal_data(docs: DataFrame, share: float = DISCLOSURE, support: int = SUP
     docs needs doc_id and text; other columns are not read.  Null texts count as empty;
     both have no spans, and the digest is that of the empty string.  Spans of disclosing
     terms (kind `term`) come behind those of the patterns.  Copies of a text have the same
-    spans and count once in the statistics; repeated rows each get their row.
+    spans; all documents count in the statistics, but a term needs `support` different texts
+    with the kind.  Repeated rows each get their row.
     """
     with Scratch(docs.sparkSession) as scratch:
         texts, disclosing = _disclosing(scratch, docs, share, support)
