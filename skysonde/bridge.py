@@ -76,15 +76,23 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position reports: the Mode S observations with a positive altitude."""
+    """Position reports: the Mode S observations with a positive altitude.
+
+    Addresses and callsigns come in both cases and with blanks, as receivers print them.
+    """
+    even, third = F.col("obs_id") % 2 == 0, F.col("obs_id") % 3 == 0
+    address = F.when(even, F.concat(F.lit("ab"), "icao")).otherwise(
+        F.concat(F.lit(" AB"), "icao", F.lit(" "))
+    )
+    name = F.when(third, F.lower("callsign")).otherwise(F.concat("callsign", F.lit(" ")))
     return (
         observations(spark, sf_dir)
         .where((F.col("method") == S.MODE_S) & (F.col("altitude") > 0))
         .select(
             F.col("obs_id").alias("seq"),
             "time",
-            "icao",
-            "callsign",
+            address.alias("icao"),
+            name.alias("callsign"),
             F.col("altitude").alias("altitude_m"),
             "latitude",
             "longitude",
@@ -92,6 +100,13 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather rows that look for a position: the VDL2 observations."""
+    return observations(spark, sf_dir).where(F.col("method") == S.VDL2).select(
+        F.col("obs_id").alias("seq"), "time", F.concat(F.lit("aB"), "icao").alias("icao")
+    )
+
+
 def vdl2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The VDL2 events printed as JSON lines, with some junk lines among them.
 
@@ -159,7 +174,7 @@ def vdl2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"usec":'),
         (micros % 1_000_000).cast("string"),
         F.lit('},"avlc":{"src":{"addr":"'),
-        F.when(_mod(19) == 0, "").otherwise(_icao()),
+        F.when(_mod(19) == 0, "").otherwise(F.concat(F.lit("Ab"), _icao())),
         F.lit('","type":"Aircraft"},'),
     )
     acars = F.concat(

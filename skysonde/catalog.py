@@ -132,9 +132,9 @@ def _(spark, sf):
 
 @query("s5_comparison_csv")
 def _(spark, sf):
-    return exports.comparison_rows(
-        compare.comparison_records(filters.quality_rows(obs(spark, sf)))
-    )
+    path = fresh_folder(spark, "comparison")
+    exports.write_comparison_csv(compare.comparison_records(obs(spark, sf)), path)
+    return spark.read.csv(path, header=True).na.fill("")
 
 
 @query("s6_discrepancy_json")
@@ -142,7 +142,9 @@ def _(spark, sf):
     pairs = compare.discrepancies(
         compare.comparison_records(obs(spark, sf)), window_s=COMPARE_REACH_S
     )
-    docs = exports.discrepancy_documents(pairs)
+    path = fresh_folder(spark, "discrepancies")
+    exports.write_discrepancies_json(pairs, path)
+    docs = spark.read.schema(exports.discrepancy_documents(pairs).schema).options(**exports.JSON_TIMES).json(path)
     return docs.select(
         F.col("modes.timestamp").alias("modes_timestamp"),
         F.col("vdl2.timestamp").alias("vdl2_timestamp"),
@@ -542,16 +544,10 @@ def _(spark, sf):
 # --- joins ------------------------------------------------------------------------------
 
 
-def _probes(spark, sf):
-    return obs(spark, sf).where(F.col("method") == S.VDL2).select(
-        F.col("obs_id").alias("seq"), "time", "icao"
-    )
-
-
 @query("j1_nearest_time_position")
 def _(spark, sf):
     return asof.nearest_by_time(
-        _probes(spark, sf), bridge.positions(spark, sf), window_s=POSITION_REACH_S
+        bridge.probes(spark, sf), bridge.positions(spark, sf), window_s=POSITION_REACH_S
     ).select(
         "seq",
         F.col("match.seq").alias("position_seq"),
@@ -563,7 +559,7 @@ def _(spark, sf):
 
 @query("j2_nearest_order_position")
 def _(spark, sf):
-    return asof.nearest_by_order(_probes(spark, sf), bridge.positions(spark, sf)).select(
+    return asof.nearest_by_order(bridge.probes(spark, sf), bridge.positions(spark, sf)).select(
         "seq", F.col("match.seq").alias("position_seq"), "index_distance"
     )
 
@@ -571,13 +567,13 @@ def _(spark, sf):
 @query("j2_backward_order_position")
 def _(spark, sf):
     return asof.nearest_by_order(
-        _probes(spark, sf), bridge.positions(spark, sf), backward_only=True
+        bridge.probes(spark, sf), bridge.positions(spark, sf), backward_only=True
     ).select("seq", F.col("match.seq").alias("position_seq"))
 
 
 @query("j3_identifier_resolution")
 def _(spark, sf):
-    named = obs(spark, sf).select("obs_id", F.coalesce("callsign", "icao").alias("identifier"))
+    named = obs(spark, sf).select("obs_id", F.coalesce("callsign", F.concat(F.lit("aB"), "icao")).alias("identifier"))
     return asof.resolve_identifier(named, bridge.positions(spark, sf))
 
 
@@ -952,30 +948,42 @@ def _(spark, sf):
     )
 
 
-def _position_streams(spark, sf):
-    probes = _landed(spark, _zoned(_probes(spark, sf), "time"), "probes")
-    places = _landed(spark, _zoned(bridge.positions(spark, sf), "time"), "positions")
+CLOSING = "closing"
+
 
-    def stream(path):
+def _closed(frame: DataFrame, icao: str) -> DataFrame:
+    """Rows and one of another aircraft a day later, whose time ends the wait of all others."""
+    last = frame.agg((F.max("time") + F.expr("INTERVAL 1 DAY")).alias("time"))
+    row = last.select(F.lit(-1).cast("bigint").alias("seq"), "time", F.lit(icao).alias("icao"))
+    return frame.unionByName(row, allowMissingColumns=True)
+
+
+def _nearest_stream(spark, sf, purpose: str) -> DataFrame:
+    def stream(frame, name, icao):
+        path = _landed(spark, _zoned(_closed(frame, icao), "time"), name)
         return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
-    return stream(probes), stream(places)
+    found = jobs.nearest_position_stream(
+        stream(bridge.probes(spark, sf), "probes", CLOSING),
+        stream(bridge.positions(spark, sf), "positions", f"{CLOSING}-position"),
+        POSITION_REACH_S,
+    )
+    return _streamed(spark, found, purpose).where(F.col("icao") != CLOSING)
 
 
 @query("st2_position_retention")
 def _(spark, sf):
-    probes, places = _position_streams(spark, sf)
-    found = jobs.nearest_position_stream(probes, places, POSITION_REACH_S)
-    return _streamed(spark, found, "retention").groupBy("icao").agg(
-        F.count(F.lit(1)).alias("matched"), F.max("gap_s").alias("widest_gap_s")
+    """Per aircraft, how many weather rows still found a position in the state, and how old."""
+    return _nearest_stream(spark, sf, "retention").groupBy("icao").agg(
+        F.count("altitude_m").alias("matched"),
+        F.count_if(F.col("altitude_m").isNull()).alias("unmatched"),
+        F.max("gap_s").alias("widest_gap_s"),
     )
 
 
 @query("st3_nearest_position_stream")
 def _(spark, sf):
-    probes, places = _position_streams(spark, sf)
-    found = jobs.nearest_position_stream(probes, places, POSITION_REACH_S)
-    return _streamed(spark, found, "nearest").select("seq", "icao", "altitude_m", "gap_s")
+    return _nearest_stream(spark, sf, "nearest").select("seq", "icao", "altitude_m", "gap_s")
 
 
 @query("st4_xid_fragment_stream")
@@ -1024,12 +1032,17 @@ def _(spark, sf):
 
 @query("st6_grid_upkeep")
 def _(spark, sf):
-    table = fresh_folder(spark, "table")
-    tables.append_observations(_zoned(obs(spark, sf).where("altitude IS NOT NULL"), "time"), table)
+    """Two arrivals stored one after the other, the grids following the table."""
+    rows = _zoned(obs(spark, sf), "time")
+    first = F.col("time") < F.lit(SECOND_ARRIVAL).cast("timestamp")
+    landed, path = fresh_folder(spark, "arrivals"), fresh_folder(spark, "stored")
+    bad, mark = fresh_folder(spark, "quarantine"), fresh_folder(spark, "store-mark")
     paths = {spec.name: fresh_folder(spark, spec.name) for spec in grid.GRIDS}
-    jobs.grid_stream(
-        _observation_stream(spark, sf), table, paths, fresh_folder(spark, "grid-mark"), True
-    ).awaitTermination()
+    for part in (rows.where(first), rows.where(~first)):
+        part.write.mode("append").parquet(landed)
+        jobs.store_stream(
+            landing.stream_observations(spark, landed), path, bad, mark, True, False, paths
+        ).awaitTermination()
     kept = grid.read_grid(spark, paths["half_hour"])
     return kept.select(
         F.col("time_bucket").cast("timestamp_ntz").alias("time_bucket"), "altitude_bin", "altitude"

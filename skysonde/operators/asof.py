@@ -96,9 +96,13 @@ def _nearest(
 
 
 def _position_payload(positions: DataFrame) -> DataFrame:
-    return positions.where(F.col("icao").isNotNull()).withColumn(
-        "_position", F.struct("altitude_m", "latitude", "longitude", "seq")
-    )
+    """Positions keyed by the normal form of their address."""
+    return positions.select(
+        normal_identifier(F.col("icao")).alias("_aircraft"),
+        "time",
+        "seq",
+        F.struct("altitude_m", "latitude", "longitude", "seq").alias("_position"),
+    ).where(F.col("_aircraft").isNotNull())
 
 
 def altitude_source_label(offset_s: Column) -> Column:
@@ -118,15 +122,17 @@ def nearest_by_time(
     longitude, seq), `offset_s` and `match_source`; unmatched probes keep NULLs.
     """
     right = _position_payload(positions).withColumn("_at", micros(F.col("time")))
-    left = probes.withColumn("_at", micros(F.col(probe_time)))
-    found = _nearest(left, right, "icao", "_at", window_s * 1_000_000, "_position")
+    left = probes.withColumns(
+        {"_at": micros(F.col(probe_time)), "_aircraft": normal_identifier(F.col("icao"))}
+    )
+    found = _nearest(left, right, "_aircraft", "_at", window_s * 1_000_000, "_position")
     return (
         found.withColumn("offset_s", F.col("match_offset") / F.lit(1e6))
         .withColumn(
             "match_source",
             F.when(F.col("match").isNotNull(), altitude_source_label(F.col("offset_s"))),
         )
-        .drop("_at", "match_offset")
+        .drop("_at", "_aircraft", "match_offset")
     )
 
 
@@ -141,24 +147,26 @@ def nearest_by_order(
     `backward_only` is the replay form, where all positions came earlier.
     """
     right = _position_payload(positions).withColumn("_at", F.col("seq"))
-    left = probes.withColumn("_at", F.col("seq"))
-    found = _nearest(left, right, "icao", "_at", max_distance, "_position", backward_only)
+    left = probes.withColumns(
+        {"_at": F.col("seq"), "_aircraft": normal_identifier(F.col("icao"))}
+    )
+    found = _nearest(left, right, "_aircraft", "_at", max_distance, "_position", backward_only)
     return (
         found.withColumn(
             "match_source", F.when(F.col("match").isNotNull(), F.lit("interpolated"))
         )
         .withColumn("index_distance", F.abs("match_offset"))
-        .drop("_at", "match_offset")
+        .drop("_at", "_aircraft", "match_offset")
     )
 
 
 def callsign_map(positions: DataFrame) -> DataFrame:
-    """Latest aircraft of each callsign."""
-    name = normal_identifier(F.col("callsign"))
+    """Latest aircraft of each callsign, both in normal form."""
+    name, aircraft = (normal_identifier(F.col(c)) for c in ("callsign", "icao"))
     return (
-        positions.where(name.isNotNull() & F.col("icao").isNotNull())
+        positions.where(name.isNotNull() & aircraft.isNotNull())
         .groupBy(name.alias("callsign"))
-        .agg(F.max_by(F.upper(F.col("icao")), F.col("seq")).alias("icao"))
+        .agg(F.max_by(aircraft, F.col("seq")).alias("icao"))
     )
 
 
@@ -168,18 +176,29 @@ def resolve_identifier(
     """Aircraft address for an identifier that may be an address or a callsign.
 
     Addresses with a position history win; otherwise the latest mapping of the
-    callsign is used.  Both lookups are one row per aircraft or callsign.
+    callsign is used.  Both come from one pass over the positions, which leaves a
+    row per address and a row per callsign.
     """
-    known = positions.select(F.upper("icao").alias("_as_icao")).distinct()
-    mapping = callsign_map(positions).select(
-        F.col("callsign").alias("_as_callsign"), F.col("icao").alias("_mapped")
+    name, aircraft = (normal_identifier(F.col(c)) for c in ("callsign", "icao"))
+    said = positions.select("seq", aircraft.alias("_icao"), name.alias("_name")).where("_icao IS NOT NULL")
+    each = said.select(
+        "seq",
+        "_icao",
+        F.inline(
+            F.array(
+                F.struct(F.col("_icao").alias("_said"), F.lit(True).alias("_address")),
+                F.struct(F.col("_name").alias("_said"), F.lit(False).alias("_address")),
+            )
+        ),
+    ).where("_said IS NOT NULL")
+    latest = F.max_by("_icao", F.when(~F.col("_address"), F.col("seq")))
+    names = each.groupBy("_said").agg(
+        F.when(F.bool_or("_address"), F.col("_said")).otherwise(latest).alias("resolved_icao")
     )
-    wanted = rows.withColumn("_wanted", normal_identifier(F.col(identifier)))
     return (
-        wanted.join(known, F.col("_wanted") == F.col("_as_icao"), "left")
-        .join(mapping, F.col("_wanted") == F.col("_as_callsign"), "left")
-        .withColumn("resolved_icao", F.coalesce("_as_icao", "_mapped"))
-        .drop("_wanted", "_as_icao", "_as_callsign", "_mapped")
+        rows.withColumn("_wanted", normal_identifier(F.col(identifier)))
+        .join(names, F.col("_wanted") == F.col("_said"), "left")
+        .drop("_wanted", "_said")
     )
 
 
@@ -194,25 +213,31 @@ def xid_match(
     At most `timeout_s` apart; an XID serves one report only, the first that asks.
     Adds `xid` (altitude_ft, latitude, longitude, seq), NULL where none is left.
     """
-    left = reports.withColumns({"_at": micros(F.col("received_at")), "_asks": asking})
+    left = reports.withColumns(
+        {
+            "_at": micros(F.col("received_at")),
+            "_asks": asking,
+            "_aircraft": normal_identifier(F.col("icao")),
+        }
+    )
     right = xid.select(
-        "icao",
+        normal_identifier(F.col("icao")).alias("_aircraft"),
         "seq",
         micros(F.col("received_at")).alias("_at"),
         F.struct("altitude_ft", "latitude", "longitude", "seq").alias("_xid"),
     )
     found = _nearest(
-        left, right, "icao", "_at", timeout_s * 1_000_000, "_xid", True, result="xid"
+        left, right, "_aircraft", "_at", timeout_s * 1_000_000, "_xid", True, result="xid"
     )
     # Takers of one XID arrive within `timeout_s`; all other rows are alone in their group.
     takes = F.coalesce(F.col("_asks") & F.col("xid").isNotNull(), F.lit(False))
     turn = Window.partitionBy(
-        "icao", F.col("xid.seq"), F.when(~takes, F.col("seq"))
+        "_aircraft", F.col("xid.seq"), F.when(~takes, F.col("seq"))
     ).orderBy("_at", "seq")
     return (
         found.withColumn("_turn", F.row_number().over(turn))
         .withColumn("xid", F.when(takes & (F.col("_turn") == 1), F.col("xid")))
-        .drop("_turn", "_at", "_asks", "xid_offset")
+        .drop("_turn", "_at", "_asks", "_aircraft", "xid_offset")
     )
 
 

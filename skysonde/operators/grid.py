@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skysonde import settings as S
 from skysonde.functions.timebins import align_to_bucket, altitude_bin, time_bucket
 from skysonde.operators.filters import quality_rows
+from skysonde.sources.storage import remove_folder
 
 
 @dataclass(frozen=True)
@@ -76,9 +77,19 @@ def _write(grid: DataFrame, path: str, overwrite: str) -> None:
     )
 
 
-def replace_days(grid: DataFrame, path: str) -> None:
-    """Replace the stored days that `grid` has rows for; others stay as they are."""
-    _write(grid, path, "dynamic")
+def replace_days(observations: DataFrame, spec: GridSpec, path: str, touched: Column) -> None:
+    """Recompute the grid from the given observations and replace the touched days by it.
+
+    `touched` tells of the `date` of a stored day whether it is replaced; a day that
+    has no rows left goes.  Days are few: their dates pass through the driver.
+    """
+    spark = observations.sparkSession
+    _write(representative_grid(observations, spec), path, "dynamic")
+    cells = with_cell(quality_rows(observations), spec)
+    filled = cells.select(F.to_date("time_bucket").alias("date")).distinct()
+    stored = spark.read.parquet(path).where(touched).select(F.to_date("date").alias("date")).distinct()
+    for row in stored.join(filled, "date", "left_anti").collect():
+        remove_folder(spark, f"{path.rstrip('/')}/date={row.date.isoformat()}")
 
 
 def rebuild_grid(observations: DataFrame, spec: GridSpec, path: str) -> None:
@@ -104,7 +115,7 @@ def refresh_grid(observations: DataFrame, spec: GridSpec, path: str, now: Column
     )
     if "date" in observations.columns:
         recent = recent.where(F.col("date") >= first_day)
-    replace_days(representative_grid(recent, spec), path)
+    replace_days(recent, spec, path, F.col("date") >= first_day)
 
 
 def refresh_all(

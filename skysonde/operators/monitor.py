@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysonde import settings as S
+from skysonde.functions.identifiers import normal_identifier
 from skysonde.functions.staging import computed_once
 from skysonde.functions.timebins import age_seconds, micros
 from skysonde.sources.messages import message_kind
@@ -155,13 +156,12 @@ def position_statistics(positions: DataFrame) -> DataFrame:
 
     Distinct values are grouped first, so no task holds all of them.
     """
-    rows = positions.where(F.col("icao") != "")
-    per_aircraft = rows.groupBy(F.upper("icao").alias("icao")).agg(
-        F.count(F.lit(1)).alias("entries")
-    )
+    aircraft = normal_identifier(F.col("icao"))
+    rows = positions.where(aircraft.isNotNull())
+    per_aircraft = rows.groupBy(aircraft.alias("icao")).agg(F.count(F.lit(1)).alias("entries"))
     names = (
-        rows.select(F.upper(F.trim("callsign")).alias("name"))
-        .where(F.col("name") != "")
+        rows.select(normal_identifier(F.col("callsign")).alias("name"))
+        .where(F.col("name").isNotNull())
         .distinct()
         .agg(F.count(F.lit(1)).alias("n"))
         .scalar()

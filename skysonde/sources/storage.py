@@ -1,29 +1,22 @@
 """The folder shared by all executors, for checkpoints and intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` as the cluster names it.
+    """`spark.checkpoint.dir` as the session names it.
 
-    Only a session whose executors run in the driver may go without the setting;
-    it then gets a folder of its own.
+    A session of a single process, such as a test's, may go without: it gets a
+    folder below its warehouse, which it has to itself as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is not None:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    session = spark.sparkContext.applicationId
-    if session not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[session] = tempfile.mkdtemp(prefix="skysonde-")
-    return _LOCAL_FOLDERS[session]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
@@ -31,6 +24,12 @@ def fresh_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/skysonde-{purpose}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's file systems have it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialized(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written to the shared folder and read back.
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skysonde import settings as S
+from skysonde.functions.identifiers import normal_identifier
 from skysonde.functions.units import finite
 from skysonde.operators.asof import SLICE_FACTOR
-from skysonde.operators.grid import GRIDS, GridSpec, replace_days, representative_grid
+from skysonde.operators.grid import GRIDS, replace_days
 from skysonde.operators.outliers import outlier_flags, usable_history
 from skysonde.sources.tables import append_observations, read_observations
 
@@ -27,8 +28,9 @@ def nearest_position_stream(
     The join key holds the aircraft and a time slot ten times as wide as the
     window (positions are listed under every slot they can serve), so the state of
     a busy aircraft is spread.  Both sides carry a watermark, so positions are kept
-    for the window and no longer.  A result appears once the watermark has passed its probe; the newest
-    probes wait until more input arrives.
+    for the window and no longer.  Probes without a position in reach come out with
+    NULLs.  A result appears once the watermark has passed its probe; the newest probes
+    wait until more input arrives.
     """
     def slot(micros: Column) -> Column:
         return F.floor(micros / F.lit(window_s * SLICE_FACTOR * 1_000_000))
@@ -36,10 +38,14 @@ def nearest_position_stream(
     span = F.lit(window_s * 1_000_000)
     at = F.unix_micros(F.col("time").cast("timestamp"))
     left = probes.select(
-        "seq", "icao", F.col("time").cast("timestamp").alias("time"), slot(at).alias("slot")
+        "seq",
+        "icao",
+        normal_identifier(F.col("icao")).alias("_aircraft"),
+        F.col("time").cast("timestamp").alias("time"),
+        slot(at).alias("slot"),
     )
     right = positions.select(
-        F.col("icao").alias("_icao"),
+        normal_identifier(F.col("icao")).alias("_icao"),
         F.col("time").cast("timestamp").alias("_time"),
         "altitude_m",
         "latitude",
@@ -49,10 +55,11 @@ def nearest_position_stream(
     reach = F.expr(f"INTERVAL {window_s} SECONDS")
     joined = left.withWatermark("time", lateness).join(
         right.withWatermark("_time", lateness),
-        (F.col("icao") == F.col("_icao"))
+        (F.col("_aircraft") == F.col("_icao"))
         & (F.col("slot") == F.col("_slot"))
         & (F.col("_time") >= F.col("time") - reach)
         & (F.col("_time") <= F.col("time") + reach),
+        "left",
     )
     offset = F.unix_micros("_time") - F.unix_micros("time")
     return (
@@ -90,9 +97,8 @@ def _stored_days(
     spark: SparkSession, path: str, first: date | None, last: date | None = None
 ) -> DataFrame | None:
     """The stored table between two days, None while there is none."""
-    try:
-        stored = read_observations(spark, path)
-    except AnalysisException:
+    stored = _table(spark, path)
+    if stored is None:
         return None
     if first is not None:
         stored = stored.where(F.col("date") >= F.lit(first))
@@ -139,39 +145,64 @@ def store_stream(
     checkpoint: str,
     available_now: bool = False,
     filter_outliers: bool = True,
+    grids: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Observation stream → outlier check → observation table (and quarantine).
+    """Observation stream → outlier check → observation table, quarantine, and grids.
 
-    Rows carry their batch id: when a batch is repeated after a failure, rows it
-    has stored already are left out.
+    Rows carry their batch id: when a batch is repeated after a failure, rows it has
+    put into the table or the quarantine already are left out.  With `grids` (paths by
+    grid name), the days of a batch are recomputed from the table once it is stored.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("batch_id", F.lit(batch_id))
-        fresh = _not_stored(spark, rows, path, batch_id)
-        good, bad = fresh.where(storable()), fresh.where(~storable())
-        if filter_outliers:
-            good = accept_batch(spark, good, path)
-        store_batch(good, bad, path, quarantine)
+        store_arrived(batch, batch_id, path, quarantine, filter_outliers, grids)
 
     return _start(observations, each, checkpoint, available_now)
 
 
-def _not_stored(spark: SparkSession, rows: DataFrame, path: str, batch_id: int) -> DataFrame:
-    """Rows of a batch that an earlier, interrupted attempt has not stored yet.
-
-    Only the days of the batch are read.
-    """
-    stored = _stored_days(spark, path, *_batch_days(rows))
+def store_arrived(
+    batch: DataFrame,
+    batch_id: int,
+    path: str,
+    quarantine: str,
+    filter_outliers: bool = True,
+    grids: dict[str, str] | None = None,
+) -> None:
+    """One micro-batch of `store_stream`; repeating it changes nothing."""
+    spark = batch.sparkSession
+    rows = batch.withColumn("batch_id", F.lit(batch_id))
+    good = _not_yet(rows.where(storable()), _stored_days(spark, path, *_batch_days(rows)), batch_id)
+    bad = _not_yet(rows.where(~storable()), _table(spark, quarantine), batch_id)
+    if filter_outliers:
+        good = accept_batch(spark, good, path)
+    store_batch(good, bad, path, quarantine)
+    if grids:
+        refresh_days(spark, path, _days(batch), grids)
+
+
+def _not_yet(rows: DataFrame, stored: DataFrame | None, batch_id: int) -> DataFrame:
+    """Rows of a batch that an earlier, interrupted attempt has not stored yet."""
     if stored is None or "batch_id" not in stored.columns:
         return rows
     done = stored.where(F.col("batch_id") == batch_id).select("obs_id")
     return rows.join(done, "obs_id", "left_anti")
 
 
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, None while there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _days(batch: DataFrame) -> list[date]:
+    """The days of a micro-batch; as literals they prune the stored directories."""
+    return [r.date for r in batch.select(F.to_date("time").alias("date")).distinct().collect() if r.date]
+
+
 def grid_stream(
-    observations: DataFrame,
+    stored: DataFrame,
     table: str,
     paths: dict[str, str],
     checkpoint: str,
@@ -180,25 +211,22 @@ def grid_stream(
 ) -> StreamingQuery:
     """Keep the grids in step with the observation table.
 
-    Each trigger recomputes the days the new rows touch from the stored table;
-    running it twice gives the same grid.
+    `stored` is a stream of the table itself, so that a day is recomputed after its
+    rows are stored and not before.  Running a trigger twice gives the same grid.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = read_observations(spark, table)
-        # A handful of dates at most; as literals they prune the stored directories.
-        touched = [r.date for r in batch.select(F.to_date("time").alias("date")).distinct().collect()]
-        for spec in GRIDS:
-            refresh_days(stored, touched, spec, paths[spec.name])
+        refresh_days(batch.sparkSession, table, _days(batch), paths)
 
-    writer = observations.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+    writer = stored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=every).start()
 
 
-def refresh_days(stored: DataFrame, days: list[date], spec: GridSpec, path: str) -> None:
-    """Recompute the grid of the given days and replace just those days."""
-    rows = stored.where(F.col("date").isin(days))
-    replace_days(representative_grid(rows, spec), path)
+def refresh_days(spark: SparkSession, table: str, days: list[date], paths: dict[str, str]) -> None:
+    """Recompute the grids of the given days from the stored table and replace just those days."""
+    if days:
+        rows = read_observations(spark, table).where(F.col("date").isin(days))
+        for spec in GRIDS:
+            replace_days(rows, spec, paths[spec.name], F.col("date").isin(days))

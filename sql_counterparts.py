@@ -46,10 +46,12 @@ fit AS (
 
 POS = """
 pos AS (
-  SELECT obs_id AS seq, time, icao, callsign, altitude AS altitude_m, latitude, longitude
+  SELECT obs_id AS seq, time, CASE WHEN obs_id % 2 = 0 THEN 'ab' || icao ELSE ' AB' || icao || ' ' END AS icao,
+    CASE WHEN obs_id % 3 = 0 THEN lower(callsign) ELSE callsign || ' ' END AS callsign,
+    altitude AS altitude_m, latitude, longitude
   FROM obs WHERE method = 'mode-s' AND altitude > 0)"""
 
-PROBES = "probes AS (SELECT obs_id AS seq, time, icao FROM obs WHERE method = 'vdl2')"
+PROBES = "probes AS (SELECT obs_id AS seq, time, 'aB' || icao AS icao FROM obs WHERE method = 'vdl2')"
 
 
 def _bucket(seconds: int) -> str:
@@ -107,7 +109,7 @@ lines AS (
   SELECT seq, received_at, CASE
     WHEN e % 41 = 0 THEN '{{"vdl2":{{"t":' WHEN e % 43 = 0 THEN '[1,2,3]'
     ELSE '{{"vdl2":{{"t":{{"sec":' || (us // 1000000) || ',"usec":' || (us % 1000000)
-      || '}},"avlc":{{"src":{{"addr":"' || CASE WHEN e % 19 = 0 THEN '' ELSE icao8 END
+      || '}},"avlc":{{"src":{{"addr":"' || CASE WHEN e % 19 = 0 THEN '' ELSE 'Ab' || icao8 END
       || '","type":"Aircraft"}},' || CASE WHEN e % 5 = 0 THEN
         '"xid":{{"vdl_params":[{{"name":"hop","value":1}},{{"name":"ac_location","value":{{"loc":{{"lat":35.'
         || lpad((e * 13 % 1000)::VARCHAR, 3, '0') || ',"lon":139.' || lpad((e * 17 % 1000)::VARCHAR, 3, '0')
@@ -121,24 +123,24 @@ docs AS (
       + coalesce((j ->> '$.vdl2.t.usec')::BIGINT, 0)) AS message_time
   FROM json_docs WHERE json_type(j) = 'OBJECT' AND (j -> '$.vdl2') IS NOT NULL)"""
 
-_HEAD = r"WN(\d{5})([EW])(\d{5,6})\d{6}P?(\d{5})([MP-])(\d{2})"
-_WN1, _WN2 = _HEAD + r"(\d{3})(\d{2,3})", _HEAD + r"(\d{3})\s+(\d{2,3})"
-_PN = r"([NS])(\d{5})([EW])(\d{6})\d{6}(\d{3})"
-_PN1, _PN2 = _PN + r"([MP-])(\d{2})(\d{3})\s+(\d{2})", _PN + r"([MP])(\d{2})(\d{3})(\d{2,3})"
+# --- Fixed values: the message patterns, whole ---------------------------------------
+_WN1 = r"WN(\d{5})([EW])(\d{5,6})\d{6}P?(\d{5})([MP-])(\d{2})(\d{3})(\d{2,3})"
+_WN2 = r"WN(\d{5})([EW])(\d{5,6})\d{6}P?(\d{5})([MP-])(\d{2})(\d{3})\s+(\d{2,3})"
+_PN1 = r"([NS])(\d{5})([EW])(\d{6})(\d{6})(\d{3})([MP-])(\d{2})(\d{3})\s+(\d{2})"
+_PN2 = r"([NS])(\d{5})([EW])(\d{6})(\d{6})(\d{3})([MP])(\d{2})(\d{3})(\d{2,3})"
 
 
-def _group(text: str, first: str, second: str, n: int) -> str:
+def _groups(text: str, first: str, second: str, prefix: str, n: int) -> str:
+    """All groups as a struct with fields prefix1, prefix2, ...; all groups have names, as
+    only nine can be asked for by number."""
+    names = "[" + ", ".join(f"'{prefix}{i}'" for i in range(1, n + 1)) + "]"
     return (
-        f"CASE WHEN regexp_matches({text}, '{first}') THEN regexp_extract({text}, '{first}', {n}) "
-        f"WHEN regexp_matches({text}, '{second}') THEN regexp_extract({text}, '{second}', {n}) END"
+        f"CASE WHEN regexp_matches({text}, '{first}') THEN regexp_extract({text}, '{first}', {names}) "
+        f"WHEN regexp_matches({text}, '{second}') THEN regexp_extract({text}, '{second}', {names}) END"
     )
 
 
 _FLT = r"FL\d{3}\s*[/\s]?\s*([MP-])(\d{2})"
-_WNG = ", ".join(f"{_group('wn_line', _WN1, _WN2, n)} AS w{n}" for n in range(1, 9))
-_PNG = ", ".join(
-    f"{_group('txt', _PN1, _PN2, n)} AS p{n if n < 5 else n + 1}" for n in range(1, 10)
-)
 
 
 def _signed(sign: str, digits: str) -> str:
@@ -154,13 +156,15 @@ wn_lines AS (
   SELECT *, list_filter(string_split(txt, chr(13) || chr(10)), lambda x: contains(x, 'WN'))[1] AS wn_line
   FROM msgs),
 caught AS (
-  SELECT *, {_WNG}, {_PNG}, regexp_matches(txt, '{_PN1}') AS spaced,
+  SELECT *, {_groups('wn_line', _WN1, _WN2, 'w', 8)} AS wn, {_groups('txt', _PN1, _PN2, 'p', 10)} AS pn,
+    regexp_matches(txt, '{_PN1}') AS spaced,
     regexp_extract(txt, 'FL(\\d{{3}})', 1) AS fl, regexp_extract(txt, '{_FLT}', 1) AS fs,
     regexp_extract(txt, '{_FLT}', 2) AS ft FROM wn_lines),
 minutes AS (
   SELECT *, substr(w1, 3, 3)::INTEGER / 10e0 AS lat_min,
     CASE WHEN length(w3) = 5 THEN substr(w3, 4)::DOUBLE ELSE substr(w3, 4)::DOUBLE / 10e0 END AS lon_min
-  FROM caught),
+  FROM (SELECT *, {", ".join(f"wn.w{i} AS w{i}" for i in range(1, 9))},
+    {", ".join(f"pn.p{i} AS p{i}" for i in range(1, 11))} FROM caught)),
 kinds AS (
   SELECT *, CASE WHEN w1 IS NOT NULL AND lat_min < 60 AND lon_min < 60 THEN 'wn'
     WHEN p1 IS NOT NULL THEN 'pntaf' WHEN fl <> '' AND fl <> '000' THEN 'fl' END AS format FROM minutes),
@@ -295,10 +299,10 @@ put("s3_observation_scan", [OBS], "obs WHERE distance <= 50", "time", "altitude
 put("s4_append_observations", [OBS], "obs",
     "obs_id, time, coalesce(callsign, icao, '') AS callsign, method, strftime(time, '%Y-%m-%d') AS day",
     "coalesce(temperature, 0) AS temperature | wind_x")
-put("s5_comparison_csv", [OBS, FIT], "fit",
+put("s5_comparison_csv", [OBS], "obs",
     """strftime(time, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp,
     CASE method WHEN 'mode-s' THEN 'modes' ELSE 'vdl2' END AS source, coalesce(callsign, '') AS callsign,
-    printf('%.1f', altitude) AS altitude_m, printf('%.1f', temperature) AS temperature_c,
+    coalesce(printf('%.1f', altitude), '') AS altitude_m, coalesce(printf('%.1f', temperature), '') AS temperature_c,
     printf('%.1f', wind_speed) AS wind_speed_ms, printf('%.1f', wind_angle) AS wind_direction_deg,
     printf('%.4f', latitude) AS latitude, printf('%.4f', longitude) AS longitude""")
 put("s8_naive_time_migration", [OBS], "obs", "obs_id, time - INTERVAL 9 HOUR AS time")
@@ -435,7 +439,7 @@ _NEAR = """
 near AS (
   SELECT DISTINCT ON (p.{k}) p.{k} AS probe, q.seq AS position_seq, q.altitude_m, q.latitude, q.longitude,
     epoch_us(q.time) - epoch_us(p.{t}) AS off
-  FROM {probes} p JOIN pos q ON p.icao = q.icao AND abs(epoch_us(q.time) - epoch_us(p.{t})) <= 3600000000
+  FROM {probes} p JOIN pos q ON upper(trim(p.icao)) = upper(trim(q.icao)) AND abs(epoch_us(q.time) - epoch_us(p.{t})) <= 3600000000
   ORDER BY p.{k}, abs(off), off DESC, q.seq DESC)"""
 put("j1_nearest_time_position", [OBS, POS, PROBES, _NEAR.format(k="seq", t="time", probes="probes")],
     "probes LEFT JOIN near ON seq = probe",
@@ -445,7 +449,7 @@ _ORDER = """
 near AS (
   SELECT DISTINCT ON (p.seq) p.seq AS probe, q.seq AS position_seq, q.altitude_m, q.latitude, q.longitude,
     abs(q.seq - p.seq) AS index_distance
-  FROM {probes} p JOIN pos q ON p.icao = q.icao AND {cond}
+  FROM {probes} p JOIN pos q ON upper(trim(p.icao)) = upper(trim(q.icao)) AND {cond}
   ORDER BY p.seq, abs(q.seq - p.seq), q.seq DESC)"""
 put("j2_nearest_order_position", [OBS, POS, PROBES,
     _ORDER.format(probes="probes", cond="abs(q.seq - p.seq) <= 1000")],
@@ -454,12 +458,12 @@ _BACK = "q.seq <= p.seq AND q.seq >= p.seq - 1000"
 put("j2_backward_order_position", [OBS, POS, PROBES, _ORDER.format(probes="probes", cond=_BACK)],
     "probes LEFT JOIN near ON seq = probe", "seq, position_seq")
 _IDS = """
-known AS (SELECT DISTINCT upper(icao) AS known_icao FROM pos),
-names AS (SELECT upper(trim(callsign)) AS name, arg_max(upper(icao), seq) AS mapped FROM pos
+known AS (SELECT DISTINCT upper(trim(icao)) AS known_icao FROM pos),
+names AS (SELECT upper(trim(callsign)) AS name, arg_max(upper(trim(icao)), seq) AS mapped FROM pos
   WHERE trim(callsign) <> '' GROUP BY 1)"""
 put("j3_identifier_resolution", [OBS, POS, _IDS,
-    "n AS (SELECT obs_id, coalesce(callsign, icao) AS identifier FROM obs)"],
-    "n LEFT JOIN known ON upper(identifier) = known_icao LEFT JOIN names ON upper(identifier) = name",
+    "n AS (SELECT obs_id, coalesce(callsign, 'aB' || icao) AS identifier FROM obs)"],
+    "n LEFT JOIN known ON upper(trim(identifier)) = known_icao LEFT JOIN names ON upper(trim(identifier)) = name",
     "obs_id, identifier, coalesce(known_icao, mapped) AS resolved_icao")
 _XID = """
 latest AS (
@@ -476,8 +480,8 @@ _NAMED = """
 named AS (
   SELECT r.*, coalesce(message_time, received_at) AS probe_time,
     coalesce(known_icao, mapped) AS found_icao
-  FROM reports r LEFT JOIN known ON upper(coalesce(icao, nullif(flight, ''))) = known_icao
-  LEFT JOIN names ON upper(coalesce(icao, nullif(flight, ''))) = name WHERE temperature_c IS NOT NULL),
+  FROM reports r LEFT JOIN known ON upper(trim(coalesce(icao, nullif(flight, '')))) = known_icao
+  LEFT JOIN names ON upper(trim(coalesce(icao, nullif(flight, '')))) = name WHERE temperature_c IS NOT NULL),
 lookup AS (SELECT * REPLACE (found_icao AS icao) FROM named)"""
 put("j5_altitude_cascade", [OBS, REPORTS, POS, _IDS, _NAMED,
     _NEAR.format(k="seq", t="probe_time", probes="lookup"),
@@ -627,7 +631,7 @@ put("a18_datalink_summary", [REPORTS], "reports",
     count(*) FILTER (altitude_ft IS NOT NULL AND temperature_c IS NOT NULL) AS complete_records,
     (SELECT count(*) FROM lines) AS total_messages""")
 put("a19_position_statistics", [OBS, POS], "pos",
-    """count(DISTINCT icao) AS aircraft_count, count(*) AS total_entries, count(DISTINCT callsign) AS callsign_mappings,
+    """count(DISTINCT upper(trim(icao))) AS aircraft_count, count(*) AS total_entries, count(DISTINCT upper(trim(callsign))) AS callsign_mappings,
     count(*) AS message_counter""")
 put("a20_message_distribution", [MSG, """d AS (
   SELECT 'df' AS dimension, df::VARCHAR AS value FROM msg
@@ -811,3 +815,9 @@ put("st5_outlier_stream", [OBS,
         AND NOT (abs(temperature - (s * altitude + i)) > 3.25 AND (abs(temperature - mean_t) > 20
           OR (std_t > 0 AND abs(temperature - mean_t) / std_t > 4))))"""],
     "kept", "obs_id", "temperature")
+
+_REACHED = [OBS, POS, PROBES, _NEAR.format(k="seq", t="time", probes="probes")]
+put("st3_nearest_position_stream", _REACHED, "probes LEFT JOIN near ON seq = probe", "seq, icao",
+    "altitude_m | abs(off) / 1e6 AS gap_s")
+put("st2_position_retention", _REACHED, "probes LEFT JOIN near ON seq = probe GROUP BY icao",
+    "icao, count(altitude_m) AS matched, count(*) - count(altitude_m) AS unmatched", "max(abs(off)) / 1e6 AS widest_gap_s")

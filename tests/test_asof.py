@@ -89,5 +89,26 @@ def test_lookup_builds_no_pairs_and_shuffles_once(spark):
         probes(spark, [(1, "A", 0)]), positions(spark, [(1, "A", None, 0, 1)]))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
-    assert plan.count("Exchange hashpartitioning(icao") == 1
+    assert plan.count("Exchange hashpartitioning(_aircraft") == 1
     assert F is not None
+
+
+def test_addresses_match_in_any_case(spark):
+    places = positions(spark, [
+        (1, "abc123", "fl1 ", 0, 9000), (2, " ABC123 ", None, 40, 9100), (3, "DEF456", " FL2", 0, 5000)])
+    rows = probes(spark, [(11, "Abc123", 5), (12, "abc123 ", 38), (13, "def456", 0), (14, "", 0)])
+    assert altitudes(asof.nearest_by_time(rows, places)) == {11: 9000, 12: 9100, 13: 5000, 14: None}
+    assert altitudes(asof.nearest_by_order(rows, places)) == {11: 9100, 12: 9100, 13: 5000, 14: None}
+    named = spark.createDataFrame([(1, "Fl1"), (2, "def456"), (3, " fl2 "), (4, None), (5, "x")], "n int, identifier string")
+    found = {r.n: r.resolved_icao for r in asof.resolve_identifier(named, places).collect()}
+    assert found == {1: "ABC123", 2: "DEF456", 3: "DEF456", 4: None, 5: None}
+    reports = spark.createDataFrame(
+        [(n, T0 + timedelta(seconds=n), T0, icao, "", "", "fl", None, None, None, -10, None, None)
+         for n, icao in ((50, "abc123"), (51, "ABC123"))],
+        "seq long, received_at timestamp_ntz, message_time timestamp_ntz, icao string, flight string, reg string, "
+        "format string, latitude double, longitude double, altitude_ft int, temperature_c int, wind_dir_deg int, "
+        "wind_speed_kt int")
+    nothing = spark.createDataFrame([], "seq long, received_at timestamp_ntz, icao string, latitude double, "
+                                        "longitude double, altitude_ft int")
+    assert asof.fill_altitude(reports, places, nothing).count() == 2
+    assert asof.fill_altitude_by_order(reports, places).count() == 2

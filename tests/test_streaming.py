@@ -55,9 +55,8 @@ def test_xid_stream_equals_batch(spark):
 
 
 def test_nearest_position_stream_equals_batch_up_to_the_watermark(spark):
-    rows = bridge.observations(spark, SF)
     places = bridge.positions(spark, SF)
-    probes = rows.where(F.col("method") == S.VDL2).select(F.col("obs_id").alias("seq"), "time", "icao")
+    probes = bridge.probes(spark, SF)
     batch = asof.nearest_by_time(probes, places, window_s=7200).where("match IS NOT NULL")
     expected = {r.seq: r.match.altitude_m for r in batch.collect()}
 
@@ -67,8 +66,9 @@ def test_nearest_position_stream_equals_batch_up_to_the_watermark(spark):
     found = jobs.nearest_position_stream(
         stream(land(spark, probes)), stream(land(spark, places)), 7200)
     got = {r.seq: r.altitude_m for r in drain(spark, found).collect()}
-    assert got and all(expected[k] == v for k, v in got.items())
-    assert len(got) >= len(expected) - 5
+    assert got and all(expected.get(k) == v for k, v in got.items())
+    assert None in got.values()
+    assert sum(v is not None for v in got.values()) >= len(expected) - 5
 
 
 def test_storing_filters_and_quarantines_once(spark):
@@ -96,3 +96,30 @@ def test_grid_upkeep_equals_rebuild(spark):
         kept = grid.read_grid(spark, paths[spec.name]).drop("date")
         whole = grid.representative_grid(tables.read_observations(spark, table), spec)
         assert kept.count() == whole.count() and kept.exceptAll(whole).count() == 0
+
+
+def test_a_repeated_batch_stores_nothing_twice(spark):
+    rows = bridge.observations(spark, SF).withColumn("time", F.col("time").cast("timestamp"))
+    path, bad = fresh_folder(spark, "table"), fresh_folder(spark, "bad")
+    paths = {spec.name: fresh_folder(spark, spec.name) for spec in grid.GRIDS}
+    for _ in range(2):
+        jobs.store_arrived(rows, 7, path, bad, filter_outliers=False, grids=paths)
+    broken = rows.where("altitude IS NULL OR temperature IS NULL").count()
+    assert spark.read.parquet(bad).count() == broken > 0
+    assert tables.read_observations(spark, path).count() == rows.count() - broken
+    assert grid.read_grid(spark, paths["half_hour"]).count() == grid.representative_grid(
+        rows, grid.HALF_HOUR_GRID).count()
+
+
+def test_an_emptied_day_leaves_the_grid(spark):
+    rows = bridge.observations(spark, SF).withColumn("time", F.col("time").cast("timestamp"))
+    path = fresh_folder(spark, "grid")
+    grid.rebuild_grid(rows, grid.HALF_HOUR_GRID, path)
+    last = rows.agg(F.max(F.to_date("time"))).first()[0]
+    left = rows.where(F.to_date("time") < F.lit(last) - F.expr("INTERVAL 1 DAY"))
+    now = F.lit(last).cast("timestamp")
+    assert grid.read_grid(spark, path).where(F.to_date("time") >= F.lit(last)).count() > 0
+    grid.refresh_grid(left, grid.THREE_HOUR_GRID, path, now)
+    first_kept = F.to_date(grid.refresh_start(grid.THREE_HOUR_GRID, now))
+    stale = grid.read_grid(spark, path).where(F.to_date("time_bucket") >= first_kept)
+    assert stale.where(F.col("time") > left.agg(F.max("time")).first()[0]).count() == 0

@@ -253,3 +253,35 @@ def test_missing_grid_is_flagged(spark):
     stats = {r.grid: r for r in monitor.grid_statistics({"half_hour": half, "three_hour": None}).collect()}
     assert stats["three_hour"].error and stats["three_hour"].row_count == 0
     assert not stats["half_hour"].error and stats["half_hour"].row_count > 0
+
+
+def test_exports_are_read_back_whole(spark):
+    from skysonde.sources import exports
+    from skysonde.sources.storage import fresh_folder
+
+    records = compare.comparison_records(bridge.observations(spark, SF)).withColumn(
+        "temperature", F.when(F.col("obs_id") != 3, F.col("temperature")))
+    path = fresh_folder(spark, "csv")
+    exports.write_comparison_csv(records, path)
+    back = spark.read.csv(path, header=True)
+    assert back.count() == records.count() and back.where("altitude_m = 'n' OR temperature_c = 'n'").count() == 0
+    assert back.where("temperature_c IS NULL").count() == records.where("temperature IS NULL").count() > 0
+    pairs = compare.discrepancies(records, window_s=3600)
+    exports.write_discrepancies_json(pairs, path)
+    schema = exports.discrepancy_documents(pairs).schema
+    docs = spark.read.schema(schema).options(**exports.JSON_TIMES).json(path)
+    assert docs.exceptAll(exports.discrepancy_documents(pairs)).count() == 0 and docs.count() == pairs.count()
+
+
+def test_numbering_and_latest_values_over_blocks(spark):
+    from skysonde.operators.ranges import numbered, with_latest
+
+    rows = spark.range(500).selectExpr("id", "(id * 37) % 100 AS v", "IF(id % 7 = 0, id, NULL) AS mark")
+    data = sorted([(r.v, r.id, r.mark) for r in rows.collect()], key=lambda r: r[:2])
+    got = {r.id: r._at for r in numbered(rows, "v", "id").collect()}
+    assert got == {r[1]: n + 1 for n, r in enumerate(data)}
+    latest, expected = None, {}
+    for _v, i, mark in data:
+        latest = latest if mark is None else mark
+        expected[i] = latest
+    assert {r.id: r.mark for r in with_latest(rows, "mark", "v", "id").collect()} == expected
