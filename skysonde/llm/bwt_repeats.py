@@ -16,7 +16,9 @@ LENGTH = 50
 #: Strings are dealt out by the least hash among their substrings of so many bytes.
 SEED = 24
 #: Bytes of text in a shard, hashed at a time, and transformed at a time.
-SHARD_BYTES, PIECE_BYTES, TRANSFORM_BYTES = 32 << 20, 1 << 20, 2 << 20
+SHARD_BYTES, PIECE_BYTES, TRANSFORM_BYTES = 8 << 20, 1 << 20, 256 << 10
+#: Shards of text for each bucket of seeds.
+SHARDS_PER_BUCKET = 4
 SHARDS = "doc_ids binary, sizes binary, text binary"
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 _NO_ID = np.int64(2**63 - 1)  # a document without id is later than all others
@@ -447,7 +449,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     with Scratch(spark) as scratch:
         made = docs.select("doc_id", "text").mapInArrow(_to_shards, SHARDS)
         shards = scratch.table(made.withColumn("shard", F.monotonically_increasing_id()), "shards")
-        n = max(12, shards.count())
+        n = max(12, -(-shards.count() // SHARDS_PER_BUCKET))
         seen = shards.mapInArrow(_seen_seeds(n, length), "bucket int, shard long, seeds binary, twice binary")
         bits = seen.groupBy("bucket").applyInArrow(_repeated_seeds, "bucket int, shard long, bits binary")
         bits = scratch.table(bits, "repeated-seeds")
