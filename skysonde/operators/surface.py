@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysonde import settings as S
+from skysonde.functions.staging import computed_once
 from skysonde.functions.timebins import micros
 
 # Nodes within this many mesh steps share their observations with a node.
@@ -40,12 +41,19 @@ def mesh_extent(
     )
 
 
+def _bounds(extent: DataFrame) -> Column:
+    """The extent as one value.  Equal subqueries of a plan run once, so cells and mesh
+    share it."""
+    return extent.select(F.struct("first", "last")).scalar()
+
+
 def regular_mesh(extent: DataFrame, nodes: int = S.MESH_NODES, limited: bool = False) -> DataFrame:
     """All mesh nodes: i over time, j over altitude."""
     count = altitude_nodes(nodes, limited)
     top = S.ALTITUDE_LIMITED_M if limited else S.ALTITUDE_MAX_M
+    one = computed_once(extent.sparkSession.range(1), _e=_bounds(extent))
     return (
-        extent.select("first", "last", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("i"))
+        one.select("_e.*", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("i"))
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("j"))
         .select(
             "i",
@@ -65,10 +73,9 @@ def _cell_sums(
     """Sums of the observations nearest to each node, about that node."""
     count = altitude_nodes(nodes, limited)
     top = S.ALTITUDE_LIMITED_M if limited else S.ALTITUDE_MAX_M
-    bounds = extent.select(F.struct("first", "last")).scalar()
     t = micros(F.col("time"))
     placed = (
-        rows.withColumn("_e", bounds)
+        computed_once(rows, _e=_bounds(extent))
         .where((t >= F.col("_e.first")) & (t <= F.col("_e.last")))
         .where(F.col("altitude").between(0.0, top) & F.col(value).isNotNull())
         .select(
@@ -175,13 +182,26 @@ def isotherms(surface: DataFrame, limited: bool = False, step: int | None = None
     along_time = Window.partitionBy("j").orderBy("i")
     along_altitude = Window.partitionBy("i").orderBy("j")
 
-    def edges(window, direction: str) -> DataFrame:
-        here = F.struct("mesh_day", "mesh_altitude", "value")
-        return surface.select(
-            "i", "j", F.lit(direction).alias("edge"), here.alias("a"), F.lead(here).over(window).alias("b")
-        )
-
-    both = edges(along_time, "time").unionByName(edges(along_altitude, "altitude"))
+    # Both directions come from one reading of the surface.
+    here = F.struct("mesh_day", "mesh_altitude", "value")
+    ends = surface.select(
+        "i",
+        "j",
+        here.alias("a"),
+        F.lead(here).over(along_time).alias("_later"),
+        F.lead(here).over(along_altitude).alias("_higher"),
+    )
+    both = ends.select(
+        "i",
+        "j",
+        "a",
+        F.inline(
+            F.array(
+                F.struct(F.lit("time").alias("edge"), F.col("_later").alias("b")),
+                F.struct(F.lit("altitude").alias("edge"), F.col("_higher").alias("b")),
+            )
+        ),
+    )
     va, vb = F.col("a.value"), F.col("b.value")
     bottom, top = F.least(va, vb), F.greatest(va, vb)
     first = F.greatest(F.ceil(bottom / by), F.lit(low // by).cast("long"))
