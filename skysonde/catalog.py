@@ -1071,32 +1071,37 @@ def _(spark, sf):
 # --- views -----------------------------------------------------------------------------------------
 
 
-_STORED_GRIDS: dict[tuple[str, str], DataFrame] = {}
+#: Periods that each level of detail serves; the last covers all of the driver events.
+PERIODS = {
+    "raw": (datetime(2024, 1, 8), datetime(2024, 1, 15)),
+    "half_hour": (datetime(2024, 1, 1), datetime(2024, 1, 31)),
+    "three_hour": (datetime(2023, 11, 1), datetime(2024, 2, 29)),
+}
 
 
-def _stored_grid(spark, sf) -> DataFrame:
-    """The half-hour grid as a stored table, built once per session and table set."""
-    place = (spark.sparkContext.applicationId, sf)
-    if place not in _STORED_GRIDS:
-        _STORED_GRIDS[place] = materialized(_half(spark, sf), "half-hour")
-    return _STORED_GRIDS[place]
+def stored_grid(spark, sf, level: str) -> DataFrame:
+    """A grid as a table of its own, written before it is viewed."""
+    return materialized(_half(spark, sf) if level == "half_hour" else _three(spark, sf), level)
 
 
-def _request(spark, sf, **options):
-    """All thirty days of the driver events, which the stored half-hour grid serves."""
-    return views.Request(
-        obs(spark, sf),
-        datetime(2024, 1, 1),
-        datetime(2024, 1, 31),
-        {"half_hour": _stored_grid(spark, sf)},
-        **options,
-    )
+def view_query(name: str, level: str = "half_hour", limited: bool = False, stored: bool = True) -> Query:
+    """A view of a period that `level` serves, over a stored grid or one that is computed."""
 
+    def make(spark, sf):
+        grids = {}
+        if level != "raw":
+            plain = _half if level == "half_hour" else _three
+            grids[level] = stored_grid(spark, sf, level) if stored else plain(spark, sf)
+        return views.view(name, views.Request(obs(spark, sf), *PERIODS[level], grids, limited))
 
-def _view(number: int, name: str) -> None:
-    places = MEAN_PLACES if name == "temperature" else 6
-    query(f"v{number}_{name}", places)(lambda spark, sf: views.view(name, _request(spark, sf)))
+    return make
 
 
 for _number, _name in enumerate(views.VIEWS, 1):
-    _view(_number, _name)
+    _places = MEAN_PLACES if _name == "temperature" else 6
+    _short = _name in ("temperature_profile", "hodograph")
+    query(f"v{_number}_{_name}", _places)(view_query(_name, stored=not _short))
+    query(f"v{_number}_{_name}_limited", _places)(view_query(_name, limited=True, stored=not _short))
+    if not _short:
+        for _level in ("raw", "three_hour"):
+            query(f"v{_number}_{_name}_{_level}", _places)(view_query(_name, _level))

@@ -182,3 +182,9 @@ def minimum_sample(df: DataFrame, keys: Sequence[str] = (), least: int = S.MIN_S
     """Groups (or the whole frame) with their row count and an `enough` flag."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("enough", F.col("n") >= least)
+
+
+def enough_rows(df: DataFrame, least: int = S.MIN_SAMPLES) -> DataFrame:
+    """All rows, or none when there are fewer than `least`; no more than those are counted."""
+    seen = df.limit(least).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return df.where(seen >= least)

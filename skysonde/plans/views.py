@@ -1,5 +1,7 @@
 """The ten named views, as data.
 
+Times are on the local wall clock.  A view of fewer than ten rows has none.
+
 Each view is a function of a `Request` that returns the DataFrame a chart of that
 name is drawn from.  `VIEWS` maps names to functions and is the place to add one.
 """
@@ -12,10 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysonde import settings as S
-from skysonde.functions.timebins import epoch_days
+from skysonde.functions.timebins import epoch_days, wall_clock
 from skysonde.operators import profile, series, surface, winds
 from skysonde.operators.fetch import detail_level, fetch_measures, grid_or_raw
-from skysonde.operators.filters import band_rows, finite_rows, tail_rows, windy_rows
+from skysonde.operators.filters import (
+    band_rows,
+    enough_rows,
+    finite_rows,
+    tail_rows,
+    windy_rows,
+)
 
 
 @dataclass(frozen=True)
@@ -43,8 +51,12 @@ def _instant(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def _local(value: datetime) -> Column:
+    return wall_clock(_instant(value))
+
+
 def measures(request: Request, wind: bool = False, extend: float = 0.0) -> DataFrame:
-    """Rows of the requested period from the table that suits its length.
+    """Rows of the requested period, on the local clock, from the table that suits its length.
 
     The level of detail follows the requested period; `extend` widens the read on
     both sides afterwards by that share of the period.
@@ -66,7 +78,7 @@ def measures(request: Request, wind: bool = False, extend: float = 0.0) -> DataF
         rows = grid_or_raw(
             request.grids.get(level), request.observations, start, end, request.max_altitude, wind
         )
-    return finite_rows(rows)
+    return enough_rows(finite_rows(rows)).withColumn("time", wall_clock(F.col("time")))
 
 
 def scatter_2d(request: Request) -> DataFrame:
@@ -85,7 +97,7 @@ def density(request: Request) -> DataFrame:
 
 def _surface(request: Request, nodes: int, extend: float) -> DataFrame:
     rows = measures(request, extend=extend)
-    period = (_instant(request.start), _instant(request.end)) if extend else (None, None)
+    period = (_local(request.start), _local(request.end)) if extend else (None, None)
     extent = surface.mesh_extent(rows, *period)
     return surface.temperature_surface(rows, extent, nodes=nodes, limited=request.limited)
 
@@ -126,15 +138,22 @@ def _tail(request: Request, wind: bool = False) -> DataFrame:
         request.distance_km,
         request.row_limit,
     )
-    return tail_rows(measures(short, wind), _instant(short.start), _instant(short.end))
+    return tail_rows(measures(short, wind), _local(short.start), _local(short.end))
 
 
 def temperature_profile(request: Request) -> DataFrame:
-    return profile.temperature_profile(_tail(request))
+    """Median temperatures per altitude bin, and the standard atmosphere through the lowest."""
+    medians = profile.temperature_profile(_tail(request))
+    standard = profile.standard_atmosphere(medians, request.limited)
+    return medians.select(
+        F.lit("median").alias("line"),
+        F.col("altitude_centre").alias("altitude"),
+        F.col("median_temperature").alias("temperature"),
+    ).unionByName(standard.select(F.lit("standard").alias("line"), "altitude", "temperature"))
 
 
 def hodograph(request: Request) -> DataFrame:
-    rows = windy_rows(_tail(request, wind=True), request.limited)
+    rows = enough_rows(windy_rows(_tail(request, wind=True), request.limited))
     return profile.hodograph_segments(profile.hodograph(rows))
 
 

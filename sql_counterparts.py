@@ -743,32 +743,62 @@ put("st9_bounded_history", [OBS,
     "h AS (SELECT * FROM obs WHERE altitude IS NOT NULL AND temperature > -100 ORDER BY time DESC, obs_id DESC LIMIT 300)"],
     "h", "obs_id", "altitude | temperature")
 
-# --- views: thirty days, which the half-hour grid serves -------------------------------------------------
-_V = [OBS, FIT, HALF, """g AS (SELECT * REPLACE (time_bucket AS time) FROM half_hour
-  WHERE time_bucket >= TIMESTAMP '2024-01-01' AND time_bucket <= TIMESTAMP '2024-01-31')"""]
-put("v1_scatter_2d", _V, "g", "time", "altitude | temperature")
-put("v2_scatter_3d", _V, "g", "", "epoch_us(time) / 86400e6 AS day_number | altitude | temperature")
-_VEXT = _EXT.format("greatest(min(epoch_us(time)), epoch_us(TIMESTAMP '2024-01-01'))",
-                    "least(max(epoch_us(time)), epoch_us(TIMESTAMP '2024-01-31'))", "g")
-_VS = [*_V, _VEXT, _surface("g", 80, 80, 13000)]
-put("v3_contour_2d", [*_VS, _iso(-80, 30, 10)], "crossed", "i, j, edge, lvl AS level", _ISOC)
-put("v4_contour_3d", [*_V, _VEXT, _surface("g", 60, 60, 13000), _iso(-80, 30, 10)], "crossed",
-    "i, j, edge, lvl AS level", _ISOC)
-put("v5_density", _V, "g", "", "altitude | temperature")
-put("v6_heatmap", _VS, "surf", "i, j", "mesh_day | mesh_altitude | value")
-put("v7_temperature", [*_V, _BANDS, _SERIES.format(time="time", rows="g")], "bins", _SCOLS, "mean_temperature", 9)
-_GF = _WF.format(low="", step=200, last=63).replace("FROM fit", "FROM g")
-put("v8_wind_direction", [*_V, _GF, "s AS (SELECT *, sqrt(wind_x * wind_x + wind_y * wind_y) AS wind_speed FROM field)"], "s",
-    "time_bin, alt_bin, altitude_bin",
-    f"""mean_day | wind_x | wind_y | wind_speed | {_TOWARD.format('wind_x', 'wind_y')} AS toward_angle
-    | wind_x / nullif(wind_speed, 0) AS unit_x | wind_y / nullif(wind_speed, 0) AS unit_y
-    | least(wind_speed, 100) AS shown_speed""")
-_TAIL = "tail AS (SELECT * FROM fit WHERE time >= TIMESTAMP '2024-01-30 21:00:00' AND time <= TIMESTAMP '2024-01-31')"
-put("v9_temperature_profile", [OBS, FIT, _TAIL,
-    "prof AS (SELECT floor(altitude / 250) AS b, median(temperature) AS median_temperature FROM tail GROUP BY b)"],
-    "prof", "(b * 250)::INTEGER AS altitude_bin", "median_temperature | (b + 0.5e0) * 250 AS altitude_centre")
-put("v10_hodograph", [OBS, FIT, _TAIL, _HODO.format("tail"), _SEG], "seg WHERE b2 IS NOT NULL",
-    "(b * 250)::INTEGER AS altitude_bin", _SEGC)
+# --- views: periods that raw rows, the half-hour and the three-hour grid serve, on the local clock ----------
+_PERIODS = {"raw": ("2024-01-08", "2024-01-15"), "half_hour": ("2024-01-01", "2024-01-31"),
+            "three_hour": ("2023-11-01", "2024-02-29")}
+_LOW_BANDS = "bands AS (SELECT * FROM (VALUES (500), (1000), (1500)) b(band))"
+
+
+def _put_views(level: str, limited: bool, suffix: str) -> None:
+    first, last = (f"TIMESTAMP '{d}'" for d in _PERIODS[level])
+    table, at = ("fit", "time") if level == "raw" else (level, "time_bucket")
+    low = " AND altitude <= 2000" if limited else ""
+    tenth = f"to_microseconds((epoch_us({last}) - epoch_us({first})) // 10)"
+    rows = f"SELECT * REPLACE ({at} + INTERVAL 9 HOUR AS time) FROM {table} WHERE {at} >= {{}} AND {at} <= {{}}{low}"
+    g = [OBS, FIT, HALF, THREE, "g AS (" + rows.format(first, last) + ")",
+         "wide AS (" + rows.format(f"{first} - {tenth}", f"{last} + {tenth}") + ")"]
+    nine = "+ INTERVAL 9 HOUR"
+    cut = _EXT.format(f"greatest(min(epoch_us(time)), epoch_us({first} {nine}))",
+                      f"least(max(epoch_us(time)), epoch_us({last} {nine}))", "wide")
+    top, alts, alts3 = (2000, 41, 41) if limited else (13000, 80, 60)
+    iso, iso3 = ((-20, 40, 5), (-20, 40, 10)) if limited else ((-80, 30, 10), (-80, 30, 10))
+    put("v1_scatter_2d" + suffix, g, "g", "time", "altitude | temperature")
+    put("v2_scatter_3d" + suffix, g, "g", "", "epoch_us(time) / 86400e6 AS day_number | altitude | temperature")
+    surface = [*g, cut, _surface("wide", 80, alts, top)]
+    put("v3_contour_2d" + suffix, [*surface, _iso(*iso)], "crossed", "i, j, edge, lvl AS level", _ISOC)
+    whole = _EXT.format("min(epoch_us(time))", "max(epoch_us(time))", "g")
+    put("v4_contour_3d" + suffix, [*g, whole, _surface("g", 60, alts3, top), _iso(*iso3)], "crossed",
+        "i, j, edge, lvl AS level", _ISOC)
+    put("v5_density" + suffix, g, "g", "", "altitude | temperature")
+    put("v6_heatmap" + suffix, surface, "surf", "i, j", "mesh_day | mesh_altitude | value")
+    put("v7_temperature" + suffix, [*g, _LOW_BANDS if limited else _BANDS, _SERIES.format(time="time", rows="g")],
+        "bins", _SCOLS, "mean_temperature", 9)
+    field = _WF.format(low="", step=100 if limited else 200, last=19 if limited else 63).replace("FROM fit", "FROM g")
+    put("v8_wind_direction" + suffix,
+        [*g, field, "s AS (SELECT *, sqrt(wind_x * wind_x + wind_y * wind_y) AS wind_speed FROM field)"], "s",
+        "time_bin, alt_bin, altitude_bin",
+        f"""mean_day | wind_x | wind_y | wind_speed | {_TOWARD.format('wind_x', 'wind_y')} AS toward_angle
+        | wind_x / nullif(wind_speed, 0) AS unit_x | wind_y / nullif(wind_speed, 0) AS unit_y
+        | least(wind_speed, 100) AS shown_speed""")
+
+
+for _level, _limited, _suffix in (
+    ("half_hour", False, ""), ("half_hour", True, "_limited"), ("raw", False, "_raw"), ("three_hour", False, "_three_hour"),
+):
+    _put_views(_level, _limited, _suffix)
+
+for _low, _suffix, _top in (("", "", "13000e0"), (" AND altitude <= 2000", "_limited", "2000e0")):
+    _TAIL = f"""last AS (SELECT * FROM fit WHERE time >= TIMESTAMP '2024-01-30 21:00:00' AND time <= TIMESTAMP '2024-01-31'{_low}),
+      tail AS (SELECT * FROM last WHERE (SELECT count(*) FROM last) >= 10),
+      windy AS (SELECT * FROM tail WHERE {_WINDY}), blown AS (SELECT * FROM windy WHERE (SELECT count(*) FROM windy) >= 10)"""
+    put("v9_temperature_profile" + _suffix, [OBS, FIT, _TAIL,
+        "prof AS (SELECT floor(altitude / 250) AS b, median(temperature) AS m FROM tail GROUP BY b)",
+        "ground AS (SELECT m + 6.5e0 * (b + 0.5e0) * 250 / 1000e0 AS surface FROM prof ORDER BY b LIMIT 1)",
+        f"""drawn AS (SELECT 'median' AS line, (b + 0.5e0) * 250 AS altitude, m AS temperature FROM prof
+        UNION ALL SELECT 'standard', p * ({_top} / 49), surface - 6.5e0 * (p * ({_top} / 49)) / 1000e0 FROM ground, range(50) r(p))"""],
+        "drawn", "line", "altitude | temperature")
+    put("v10_hodograph" + _suffix, [OBS, FIT, _TAIL, _HODO.format("blown"), _SEG], "seg WHERE b2 IS NOT NULL",
+        "(b * 250)::INTEGER AS altitude_bin", _SEGC)
 
 # --- streams folded row by row -----------------------------------------------------------------------------
 _FOLD_COLS = ("callsign", "alt", "lat", "lon", "t44", "s44", "d44", "trk", "gs", "tas", "hdg", "mach")
