@@ -7,10 +7,14 @@ bins.  The chain of starts is found from distinct times alone, slice by slice:
 1. each (key, slice) works out, for every time at which the chain can enter it,
    where the chain leaves it again: a step function, which shrinks as entries
    meet on the same bin;
-2. per key the step functions are followed from slice to slice;
-3. each (key, slice) lists its starts, now that the entry is known.
+2. the step functions of FAN consecutive slices are composed into one, those of FAN
+   such stretches again, until one stretch spans a key: no task sees more than FAN
+   of them at a time;
+3. from the top down each stretch tells its parts what is covered when they begin;
+4. each (key, slice) lists its starts, now that the entry is known.
 
-The averages are then an ordinary join on time cells and a grouped mean.
+The input is summed per key and instant once; all steps and the averages, an ordinary
+join on time cells, read those sums.
 """
 
 from collections.abc import Iterator
@@ -22,8 +26,13 @@ from pyspark.sql import functions as F
 
 from skysonde import settings as S
 from skysonde.functions.timebins import micros
+from skysonde.sources.storage import materialized
 
 CELLS_PER_SLICE = 6
+#: Slices, or stretches of them, that are composed at a time.
+FAN = 32
+_NOTHING = np.iinfo(np.int64).min
+_ANY = np.iinfo(np.int64).max
 
 
 def _followers(times: np.ndarray, width: int) -> np.ndarray:
@@ -50,9 +59,32 @@ def _slice_steps(times: np.ndarray, start: int, width: int) -> pd.DataFrame:
     return pd.DataFrame({"upto": upto[keep], "leave": leave[keep]})
 
 
+def _composed(steps: pd.DataFrame) -> pd.DataFrame:
+    """Step function of consecutive slices (or stretches) taken together.
+
+    The chain enters by the first of them.  What covers all its times is carried to the
+    second, which begins too late to be touched by it.
+    """
+    upto, leave = None, None
+    for _number, part in steps.groupby("slice", sort=True):
+        part = part.sort_values("upto")
+        own_upto, own_leave = part["upto"].to_numpy(), part["leave"].to_numpy()
+        if upto is None:
+            upto, leave, passing = own_upto, own_leave, True
+            continue
+        at = np.searchsorted(own_upto, leave, side="right")
+        inside = at < len(own_upto)
+        leave = np.where(inside, own_leave[np.minimum(at, len(own_upto) - 1)], leave)
+        if passing and upto[-1] != _ANY:
+            upto, leave = np.append(upto, _ANY), np.append(leave, own_leave[0])
+        passing = False
+    keep = np.append(leave[1:] != leave[:-1], True)
+    return pd.DataFrame({"upto": upto[keep], "leave": leave[keep]})
+
+
 def _chain(steps: pd.DataFrame) -> pd.DataFrame:
-    """What is covered already when each slice of one key begins."""
-    covered = np.iinfo(np.int64).min
+    """What is covered already when each slice of a stretch begins."""
+    covered = int(steps["covered"].iloc[0])
     slices, entering = [], []
     for number, part in steps.groupby("slice", sort=True):
         slices.append(number)
@@ -92,22 +124,47 @@ def _whole_groups(
         yield [(held["key"].iloc[0], int(held["slice"].iloc[0]), held)]
 
 
+def _entering(stepped: DataFrame) -> DataFrame:
+    """(key, slice, covered) for each slice of a table of step functions."""
+    span = stepped.agg(F.min("slice").alias("first"), F.max("slice").alias("last")).first()
+    levels = [stepped.withColumn("slice", F.col("slice") - F.lit(span.first or 0))]
+    width = (span.last - span.first + 1) if span.first is not None else 1
+    parent = F.floor(F.col("slice") / F.lit(FAN))
+    while width > 1:
+        upper = levels[-1].withColumn("parent", parent).groupBy("key", "parent").applyInPandas(
+            lambda pdf: _composed(pdf).assign(key=pdf["key"].iloc[0], slice=pdf["parent"].iloc[0])[
+                ["key", "slice", "upto", "leave"]
+            ],
+            "key string, slice long, upto long, leave long",
+        )
+        levels.append(upper)
+        width = -(-width // FAN)
+    entering = levels.pop().select("key", "slice").distinct().withColumn("covered", F.lit(_NOTHING))
+    for level in reversed(levels):
+        above = entering.select("key", F.col("slice").alias("parent"), "covered")
+        entering = (
+            level.withColumn("parent", parent)
+            .join(above, ["key", "parent"])
+            .groupBy("key", "parent")
+            .applyInPandas(
+                lambda pdf: _chain(pdf).assign(key=pdf["key"].iloc[0])[["key", "slice", "covered"]],
+                "key string, slice long, covered long",
+            )
+        )
+    return entering.withColumn("slice", F.col("slice") + F.lit(span.first or 0))
+
+
 def bin_starts(df: DataFrame, key: str, at: str, width: int) -> DataFrame:
-    """Bin starts per key, from a whole-number time column.
+    """Bin starts per key, from a whole-number time column without repeats or NULLs.
 
-    A task holds the distinct times of one (key, slice) at a time.
+    A task holds the times of one (key, slice), or the step functions of FAN stretches.
     """
     length = width * CELLS_PER_SLICE
-    times = (
-        df.where(F.col(at).isNotNull())
-        .select(
-            F.col(key).cast("string").alias("key"),
-            F.floor(F.col(at) / F.lit(length)).alias("slice"),
-            F.col(at).alias("at"),
-        )
-        .distinct()
-        .repartition("key", "slice")
-    )
+    times = df.select(
+        F.col(key).cast("string").alias("key"),
+        F.floor(F.col(at) / F.lit(length)).alias("slice"),
+        F.col(at).alias("at"),
+    ).repartition("key", "slice")
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for groups in _whole_groups(batches):
@@ -120,9 +177,6 @@ def bin_starts(df: DataFrame, key: str, at: str, width: int) -> DataFrame:
             if parts:
                 yield pd.concat(parts)[["key", "slice", "upto", "leave"]]
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _chain(pdf).assign(key=pdf["key"].iloc[0])[["key", "slice", "covered"]]
-
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for groups in _whole_groups(batches):
             parts = [
@@ -143,7 +197,7 @@ def bin_starts(df: DataFrame, key: str, at: str, width: int) -> DataFrame:
     stepped = times.sortWithinPartitions(*order).mapInPandas(
         steps, "key string, slice long, upto long, leave long"
     )
-    entering = stepped.groupBy("key").applyInPandas(follow, "key string, slice long, covered long")
+    entering = _entering(materialized(stepped, "steps"))
     return (
         times.join(entering, ["key", "slice"])
         .repartition("key", "slice")
@@ -166,10 +220,17 @@ def anchored_bins(
     row's bin starts in the row's own time cell or in the one before it: the rows
     meet their starts in an equality join on (key, cell).
     """
-    rows = df.withColumn("_at", micros(F.col(time))).withColumn(
-        "_cell", F.floor(F.col("_at") / F.lit(width))
+    instants = materialized(
+        df.where(F.col(time).isNotNull())
+        .groupBy(key, micros(F.col(time)).alias("_at"))
+        .agg(
+            F.sum(value).alias("_sum"),
+            F.count(value).alias("_values"),
+            F.count(F.lit(1)).alias("_rows"),
+        ),
+        "instants",
     )
-    starts = bin_starts(rows, key, "_at", width)
+    starts = bin_starts(instants, key, "_at", width)
     cell = F.floor(F.col("start") / F.lit(width))
     key_type = dict(df.dtypes)[key]
     shown = (
@@ -182,13 +243,17 @@ def anchored_bins(
     )
     start = F.when(F.col("_own") <= F.col("_at"), F.col("_own")).otherwise(F.col("_prior"))
     binned = (
-        rows.join(shown, [key, "_cell"])
+        instants.withColumn("_cell", F.floor(F.col("_at") / F.lit(width)))
+        .join(shown, [key, "_cell"])
         .groupBy(key, start.alias("bin_start"))
-        .agg(F.avg(value).alias(f"mean_{value}"), F.count(F.lit(1)).alias("n"))
+        .agg(
+            (F.sum("_sum") / F.nullif(F.sum("_values"), F.lit(0))).alias(f"mean_{value}"),
+            F.sum("_rows").alias("n"),
+        )
     )
-    totals = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    enough = instants.groupBy(key).agg(F.sum("_rows").alias("_rows")).where(F.col("_rows") >= least_rows)
     return (
-        binned.join(totals.where(F.col("_rows") >= least_rows).select(key), key, "left_semi")
+        binned.join(enough.select(key), key, "left_semi")
         .withColumn(
             "bin_centre",
             F.timestamp_micros(F.col("bin_start") + F.lit(width // 2)).cast("timestamp_ntz"),
