@@ -30,7 +30,7 @@ from skysonde.operators import (
 )
 from skysonde.plans import replay, views
 from skysonde.sources import exports, landing, messages, tables
-from skysonde.streaming import fragments, jobs
+from skysonde.streaming import fragments, jobs, live
 from skysonde.sources.storage import fresh_folder, materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1047,6 +1047,40 @@ def _(spark, sf):
     )
 
 
+def _in_turn(spark, frame: DataFrame, time: str, purpose: str, parts: int = 3) -> str:
+    """Rows landed in as many files as `parts`, one for each stretch of time, in turn."""
+    path = fresh_folder(spark, f"land-{purpose}")
+    frame = _zoned(frame, time)
+    ends = frame.agg(F.min(time).alias("first"), F.max(time).alias("last")).first()
+    step = (ends.last - ends.first) / parts
+    for n in range(parts):
+        own = F.col(time) >= F.lit(ends.first + step * n)
+        if n < parts - 1:
+            own = own & (F.col(time) < F.lit(ends.first + step * (n + 1)))
+        frame.where(own).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query("live_collection")
+def _(spark, sf):
+    """Positions, Mode S messages and datalink lines collected in several batches each."""
+    store = live.LiveTables(fresh_folder(spark, "live"))
+    places = _landed(spark, _zoned(bridge.positions(spark, sf), "time"), "positions")
+    positions = spark.readStream.schema(spark.read.parquet(places).schema).parquet(places)
+    heard = _in_turn(spark, bridge.modes_messages(spark, sf), "time", "heard")
+    lines = _in_turn(spark, bridge.vdl2_lines(spark, sf), "received_at", "lines")
+    live.collect_positions(positions, store, True).awaitTermination()
+    live.collect_modes(
+        landing.stream_modes_messages(spark, heard, 1), store, PAIRING_TTL_S, True, False
+    ).awaitTermination()
+    live.collect_datalink(
+        landing.stream_datalink_lines(spark, lines, 1), store, POSITION_REACH_S, XID_REACH_S, True, False
+    ).awaitTermination()
+    return tables.read_observations(spark, store.path("observations")).select(
+        "obs_id", "method", "altitude", "temperature"
+    )
+
+
 @query("st7_freshness")
 def _(spark, sf):
     return monitor.freshness(obs(spark, sf), instant(NOW), F.lit(21))

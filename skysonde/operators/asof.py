@@ -269,7 +269,7 @@ def fill_altitude(
 
     The probe time is the time inside the message, falling back to the time of
     arrival.  Coordinates are filled one by one from the history; an XID position
-    goes before the report's.  All reports go through in one pass: those that
+    goes before the report's, and `xid_seq` tells which XID was used up.  All reports go through in one pass: those that
     yield weather are few, reading the lines twice would cost more.
     """
     named = _with_aircraft(reports.where(F.col("temperature_c").isNotNull()), positions)
@@ -304,9 +304,10 @@ def fill_altitude(
                     metres_to_whole_feet(F.col("match.altitude_m")),
                     "xid.altitude_ft",
                 ),
+                "xid_seq": F.when(last, F.col("xid.seq")),
             }
         )
-        .select(*reports.columns, "altitude_source")
+        .select(*reports.columns, "altitude_source", "xid_seq")
     )
 
 

@@ -483,7 +483,7 @@ named AS (
   FROM reports r LEFT JOIN known ON upper(trim(coalesce(icao, nullif(flight, '')))) = known_icao
   LEFT JOIN names ON upper(trim(coalesce(icao, nullif(flight, '')))) = name WHERE temperature_c IS NOT NULL),
 lookup AS (SELECT * REPLACE (found_icao AS icao) FROM named)"""
-put("j5_altitude_cascade", [OBS, REPORTS, POS, _IDS, _NAMED,
+_CASCADE = [OBS, REPORTS, POS, _IDS, _NAMED,
     _NEAR.format(k="seq", t="probe_time", probes="lookup"),
     "filled AS (SELECT n.*, altitude_m, near.latitude AS nlat, near.longitude AS nlon, off FROM named n LEFT JOIN near ON seq = probe)",
     _ASK.format("filled", " AND altitude_m IS NULL"), _XID.format(asking="asking"),
@@ -493,8 +493,9 @@ put("j5_altitude_cascade", [OBS, REPORTS, POS, _IDS, _NAMED,
     CASE WHEN f.altitude_ft IS NOT NULL THEN f.latitude WHEN altitude_m IS NOT NULL THEN coalesce(f.latitude, nlat)
       ELSE coalesce(xid_lat, f.latitude) END AS latitude,
     CASE WHEN f.altitude_ft IS NOT NULL THEN f.longitude WHEN altitude_m IS NOT NULL THEN coalesce(f.longitude, nlon)
-      ELSE coalesce(xid_lon, f.longitude) END AS longitude FROM filled f LEFT JOIN taken t ON t.seq = f.seq)"""],
-    "cascade WHERE altitude_source IS NOT NULL", "seq, altitude_ft, altitude_source", "latitude | longitude")
+      ELSE coalesce(xid_lon, f.longitude) END AS longitude FROM filled f LEFT JOIN taken t ON t.seq = f.seq)"""]
+put("j5_altitude_cascade", _CASCADE, "cascade WHERE altitude_source IS NOT NULL", "seq, altitude_ft, altitude_source",
+    "latitude | longitude")
 put("j5_altitude_cascade_replay", [OBS, REPORTS, POS, _IDS, _NAMED,
     _ORDER.format(probes="lookup", cond=_BACK),
     """c AS (SELECT n.seq, coalesce(n.altitude_ft, 0) > 0 AS own, altitude_m,
@@ -851,3 +852,9 @@ put("st3_nearest_position_stream", _REACHED, "probes LEFT JOIN near ON seq = pro
     "altitude_m | abs(off) / 1e6 AS gap_s")
 put("st2_position_retention", _REACHED, "probes LEFT JOIN near ON seq = probe GROUP BY icao",
     "icao, count(altitude_m) AS matched, count(*) - count(altitude_m) AS unmatched", "max(abs(off)) / 1e6 AS widest_gap_s")
+
+put("live_collection", [*_CASCADE, MSG, _LIVE, """both_methods AS (
+  SELECT c.seq AS obs_id, 'vdl2' AS method, c.altitude_ft * 0.3048e0 AS altitude, temperature_c::DOUBLE AS temperature
+  FROM cascade c JOIN reports r ON r.seq = c.seq WHERE altitude_source IS NOT NULL AND temperature_c >= -100
+  UNION ALL SELECT seq, 'mode-s', alt * 0.3048e0, temperature FROM live_obs WHERE temperature >= -100)"""],
+    "both_methods", "obs_id, method", "altitude | temperature")
