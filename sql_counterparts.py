@@ -858,3 +858,35 @@ put("live_collection", [*_CASCADE, MSG, _LIVE, """both_methods AS (
   FROM cascade c JOIN reports r ON r.seq = c.seq WHERE altitude_source IS NOT NULL AND temperature_c >= -100
   UNION ALL SELECT seq, 'mode-s', alt * 0.3048e0, temperature FROM live_obs WHERE temperature >= -100)"""],
     "both_methods", "obs_id, method", "altitude | temperature")
+
+# --- the whole replay: positions from messages and XIDs, both methods, outliers against all that is clean ------
+_SHIFT = 10_000_000_000
+_RPOS = f"""
+rep AS (SELECT * REPLACE (seq + {_SHIFT} AS seq) FROM reports),
+pos AS (
+  SELECT seq, time, icao, last_callsign AS callsign, last_altitude_ft * 0.3048e0 AS altitude_m,
+    last_lat AS latitude, last_lon AS longitude
+  FROM state WHERE altitude_ft IS NOT NULL OR (callsign IS NOT NULL AND last_altitude_ft IS NOT NULL)
+  UNION ALL
+  SELECT seq + {_SHIFT}, received_at, icao, NULL, altitude_ft * 0.3048e0, latitude, longitude
+  FROM xid WHERE altitude_ft <> 0 AND seq NOT IN (SELECT seq FROM reports))"""
+_REPLAYED = f"""
+replayed AS (
+  SELECT n.seq, temperature_c::DOUBLE AS temperature, CASE WHEN coalesce(n.altitude_ft, 0) > 0 THEN n.altitude_ft
+      ELSE trunc(altitude_m / 0.3048e0)::INTEGER END AS feet FROM named n LEFT JOIN near ON n.seq = probe),
+obs AS (
+  SELECT seq AS obs_id, 'mode-s' AS method, 'bds44' AS data_source, last_altitude_ft * 0.3048e0 AS altitude,
+    t44 AS temperature FROM direct WHERE last_altitude_ft > 0
+  UNION ALL
+  SELECT seq, 'mode-s', 'bds50_60', last_altitude_ft * 0.3048e0, {_temp('air', 'mach')} FROM paired
+  WHERE last_altitude_ft > 0
+  UNION ALL
+  SELECT seq, 'vdl2', 'acars', feet * 0.3048e0, temperature FROM replayed WHERE feet > 0)"""
+put("u1_replay", [
+    MSG, _PAIR, _D44, REPORTS, _RPOS, _IDS, _NAMED.replace("FROM reports r", "FROM rep r"),
+    _ORDER.format(probes="lookup", cond=_BACK), _REPLAYED,
+    _HIST.format(rows="judged").replace("near AS (", "runs_near AS ("),
+    "line AS (SELECT regr_slope(temperature, altitude) AS s, regr_intercept(temperature, altitude) AS i FROM hist)",
+    """kept AS (SELECT * FROM runs_near, line WHERE NOT (abs(temperature - (s * altitude + i)) > 3.25
+      AND (abs(temperature - mean_t) > 20 OR (std_t > 0 AND abs(temperature - mean_t) / std_t > 4))))"""],
+    "kept", "obs_id, method, data_source", "altitude | temperature")
