@@ -9,6 +9,7 @@ from skysonde.functions.physics import air_temperature_c, wind_from_knots, wind_
 from skysonde.functions.units import feet_to_metres, knots_to_ms
 from skysonde.operators.running import SLICE_WIDTH, carry_forward
 from skysonde.sources.messages import usable_fields
+from skysonde.sources.storage import materialized
 
 STATE = ("callsign", "altitude_ft", "lat", "lon", "bds50", "bds60")
 
@@ -88,7 +89,8 @@ def paired_rows(messages: DataFrame, width: int = SLICE_WIDTH) -> DataFrame:
     Counting from the last certain row, the odd ones complete a pair.  That count
     is a window value, carried over slices like the field values.
     """
-    state = _with_first_check(aircraft_state(messages, width))
+    # Gate, slice summary and pairs all read the state: it is computed once.
+    state = _with_first_check(materialized(aircraft_state(messages, width), "state"))
     gate = F.coalesce(F.col("seq") == F.col("_gate"), F.lit(False))
     gate_pairs = gate & F.col("last_bds50").isNotNull() & F.col("last_bds60").isNotNull()
     letter = F.when(F.col("bds50").isNotNull(), "a").when(F.col("bds60").isNotNull(), "b")
