@@ -14,9 +14,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is not None:
         return folder
-    if not spark.conf.get("spark.master", "").startswith("local["):
+    if spark.conf.get("spark.master", "").partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/skysonde-shared"
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
