@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -10,8 +11,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from skysonde.llm.common import small_batches
+
 #: Pieces a task remembers; when the memo is full it starts anew.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 400_000
 #: Longer pieces are not remembered.
 MEMO_BYTES = 64
 _NEVER = 1 << 62
@@ -50,6 +53,7 @@ class Codec:
             return self
         self.split = regex.compile(self.pattern).findall
         self.bytes_of = {i: t for t, i in self.ranks.items()}
+        self.size = {i: len(t) for t, i in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ranks.items():
             # Latin-1 gives every byte one character, the only text the automaton takes
@@ -124,29 +128,31 @@ class Codec:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        longest: list[int] = [0] * len(piece)
-        size = [0] * len(piece)
+        longest = [0] * len(piece)
         for end, (token, n) in self.automaton.iter(piece.decode("latin-1")):
-            begin = end - n + 1
-            if n > size[begin]:
-                longest[begin], size[begin] = token, n
+            longest[end - n + 1] = token  # matches come by their end, so the longest is last
         ids: list[int] = []
         dead = bytearray(len(piece) + 1)
-        at, token = 0, longest[0]
-        while at < len(piece):
-            end = at + len(self.bytes_of[token])
-            if not dead[end] and (not ids or self.compatible(ids[-1], token)):
-                ids.append(token)
-                at = end
-                token = longest[at] if at < len(piece) else 0
-                continue
-            token = self.shorter[token]
+        size, pairs, shorter = self.size, self.pairs, self.shorter
+        at, token, total = 0, longest[0], len(piece)
+        while True:
+            end = at + size[token]
+            if not dead[end]:
+                fits = not ids or pairs.get((ids[-1], token))
+                if fits is None:
+                    fits = self.compatible(ids[-1], token)
+                if fits:
+                    ids.append(token)
+                    if end == total:
+                        return ids
+                    at, token = end, longest[end]
+                    continue
+            token = shorter[token]
             while token is None:  # nothing goes on from here: take the last token back
                 dead[at] = 1
                 last = ids.pop()
-                at -= len(self.bytes_of[last])
-                token = self.shorter[last]
-        return ids
+                at -= size[last]
+                token = shorter[last]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -165,7 +171,8 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
-        ids = np.array(self.codec.piece(raw), "<u4").tobytes()
+        ids = self.codec.piece(raw)
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= MEMO_BYTES and len(self) < MEMO_PIECES:
             self[piece] = ids
         return ids
@@ -217,7 +224,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(encode, REPORT)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(encode, REPORT)
 
 
 def decoded(encodings: DataFrame, ranks: dict[bytes, int], pattern: str = "") -> DataFrame:

@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skysonde.sources.storage import fresh_folder
 
+# Arrow's own pools keep freed memory for the process; many tasks share an executor.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U = np.uint64
+#: Rows of long texts in one Arrow batch; the session's default suits short rows.
+BATCH_ROWS = 1000
 #: Texts are worked on in chunks of about this many bytes; one longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
 #: Words are turned into symbols for so many bytes at a time.
@@ -18,6 +23,14 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 class Texts(NamedTuple):
     """Consecutive texts of a batch: rows first..last of it, their bytes and offsets."""
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skysonde.llm.common import U, Texts, text_chunks, word_table, words
+from skysonde.llm.common import U, Texts, small_batches, text_chunks, word_table, words
 
 WINDOW = 10
 #: Benchmark items are searched in blocks of at most this many bytes of text, so that
@@ -201,7 +201,7 @@ def overlap_report(
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "matches"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(report, REPORT)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(report, REPORT)
 
 
 def without_contaminated(
@@ -220,4 +220,4 @@ def without_contaminated(
                 clean[chunk.first + row] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

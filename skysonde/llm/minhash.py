@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysonde.llm.common import Scratch, U, Texts, mixed, text_chunks, word_table, words
+from skysonde.llm.common import Scratch, U, Texts, mixed, small_batches, text_chunks, word_table, words
 from skysonde.llm.components import component_labels
 
 SHINGLE_WORDS = 4
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     a spanning forest of its links, never all pairs.  5. Components of links and copies.
     """
     with Scratch(docs.sparkSession) as scratch:
-        known = scratch.table(docs.select("doc_id", "text").mapInArrow(_summary, SUMMARY), "signatures")
+        known = scratch.table(small_batches(docs).select("doc_id", "text").mapInArrow(_summary, SUMMARY), "signatures")
         real = known.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
         grouped = real.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
         classes = scratch.table(grouped, "classes")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysonde.llm.common import U, Texts, text_chunks, word_table, words
+from skysonde.llm.common import U, Texts, small_batches, text_chunks, word_table, words
 
 #: Bins of hashed words, and factors of every feature.
 BINS, FACTORS = 1 << 13, 8
@@ -177,7 +177,7 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLAS
         known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)
     ]
     sample = picks[0].union(picks[1]).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class ids
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class ids
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +235,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(score, REPORT)
+    return small_batches(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(score, REPORT)
 
 
 def without_low_quality(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame:
@@ -248,4 +248,4 @@ def without_low_quality(docs: DataFrame, machine: Machine, least: float = 0.5) -
             good = [model.value.score(features(c)) >= least for c in text_chunks(batch.column(at), CHUNK)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return small_batches(docs).mapInArrow(keep, docs.schema)

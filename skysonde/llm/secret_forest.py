@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysonde.llm.common import Scratch
+from skysonde.llm.common import Scratch, small_batches
 
 #: The forest learns from at most this many labelled findings of each kind, those with the
 #: least hashes; statistics and candidates cover all rows.
@@ -145,7 +145,7 @@ def corpus_model(docs: DataFrame) -> CorpusModel:
 
     with Scratch(docs.sparkSession) as scratch:
         # partial counts per task, then per word
-        words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        words = small_batches(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         words = scratch.table(words, "words")
         frequent = words.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word").collect()
         at = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
