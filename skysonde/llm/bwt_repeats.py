@@ -10,15 +10,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysonde.llm.common import POWERS, Scratch, U, mixed, text_chunks
+from skysonde.llm.common import POWERS, Scratch, U, mixed, small_batches, text_chunks
 
 LENGTH = 50
 #: Strings are dealt out by the least hash among their substrings of so many bytes.
 SEED = 24
 #: Bytes of text in a shard, hashed at a time, and transformed at a time.
-SHARD_BYTES, PIECE_BYTES, TRANSFORM_BYTES = 8 << 20, 1 << 20, 256 << 10
+SHARD_BYTES, PIECE_BYTES, TRANSFORM_BYTES = 4 << 20, 512 << 10, 256 << 10
 #: Shards of text for each bucket of seeds.
-SHARDS_PER_BUCKET = 4
+SHARDS_PER_BUCKET = 1
 SHARDS = "doc_ids binary, sizes binary, text binary"
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 _NO_ID = np.int64(2**63 - 1)  # a document without id is later than all others
@@ -78,7 +78,8 @@ def _runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> Runs:
     start = np.flatnonzero(first)
     end = np.flatnonzero(last) + length  # of the string
     content = mixed((total[end] - total[start]) * down[start] ^ (end - start).astype(U) << U(40))
-    return Runs(start, end - length + 1 - start, seeds[at[start]], content)
+    # least hashes are small numbers; mixed again they spread evenly over buckets
+    return Runs(start, end - length + 1 - start, mixed(seeds[at[start]]), content)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> Runs:
@@ -447,7 +448,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        made = docs.select("doc_id", "text").mapInArrow(_to_shards, SHARDS)
+        made = small_batches(docs).select("doc_id", "text").mapInArrow(_to_shards, SHARDS)
         shards = scratch.table(made.withColumn("shard", F.monotonically_increasing_id()), "shards")
         n = max(12, -(-shards.count() // SHARDS_PER_BUCKET))
         seen = shards.mapInArrow(_seen_seeds(n, length), "bucket int, shard long, seeds binary, twice binary")
