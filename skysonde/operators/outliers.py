@@ -7,6 +7,7 @@ from skysonde import settings as S
 from skysonde.operators.filters import drop_absurd_temperature
 from skysonde.operators.ranges import numbered, with_latest
 from skysonde.operators.topn import time_limited
+from skysonde.sources.storage import materialized
 
 # Runs are taken over slices of this many times k rows.
 SLICE_FACTOR = 10
@@ -91,7 +92,8 @@ def _with_neighbours(candidates: DataFrame, spans: DataFrame) -> DataFrame:
         F.lit(0).alias("_kind"),
         F.xxhash64(*candidates.columns).alias("_tie"),
     )
-    right = spans.select(
+    # ranges are drawn from a sample first: the spans are computed once, not for that as well
+    right = materialized(spans.select("above", *values), "spans").select(
         F.col("above").alias("_altitude"),
         F.lit(1).alias("_kind"),
         F.lit(0).cast("bigint").alias("_tie"),
