@@ -38,7 +38,7 @@ def shingle_sets(chunk: Texts, size: int) -> list[np.ndarray]:
     joined = s.copy()
     for k in range(1, size):
         joined *= U(0xD6E8FEB86659FD93)
-        joined[: len(s) - k] += s[k:]
+        joined[: max(len(s) - k, 0)] += s[k:]
     joined = mixed(joined)
     sets = []
     first = 0

@@ -61,6 +61,13 @@ def test_components_of_near_copies(rows, block):
     assert {tuple(r) for r in found} == brute_components(docs) and len(found) == len(texts)
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_one_text_of_few_words(rows, n):
+    texts = [" ".join("abcde"[:n])]
+    found = minhash.near_duplicates(rows(texts, parts=1)).collect()
+    assert {tuple(r) for r in found} == brute_components(list(enumerate(texts))) and len(found) == 1
+
+
 def test_components_of_the_corpus(corpus):
     found = minhash.near_duplicates(corpus[0]).collect()
     assert {tuple(r) for r in found} == brute_components(list(corpus[1].items()))
