@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from skysonde.functions.staging import computed_once
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Every known sentence has one of these in it; other texts are not taken apart.
+#: Sentences with one of these speak of licences.
 STEMS = ("licen", "copyright", "reserved", "warrant", "permission", "redistribution", "public domain")
+#: Known sentences without one of STEMS have one of these; the SQL counterpart goes without.
+MORE_STEMS = ("creative commons", "cc by", "cc attribution", "cc0 1.0", "cc0 universal", "cc0 dedication")
 
 #: Identifier and pattern of known sentences; the first that fits names the sentence.
 SENTENCES = (
@@ -78,7 +80,7 @@ UNKNOWN = "Unknown"
 
 
 def _candidate(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in STEMS])
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in STEMS + MORE_STEMS])
 
 
 def sentences(text: Column) -> Column:
@@ -108,8 +110,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """
     lowered = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER).alias("_text"))
     ids = F.transform(sentences(F.col("_text")), _identifier)
-    listed = F.when(_candidate(F.col("_text")), ids).otherwise(F.array().cast("array<string>"))
-    found = computed_once(lowered, _ids=listed).drop("_text")
+    found = computed_once(lowered, _ids=ids).drop("_text")
     # every identifier ends with a comma, so that a sequence matches whole identifiers
     joined = F.when(F.size("_ids") > 0, F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))).otherwise(F.lit(","))
     some = found.withColumn("_left", joined).withColumn("_names", F.array().cast("array<string>"))
@@ -131,7 +132,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The scan as one SQL statement over `documents`."""
+    """The scan as one SQL statement over `documents`, for sentences with one of STEMS."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     stems = lambda c: " OR ".join(f"contains({c}, {quoted(s)})" for s in STEMS)
     cases = " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES)

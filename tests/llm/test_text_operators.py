@@ -65,6 +65,46 @@ BASE = {
 }
 
 
+#: One sentence for each of SENTENCES, bare.
+BARE = {
+    "SPDX": "SPDX-License-Identifier: MIT",
+    "ApacheVer2": "Licensed under the Apache License, Version 2.0",
+    "ApacheWarranty": 'Software distributed under the License is distributed on an "AS IS" basis.',
+    "LGPLVer": "GNU Lesser General Public License, version 2.1",
+    "AGPLVer3": "GNU Affero General Public License v3",
+    "GPLVer3": "GNU General Public License, version 3",
+    "GPLVer2": "GNU General Public License, version 2",
+    "GPLAny": "GNU General Public License",
+    "LaterVersion": "(at your option) any later version of the licence",
+    "MPLVer2": "Mozilla Public License, version 2.0",
+    "CCByNcSa": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0.",
+    "CCByNc": "CC BY-NC 4.0.",
+    "CCBySa": "CC BY-SA 4.0.",
+    "CCBy": "Licensed under CC BY 4.0.",
+    "CC0": "Text is available as CC0 1.0 Universal.",
+    "PublicDomain": "Released into the public\ndomain",
+    "MITName": "Released under the MIT License",
+    "MITGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "MITNotice": "The copyright notice and this permission notice shall be included in all copies",
+    "ISCGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted",
+    "BSDSource": "Redistributions of source code must retain the above copyright notice",
+    "BSDBinary": "Redistributions in binary form must reproduce the above copyright notice",
+    "BSDEndorse": "Endorse or promote products derived from this software without prior permission",
+    "BSDName": "Available under the 3-clause BSD License",
+    "NoWarranty": "Provided as is, without any warranty",
+    "SeeLicense": "See the file LICENSE",
+    "AllRights": "All rights reserved",
+    "Copyright": "Copyright (c) 2020",
+}
+
+
+def test_each_known_sentence_passes_the_stems(rows):
+    assert list(BARE) == [name for name, _ in license_rules.SENTENCES]
+    more = ["CC0 Universal", "CC0 dedication", "cc attribution-sharealike"]
+    found = {r.doc_id: r.sentence_ids for r in license_rules.license_scan(rows([*BARE.values(), *more])).collect()}
+    assert [found[i] for i in range(len(found))] == [*BARE, "CC0", "CC0", "CCBySa"]
+
+
 def luhn(digits):
     twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(x - 9 * (x > 9) for x in twice) % 10 == 0
