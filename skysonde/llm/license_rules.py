@@ -78,22 +78,63 @@ RULES = (
 )
 UNKNOWN = "Unknown"
 
+_GNU = r"gnu {}general public licen[sc]e"
+_LATER = r"either (version|v) ?{} of the licen[sc]e,? or,? \(?at your option\)?,? any later version"
+#: Sentences of the standard notices, tried before SENTENCES; the SQL counterpart goes without.
+NOTICES = (
+    ("LGPLOrLater", _GNU.format("(lesser|library) ") + ".*any later version"),
+    ("AGPLOrLater", _GNU.format("affero ") + ".*any later version"),
+    ("GPLVer3OrLater", _GNU.format("") + r",? (as published by .*)?(version|v) ?3(\.0)?.*any later version"),
+    ("GPLVer2OrLater", _GNU.format("") + r",? (as published by .*)?(version|v) ?2(\.0)?.*any later version"),
+    ("Ver3OrLater", _LATER.format(r"3(\.0)?")),
+    ("Ver2OrLater", _LATER.format(r"2(\.[01])?")),
+    ("GnuHope", r"in the hope that it will be useful, but without any warranty"),
+    ("GnuImplied", r"without even the implied warranty of merchantability"),
+    ("GnuAddress", r"see <?https?://www\.gnu\.org/licenses"),
+    ("ApacheUse", r"you may not use this file except in compliance with the licen[sc]e"),
+    ("ApacheSee", r"see the licen[sc]e for the specific language governing permissions"),
+    ("LGPLAny", r"gnu (lesser|library) general public licen[sc]e(?!,? (as published by .*)?(version|v) ?[0-9])"),
+    ("AGPLAny", r"gnu affero general public licen[sc]e(?!,? (as published by .*)?(version|v) ?[0-9])"),
+    ("NoLiability", r"in no event shall the (authors|copyright (holder|owner))"),
+    ("Disclaimer", r"provided by .*as is.* and any express or implied warranties"),
+)
+# behind a GNU notice: what it says of warranty, and references to the licence it names
+_TAIL = "(GnuHope,(GnuImplied,)?({},)*(GnuAddress,)?)?"
+#: Rules with NOTICES, tried before RULES.
+NOTICE_RULES = (
+    ("Apache-2.0", "ApacheVer2,(ApacheUse,)?(ApacheWarranty,)?(ApacheSee,)?"),
+    ("AGPL-3.0-or-later", "(AGPLOrLater|AGPLAny,Ver3OrLater|AGPLVer3,LaterVersion)," + _TAIL.format("AGPLAny")),
+    ("AGPL-3.0", "AGPLVer3,GnuHope,(GnuImplied,)?(AGPLAny,)*(GnuAddress,)?"),
+    ("LGPL", "(LGPLOrLater|LGPLAny,Ver[23]OrLater|LGPLVer,LaterVersion|LGPLVer)," + _TAIL.format("(LGPLAny|GPLAny)")),
+    ("GPL-3.0-or-later", "(GPLVer3OrLater|GPLAny,Ver3OrLater|GPLVer3,LaterVersion)," + _TAIL.format("GPLAny")),
+    ("GPL-3.0", "GPLVer3,GnuHope,(GnuImplied,)?(GPLAny,)*(GnuAddress,)?"),
+    ("GPL-2.0-or-later", "(GPLVer2OrLater|GPLAny,Ver2OrLater|GPLVer2,LaterVersion)," + _TAIL.format("GPLAny")),
+    ("GPL-2.0", "GPLVer2,GnuHope,(GnuImplied,)?(GPLAny,)*(GnuAddress,)?"),
+    ("AGPL", "AGPLAny,"),
+    ("LGPL", "LGPLAny,"),
+    ("see-file", "ApacheSee,"),
+)
+#: Markers of comments at the beginning and the end of a line.
+_MARKS = r"(?m)^[\x20\t]*(?:/\*+!?|\*+/|\*+(?=[\x20\t\r\n]|$)|#+|//+!?|--+|;+|%+|<!--+|(?:rem|dnl)(?=[\x20\t]))|(?:\*+/|--+>)[\x20\t]*$"
+
 
 def _candidate(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in STEMS + MORE_STEMS])
 
 
 def sentences(text: Column) -> Column:
-    """Sentences with a stem of a lower-cased text: white space is one blank, and a
-    sentence ends behind . ! ? : or ; and a blank.  `spdx-license-identifier:` is no end."""
-    flat = F.regexp_replace(text, r"[\x00-\x20]+", " ")
+    """Sentences with a stem of a lower-cased text: comment markers of lines are left out,
+    white space is one blank, and a sentence ends behind . ! ? : or ; and a blank.
+    `spdx-license-identifier:` and `v.` before a number are no end."""
+    flat = F.regexp_replace(F.regexp_replace(text, _MARKS, " "), r"[\x00-\x20]+", " ")
+    flat = F.regexp_replace(flat, r"\bv\. (?=[0-9])", "v.")
     flat = F.replace(flat, F.lit("identifier: "), F.lit("identifier:"))
     parts = F.split(F.regexp_replace(flat, r"([.!?:;]) ", "$1\u0001"), "\u0001")
     return F.filter(parts, _candidate)
 
 
 def _identifier(sentence: Column) -> Column:
-    first, *rest = SENTENCES
+    first, *rest = NOTICES + SENTENCES
     named = F.when(sentence.rlike(first[1]), first[0])
     for name, pattern in rest:
         named = named.when(sentence.rlike(pattern), name)
@@ -114,7 +155,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     # every identifier ends with a comma, so that a sequence matches whole identifiers
     joined = F.when(F.size("_ids") > 0, F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))).otherwise(F.lit(","))
     some = found.withColumn("_left", joined).withColumn("_names", F.array().cast("array<string>"))
-    for name, rule in RULES:
+    for name, rule in NOTICE_RULES + RULES:
         hit = F.col("_left").rlike(f",{rule}")
         some = computed_once(
             some,
@@ -132,7 +173,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The scan as one SQL statement over `documents`, for sentences with one of STEMS."""
+    """The scan as one SQL statement over `documents`, for sentences with one of STEMS,
+    without NOTICES and comment markers."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     stems = lambda c: " OR ".join(f"contains({c}, {quoted(s)})" for s in STEMS)
     cases = " ".join(f"WHEN regexp_matches(s, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES)

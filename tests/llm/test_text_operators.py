@@ -105,6 +105,57 @@ def test_each_known_sentence_passes_the_stems(rows):
     assert [found[i] for i in range(len(found))] == [*BARE, "CC0", "CC0", "CCBySa"]
 
 
+GNU = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {}General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {}General Public License for more details.
+
+You should have received a copy of the GNU {}General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+HEADERS = {
+    GNU.format(":", "", ",", 3, "", ""): "GPL-3.0-or-later",
+    GNU.format(";", "", ";", 2, "", ""): "GPL-2.0-or-later",
+    GNU.format(":", "", ",", 3, "", "").replace("either version 3 of the License, or\n(at your option) any later version", "version 3"): "GPL-3.0",
+    GNU.format(";", "Lesser ", ";", "2.1", "Lesser ", "Lesser "): "LGPL",
+    GNU.format(":", "Affero ", ",", 3, "Affero ", "Affero "): "AGPL-3.0-or-later",
+    """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""": "Apache-2.0",
+    """Permission is hereby granted, free of charge, to any person obtaining
+a copy of this software and associated documentation files, to deal in
+the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included
+in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE.""": "MIT",
+    """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0.""": "MPL-2.0",
+}
+
+
+@pytest.mark.parametrize("begin, line, end", [("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("/* ", "", " */"), ("<!--\n", "", "\n-->"), ("", "-- ", "")])
+def test_standard_notices_plain_and_commented(rows, begin, line, end):
+    texts = [begin + "\n".join(line + x for x in text.split("\n")) + end for text in HEADERS]
+    found = {r.doc_id: r for r in license_rules.license_scan(rows(texts)).collect()}
+    assert [found[i].licenses for i in range(len(texts))] == list(HEADERS.values())
+    assert [found[i].n_unknown for i in range(5)] == [0] * 5
+
+
 def luhn(digits):
     twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(x - 9 * (x > 9) for x in twice) % 10 == 0
