@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,11 @@ DICTIONARY_WORDS = 4096
 LEAST_SCORE = 0.5
 #: Different words a task counts before it sends them on.
 HELD_WORDS = 200_000
+#: Longer words are counted as their pairs of letters: no text beside a candidate (60
+#: characters at most) can hold them whole.
+LONGEST_WORD = 64
+#: In candidates above this length the parts between separators are candidates, too.
+LONG = 256
 
 # Shapes of strings that can be secrets, of known keys, and of harmless strings.
 CANDIDATE = r"[A-Za-z0-9_+/=-]{16,}"
@@ -84,25 +90,24 @@ class CorpusModel:
 def described(text: str, start: int, end: int, path: str, corpus: CorpusModel) -> dict[str, float]:
     """Features of a candidate: itself, its path, and the words beside it."""
     own = text[start:end]
-    head = own[:256]  # a longer one is as its head is; its length is a feature
-    n = len(head)
-    kind = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in head]
-    count = np.unique(list(head), return_counts=True)[1] / n
+    n = len(own)
+    kind = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in own]
+    count = np.unique(list(own), return_counts=True)[1] / n
     before, after = text[max(0, start - 60) : start], text[end : end + 40]
     assigned = _ASSIGNED.search(before) or _ASSIGNED.search(before + re.split("[=:]", own)[0] + "=" if "=" in own[:-2] else "")
     name = (assigned.group(1) if assigned else "").lower() + (own.split("=")[0].lower() if "=" in own[:-2] else "")
-    letters = re.findall("[A-Za-z]+", head)
+    letters = re.findall("[A-Za-z]+", own)
     beside = re.findall(r"[^\W\d_]+", before)[-2:] + re.findall(r"[^\W\d_]+", after)[:2]
     return {
         "length": min(float(len(own)), 512.0),
         "entropy": float(-(count * np.log2(count)).sum()),
         "digits": kind.count(0) / n, "upper": kind.count(1) / n, "lower": kind.count(2) / n, "symbols": kind.count(3) / n,
         "class_changes": sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / n,
-        "likelihood": corpus.likelihood(head),
-        "coverage": corpus.coverage(head),
+        "likelihood": corpus.likelihood(own),
+        "coverage": corpus.coverage(own),
         "longest_letters": max(map(len, letters), default=0) / n,
         "distinct": len(count) / n,
-        "hexadecimal": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", head.split("=")[-1]))),
+        "hexadecimal": float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", own.split("=")[-1]))),
         "assigned": float(bool(assigned) or "=" in own[1:-2]),
         "named": float(any(x in name for x in NAMES)),
         "quoted": float(before[-1:] in "\"'`" and before != ""),
@@ -137,7 +142,11 @@ def corpus_model(docs: DataFrame) -> CorpusModel:
 
         for batch in batches:
             for text in batch.column(0):
-                seen.update(w[:64] for w in re.findall("[a-z]{3,}", (text.as_py() or "").lower()))
+                for w in re.findall("[a-z]{3,}", (text.as_py() or "").lower()):
+                    if len(w) <= LONGEST_WORD:
+                        seen[w] += 1
+                    else:
+                        seen.update(a + b for a, b in pairwise(w))
                 if len(seen) > HELD_WORDS:
                     yield counted()
                     seen.clear()
@@ -147,7 +156,7 @@ def corpus_model(docs: DataFrame) -> CorpusModel:
         # partial counts per task, then per word
         words = small_batches(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         words = scratch.table(words, "words")
-        frequent = words.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word").collect()
+        frequent = words.where(F.length("word") > 2).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).select("word").collect()
         at = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
         pairs = words.select("word", "n", at.alias("at")).select(F.expr("substring(word, at, 2)").alias("pair"), "n")
         counts = {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
@@ -158,8 +167,20 @@ def corpus_model(docs: DataFrame) -> CorpusModel:
     return CorpusModel(logs, frozenset(r.word for r in frequent))
 
 
+def _spans(scan: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Runs of characters of a secret, and the parts of long ones."""
+    for m in scan.finditer(text):
+        yield m.span()
+        if m.end() - m.start() > LONG:
+            parts = {(p.start(), p.end()) for sep in ("/=", "/=_-") for p in re.finditer(f"[^{sep}]{{16,}}", m.group())}
+            yield from sorted((m.start() + a, m.start() + b) for a, b in parts - {(0, m.end() - m.start())})
+
+
 def candidates(docs: DataFrame, corpus: CorpusModel, path: str | None = "source") -> DataFrame:
-    """(doc_id, candidates): strings of 16 characters or more with a digit or capitals inside."""
+    """(doc_id, candidates): strings of 16 characters or more with a digit or capitals inside.
+
+    Parts of a candidate above LONG characters, between `/` and `=` or all separators, are
+    candidates beside it, so that a path of words doesn't hide the key at its end."""
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
     place = F.col(path).cast("string") if path in docs.columns else F.lit("")
 
@@ -172,10 +193,10 @@ def candidates(docs: DataFrame, corpus: CorpusModel, path: str | None = "source"
                 out = []
                 for text, where in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     own = []
-                    for m in scan.finditer(text or ""):
-                        if re.search("[0-9]|[A-Z].*[A-Z]", m.group()[1:]):
-                            f = described(text, m.start(), m.end(), where, shared.value)
-                            own.append({"start": m.start(), "end": m.end(), "known": known_kind(m.group(), f), **f})
+                    for start, end in _spans(scan, text or ""):
+                        if re.search("[0-9]|[A-Z].*[A-Z]", text[start + 1 : end]):
+                            f = described(text, start, end, where, shared.value)
+                            own.append({"start": start, "end": end, "known": known_kind(text[start:end], f), **f})
                     out.append(own)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(out, kind)], names=["doc_id", "candidates"])
 

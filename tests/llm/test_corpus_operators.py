@@ -232,6 +232,19 @@ def test_odd_candidates(spark, rows):
     assert secret_forest.secret_scan(docs.where("false")).count() == 0
 
 
+def test_keys_behind_long_paths_and_long_words(spark, rows):
+    key = "9f3a" * 10
+    path = "something/different/" * 30
+    docs = rows(["something different"] * 3 + [path + key, path.replace("/", "-") + key, "ab" * 32 + "ac" * 18])
+    corpus = secret_forest.corpus_model(docs)
+    assert corpus.pairs["ab"] == pytest.approx(np.log(32 / 50))
+    long = secret_forest.described("word" * 64 + "9f" * 64, 0, 384, "", corpus)
+    assert long["digits"] == pytest.approx(64 / 384)
+    findings = spark.createDataFrame([], "label double, " + ", ".join(f"{n} double" for n in secret_forest.FEATURES))
+    found = {r.doc_id: r.secrets for r in secret_forest.secret_scan(docs, findings).collect()}
+    assert f"{len(path)}:{len(path) + 40}:1.0" in found[3].split(",") and f"{len(path)}:{len(path) + 40}:1.0" in found[4].split(",")
+
+
 # --- pipeline -----------------------------------------------------------------------
 
 
