@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skysonde.llm import bwt_repeats, byte_bpe, contamination, disclosure, license_rules, minhash, quality_fm, secret_forest, url_cascade, voronoi_knn
+from skysonde.llm import bwt_repeats, byte_bpe, contamination, disclosure, html_extraction, license_rules, minhash, quality_fm, secret_forest, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,3 +124,8 @@ def _(spark, sf):
 @query("op10_bwt_repeats")
 def _(spark, sf):
     return bwt_repeats.repeated_bytes(table(spark, sf, "documents")).drop("spans")
+
+
+@query("op13_html_main_text")
+def _(spark, sf):
+    return html_extraction.extracted(table(spark, sf, "pages"))
