@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skysonde.llm import bwt_repeats, byte_bpe, contamination, disclosure, html_extraction, license_rules, minhash, quality_fm, secret_forest, url_cascade, voronoi_knn
+from skysonde.llm import bwt_repeats, byte_bpe, contamination, disclosure, dual_tree, html_extraction, license_rules, minhash, quality_fm, secret_forest, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,3 +130,12 @@ def _(spark, sf):
 @query("op13_html_main_text")
 def _(spark, sf):
     return html_extraction.extracted(table(spark, sf, "pages"))
+
+
+@query("op11_dual_tree_codes")
+def _(spark, sf):
+    rows, books = dual_tree.compressed(table(spark, sf, "embeddings"))
+    return rows.withColumn("codebooks_sha256", F.lit(books.digest if books else ""))
+
+
+ORACLES["op11_dual_tree_codes"] = dual_tree.oracle()
