@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysonde.llm import bwt_repeats, byte_bpe, contamination, disclosure, dual_tree, html_extraction, license_rules, minhash, quality_fm, secret_forest, url_cascade, voronoi_knn
+from skysonde.llm import bwt_repeats, byte_bpe, contamination, disclosure, dual_tree, html_extraction, license_rules, minhash, prefix_trie, quality_fm, secret_forest, url_cascade, voronoi_knn
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,3 +139,11 @@ def _(spark, sf):
 
 
 ORACLES["op11_dual_tree_codes"] = dual_tree.oracle()
+
+
+@query("op12_conversation_trie")
+def _(spark, sf):
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+ORACLES["op12_conversation_trie"] = prefix_trie.ORACLE
