@@ -107,6 +107,18 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def named_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `probes`, but every fourth has a callsign in place of its address."""
+    rows = observations(spark, sf_dir).where(F.col("method") == S.VDL2)
+    fourth = F.col("obs_id") % 4 == 0
+    return rows.select(
+        F.col("obs_id").alias("seq"),
+        "time",
+        F.when(~fourth, F.concat(F.lit("aB"), "icao")).alias("icao"),
+        F.when(fourth, F.lower("callsign")).alias("callsign"),
+    )
+
+
 def vdl2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The VDL2 events printed as JSON lines, with some junk lines among them.
 

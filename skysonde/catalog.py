@@ -31,6 +31,7 @@ from skysonde.operators import (
 from skysonde.plans import replay, views
 from skysonde.sources import exports, landing, messages, tables
 from skysonde.streaming import fragments, jobs, live
+from skysonde.streaming import positions as history
 from skysonde.sources.storage import fresh_folder, materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -979,6 +980,46 @@ def _(spark, sf):
     )
 
 
+def _history(spark, sf, purpose: str, closing: bool) -> tuple[DataFrame, str]:
+    """What a replay in three arrivals answers from the position history, and its checkpoint."""
+
+    def arrivals(frame, name):
+        path = _in_turn(spark, _closed(frame, CLOSING) if closing else frame, "time", f"{purpose}-{name}")
+        return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    found = history.filled_from_history(
+        arrivals(bridge.positions(spark, sf), "positions"),
+        arrivals(bridge.named_probes(spark, sf), "probes"),
+        POSITION_REACH_S,
+    )
+    out, mark = fresh_folder(spark, purpose), fresh_folder(spark, f"{purpose}-mark")
+    with history.keyed_state(spark):
+        started = found.writeStream.option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").start(out)
+    started.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out), mark
+
+
+@query("st2_history_answers")
+def _(spark, sf):
+    """Weather rows by address or callsign, each with what the stream's own history held for it."""
+    answers, _mark = _history(spark, sf, "answers", True)
+    return answers.select("seq", "altitude_m", "gap_s")
+
+
+@query("st2_history_state")
+def _(spark, sf):
+    """What the history still holds after the replay: positions, and callsigns of aircraft."""
+    _answers, mark = _history(spark, sf, "state", False)
+    positions = history.held_state(spark, mark, "positions")
+    names = history.held_state(spark, mark, "callsigns")
+    held = positions.select(F.lit("position").alias("kind"), "icao", F.lit(None).cast("string").alias("callsign"), "seq", F.col("at").alias("micros"), "since")
+    return held.unionByName(
+        names.select(
+            F.lit("callsign").alias("kind"), "icao", "callsign", F.lit(None).cast("long").alias("seq"), F.col("until").alias("micros"), "since"
+        )
+    )
+
+
 @query("st3_nearest_position_stream")
 def _(spark, sf):
     return _nearest_stream(spark, sf, "nearest").select("seq", "icao", "altitude_m", "gap_s")

@@ -752,10 +752,10 @@ _LOW_BANDS = "bands AS (SELECT * FROM (VALUES (500), (1000), (1500)) b(band))"
 
 def _put_views(level: str, limited: bool, suffix: str) -> None:
     first, last = (f"TIMESTAMP '{d}'" for d in _PERIODS[level])
-    table, at = ("fit", "time") if level == "raw" else (level, "time_bucket")
+    table, micros = ("fit", "time") if level == "raw" else (level, "time_bucket")
     low = " AND altitude <= 2000" if limited else ""
     tenth = f"to_microseconds((epoch_us({last}) - epoch_us({first})) // 10)"
-    rows = f"SELECT * REPLACE ({at} + INTERVAL 9 HOUR AS time) FROM {table} WHERE {at} >= {{}} AND {at} <= {{}}{low}"
+    rows = f"SELECT * REPLACE ({micros} + INTERVAL 9 HOUR AS time) FROM {table} WHERE {micros} >= {{}} AND {micros} <= {{}}{low}"
     g = [OBS, FIT, HALF, THREE, "g AS (" + rows.format(first, last) + ")",
          "wide AS (" + rows.format(f"{first} - {tenth}", f"{last} + {tenth}") + ")"]
     nine = "+ INTERVAL 9 HOUR"
@@ -853,6 +853,30 @@ put("st3_nearest_position_stream", _REACHED, "probes LEFT JOIN near ON seq = pro
 put("st2_position_retention", _REACHED, "probes LEFT JOIN near ON seq = probe GROUP BY icao",
     "icao, count(altitude_m) AS matched, count(*) - count(altitude_m) AS unmatched", "max(abs(off)) / 1e6 AS widest_gap_s")
 
+_NAMED = """
+asked AS (SELECT obs_id AS seq, epoch_us(time) AS micros, CASE WHEN obs_id % 4 <> 0 THEN 'AB' || icao END AS icao,
+    CASE WHEN obs_id % 4 = 0 THEN upper(callsign) END AS callsign FROM obs WHERE method = 'vdl2'),
+gaps AS (SELECT seq, epoch_us(time) AS micros, upper(trim(icao)) AS icao, upper(trim(callsign)) AS callsign, altitude_m,
+    coalesce(epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY upper(trim(icao)) ORDER BY time, seq) > 7200000000, TRUE) AS begins
+  FROM pos),
+spells AS (SELECT *, max(CASE WHEN begins THEN micros END) OVER (PARTITION BY icao ORDER BY micros, seq) AS since FROM gaps)"""
+put("st2_history_answers", [OBS, POS, _NAMED, """
+led AS (SELECT DISTINCT ON (a.seq) a.seq, g.icao FROM asked a JOIN spells g ON a.icao IS NULL AND g.callsign = a.callsign AND g.micros < a.micros
+  ORDER BY a.seq, g.micros DESC, g.seq DESC),
+near AS (SELECT DISTINCT ON (a.seq) a.seq, a.micros, a.callsign, s.altitude_m, abs(s.micros - a.micros) AS gap, s.icao, s.since
+  FROM asked a LEFT JOIN led USING (seq) JOIN spells s ON s.icao = coalesce(a.icao, led.icao) AND abs(s.micros - a.micros) <= 3600000000
+  ORDER BY a.seq, abs(s.micros - a.micros), s.micros DESC, s.seq DESC),
+known AS (SELECT n.* FROM near n WHERE n.callsign IS NULL OR EXISTS (SELECT 1 FROM spells s
+  WHERE s.icao = n.icao AND s.since = n.since AND s.callsign = n.callsign AND s.micros <= n.micros))"""],
+    "asked a LEFT JOIN known k USING (seq) WHERE a.icao IS NOT NULL OR a.callsign IS NOT NULL", "a.seq", "altitude_m | gap / 1e6 AS gap_s")
+put("st2_history_state", [OBS, POS, _NAMED, """
+mark AS (SELECT (least((SELECT max(micros) FROM spells), (SELECT max(micros) FROM asked)) // 1000 - 10000) * 1000 - 7200000000 AS old),
+held AS (SELECT 'position' AS kind, icao, NULL::VARCHAR AS callsign, seq, micros, since FROM spells, mark WHERE micros > old
+  UNION ALL SELECT 'callsign', icao, callsign, NULL, until, since FROM (
+    SELECT icao, since, max(micros) AS until FROM spells GROUP BY icao, since) ends
+    JOIN (SELECT DISTINCT icao, since, callsign FROM spells WHERE callsign IS NOT NULL) names USING (icao, since), mark WHERE until > old)"""],
+    "held", "kind, icao, callsign, seq, micros, since")
+
 put("live_collection", [*_CASCADE, MSG, _LIVE, """both_methods AS (
   SELECT c.seq AS obs_id, 'vdl2' AS method, c.altitude_ft * 0.3048e0 AS altitude, temperature_c::DOUBLE AS temperature
   FROM cascade c JOIN reports r ON r.seq = c.seq WHERE altitude_source IS NOT NULL AND temperature_c >= -100
