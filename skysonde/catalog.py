@@ -17,6 +17,7 @@ from skysonde.functions.identifiers import normal_identifier, strip_callsign
 from skysonde.operators import (
     asof,
     compare,
+    detectors,
     fetch,
     filters,
     grid,
@@ -32,6 +33,7 @@ from skysonde.plans import replay, views
 from skysonde.sources import exports, landing, messages, tables
 from skysonde.streaming import fragments, jobs, live
 from skysonde.streaming import positions as history
+from skysonde.streaming.ring import HistoryRing
 from skysonde.sources.storage import fresh_folder, materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -711,6 +713,18 @@ def _(spark, sf):
     return grid.read_grid(spark, path).drop("date")
 
 
+@query("a8_merged_refresh")
+def _(spark, sf):
+    """A stored grid that two batches of new rows were merged into."""
+    rows, path = obs(spark, sf), fresh_folder(spark, "merged")
+    first = F.col("time") < instant(SECOND_ARRIVAL)
+    odd = F.col("obs_id") % 2 == 1
+    grid.rebuild_grid(rows.where(first & odd), grid.THREE_HOUR_GRID, path)
+    for part in (rows.where(~first), rows.where(first & ~odd)):
+        grid.merge_rows(part, grid.THREE_HOUR_GRID, path)
+    return grid.read_grid(spark, path).drop("date")
+
+
 @query("a9_full_rebuild")
 def _(spark, sf):
     path = fresh_folder(spark, "rebuild")
@@ -773,6 +787,12 @@ def _(spark, sf):
     )
 
 
+@query("a17_outliers_in_order")
+def _(spark, sf):
+    judged = detectors.outliers_in_order(obs(spark, sf), ["method"], rule=SHORT_HISTORY)
+    return judged.select("obs_id", "is_outlier")
+
+
 @query("a18_datalink_summary")
 def _(spark, sf):
     return monitor.datalink_summary(bridge.vdl2_lines(spark, sf), _reports(spark, sf))
@@ -1069,6 +1089,19 @@ def _(spark, sf):
     return tables.read_observations(spark, path).select("obs_id", "temperature")
 
 
+#: A history that the rows of the small tables fill several times over.
+SHORT_HISTORY = detectors.Rule(size=1000)
+
+
+@query("st5_refit_stream")
+def _(spark, sf):
+    """Three arrivals judged by one detector per method, whose history is stream state."""
+    path = _in_turn(spark, obs(spark, sf), "time", "refit")
+    stream = landing.stream_observations(spark, path, 1)
+    judged = detectors.outliers_in_arrival_order(stream, ["method"], SHORT_HISTORY)
+    return _streamed(spark, judged.select("obs_id", "is_outlier"), "refit")
+
+
 @query("st6_grid_upkeep")
 def _(spark, sf):
     """Two arrivals stored one after the other, the grids following the table."""
@@ -1122,6 +1155,22 @@ def _(spark, sf):
     )
 
 
+@query("st9_stored_ring")
+def _(spark, sf):
+    """The ring after two arrivals: the second was judged by what the first left in it."""
+    rows = _zoned(obs(spark, sf), "time")
+    first = F.col("time") < F.lit(SECOND_ARRIVAL).cast("timestamp")
+    landed, path = fresh_folder(spark, "arrivals"), fresh_folder(spark, "stored")
+    bad, mark = fresh_folder(spark, "quarantine"), fresh_folder(spark, "store-mark")
+    ring = HistoryRing(fresh_folder(spark, "ring"), size=300, compact_after=2)
+    for part in (rows.where(first), rows.where(~first)):
+        part.write.mode("append").parquet(landed)
+        jobs.store_stream(
+            landing.stream_observations(spark, landed), path, bad, mark, available_now=True, ring=ring
+        ).awaitTermination()
+    return ring.rows(spark).select("obs_id", "altitude", "temperature")
+
+
 @query("st7_freshness")
 def _(spark, sf):
     return monitor.freshness(obs(spark, sf), instant(NOW), F.lit(21))

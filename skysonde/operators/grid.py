@@ -1,5 +1,6 @@
 """Down-sampled time x altitude grids and their upkeep."""
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from skysonde import settings as S
 from skysonde.functions.timebins import align_to_bucket, altitude_bin, time_bucket
 from skysonde.operators.filters import quality_rows
-from skysonde.sources.storage import remove_folder
+from skysonde.sources.storage import materialized, remove_folder, stored_table
+
+_LOG = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -42,6 +45,17 @@ def first_per_group(df: DataFrame, keys: list[str], *order: Column) -> DataFrame
     return df.withColumn("_row", F.row_number().over(w)).where(F.col("_row") == 1).drop("_row")
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """The newest row of each cell; time ties go to the higher obs_id."""
+    return first_per_group(rows, ["time_bucket", "altitude_bin"], F.desc("time"), F.desc_nulls_last("obs_id"))
+
+
+def _cells(observations: DataFrame, spec: GridSpec, distance_km: float = S.DISTANCE_LIMIT_KM) -> DataFrame:
+    """Newest fit observation of each cell, with its obs_id."""
+    fit = with_cell(quality_rows(observations, distance_km=distance_km), spec)
+    return _newest(fit.select("time_bucket", "altitude_bin", *S.GRID_VALUES, "obs_id"))
+
+
 def representative_grid(
     observations: DataFrame,
     spec: GridSpec,
@@ -51,13 +65,7 @@ def representative_grid(
 
     Time ties go to the higher obs_id.
     """
-    cells = with_cell(quality_rows(observations, distance_km=distance_km), spec).select(
-        "time_bucket", "altitude_bin", *S.GRID_VALUES, "obs_id"
-    )
-    newest = first_per_group(
-        cells, ["time_bucket", "altitude_bin"], F.desc("time"), F.desc("obs_id")
-    )
-    return newest.drop("obs_id")
+    return _cells(observations, spec, distance_km).drop("obs_id")
 
 
 def write_grid(grid: DataFrame, path: str) -> None:
@@ -65,6 +73,24 @@ def write_grid(grid: DataFrame, path: str) -> None:
     _write(grid, path, "static")
 
 
+def merge_rows(rows: DataFrame, spec: GridSpec, path: str) -> None:
+    """Take new observations up into the stored grid: each cell keeps the newest row it ever had.
+
+    Only the new rows and the stored days they touch are read, and those days are replaced
+    in one commit, so that a reader sees them as they were or as they are.  Merging rows
+    again changes nothing.  When observations are removed, use `replace_days`.
+    """
+    spark = rows.sparkSession
+    new = materialized(_cells(rows, spec).withColumn("date", F.to_date("time_bucket")), "cells")
+    days = [r.date for r in new.select("date").distinct().collect()]
+    if not days:
+        return
+    stored = stored_table(spark, path)
+    if stored is not None:
+        new = stored.where(F.col("date").isin(days)).unionByName(new, allowMissingColumns=True)
+    _write(_newest(new).drop("date"), path, "dynamic")
+
+
 def _write(grid: DataFrame, path: str, overwrite: str) -> None:
     (
         grid.withColumn("date", F.to_date("time_bucket"))
@@ -84,7 +110,7 @@ def replace_days(observations: DataFrame, spec: GridSpec, path: str, touched: Co
     has no rows left goes.  Days are few: their dates pass through the driver.
     """
     spark = observations.sparkSession
-    _write(representative_grid(observations, spec), path, "dynamic")
+    _write(_cells(observations, spec), path, "dynamic")
     cells = with_cell(quality_rows(observations), spec)
     filled = cells.select(F.to_date("time_bucket").alias("date")).distinct()
     stored = spark.read.parquet(path).where(touched).select(F.to_date("date").alias("date")).distinct()
@@ -93,7 +119,7 @@ def replace_days(observations: DataFrame, spec: GridSpec, path: str, touched: Co
 
 
 def rebuild_grid(observations: DataFrame, spec: GridSpec, path: str) -> None:
-    write_grid(representative_grid(observations, spec), path)
+    write_grid(_cells(observations, spec), path)
 
 
 def refresh_start(spec: GridSpec, now: Column) -> Column:
@@ -131,12 +157,14 @@ def refresh_all(
                 refresh_grid(observations, spec, paths[spec.name], now)
             done[spec.name] = True
         except Exception:  # noqa: BLE001 - each grid stands alone
+            _LOG.exception("the %s grid was not refreshed", spec.name)
             done[spec.name] = False
     return done
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A stored grid.  The ids of its rows decide ties when it is merged and are of no use to readers."""
+    return spark.read.parquet(path).drop("obs_id")
 
 
 def refreshed_state(

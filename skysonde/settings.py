@@ -101,6 +101,8 @@ ISOTHERM_RANGE_LIMITED = (-20, 40, 5)
 
 # --- Fixed values: outlier rule -----------------------------------------------
 HISTORY_MIN = 100
+HISTORY_SIZE = 30_000
+REFIT_ROWS = 50
 NEIGHBOURS = 200
 DEVIATION_LIMIT_C = 20.0
 SIGMA_LIMIT = 4.0

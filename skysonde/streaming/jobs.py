@@ -3,7 +3,6 @@
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,9 +11,12 @@ from skysonde import settings as S
 from skysonde.functions.identifiers import normal_identifier
 from skysonde.functions.units import finite
 from skysonde.operators.asof import SLICE_FACTOR
-from skysonde.operators.grid import GRIDS, replace_days
+from skysonde.operators.filters import storage_form
+from skysonde.operators.grid import GRIDS, merge_rows, replace_days
 from skysonde.operators.outliers import outlier_flags, usable_history
+from skysonde.sources.storage import discarded, materialized, stored_table
 from skysonde.sources.tables import append_observations, read_observations
+from skysonde.streaming.ring import HistoryRing
 
 
 def nearest_position_stream(
@@ -84,9 +86,14 @@ def storable() -> Column:
 
 
 def store_batch(good: DataFrame, bad: DataFrame, path: str, quarantine: str) -> None:
-    """Append the good rows to the table and the others to the quarantine table."""
+    """Append the good rows to the table; the others replace what the quarantine has of their batch."""
     append_observations(good, path)
-    bad.write.mode("append").parquet(quarantine)
+    (
+        bad.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
+        .parquet(quarantine)
+    )
 
 
 #: Days before a batch whose stored rows are its history.
@@ -97,7 +104,7 @@ def _stored_days(
     spark: SparkSession, path: str, first: date | None, last: date | None = None
 ) -> DataFrame | None:
     """The stored table between two days, None while there is none."""
-    stored = _table(spark, path)
+    stored = stored_table(spark, path)
     if stored is None:
         return None
     if first is not None:
@@ -112,16 +119,26 @@ def _batch_days(batch: DataFrame) -> tuple[date | None, date | None]:
 
 
 def accept_batch(
-    spark: SparkSession, batch: DataFrame, path: str, history_days: int = HISTORY_DAYS
+    spark: SparkSession,
+    batch: DataFrame,
+    path: str,
+    batch_id: int,
+    history_days: int = HISTORY_DAYS,
+    ring: HistoryRing | None = None,
 ) -> DataFrame:
-    """Rows of a micro-batch that are no outliers against the stored history.
+    """Rows of a micro-batch that are no outliers against the history before it.
 
-    The model is fitted once per batch on the rows stored for the `history_days`
-    before the first day of the batch, and for the days of the batch itself.
+    The model is fitted once per batch, on the ring if there is one; else on the rows that
+    earlier batches stored for the `history_days` before the first day of the batch, and for
+    the days of the batch itself.
     """
-    first, _last = _batch_days(batch)
-    start = None if first is None else first - timedelta(days=history_days)
-    history = _stored_days(spark, path, start)
+    if ring is not None:
+        history = ring.before(spark, batch_id)
+    else:
+        first, _last = _batch_days(batch)
+        history = _stored_days(spark, path, None if first is None else first - timedelta(days=history_days))
+        if history is not None and "batch_id" in history.columns:
+            history = history.where(F.coalesce(F.col("batch_id") < batch_id, F.lit(True)))
     if history is None:
         history = batch.limit(0)
     flagged = outlier_flags(batch, usable_history(history))
@@ -146,16 +163,19 @@ def store_stream(
     available_now: bool = False,
     filter_outliers: bool = True,
     grids: dict[str, str] | None = None,
+    ring: HistoryRing | None = None,
 ) -> StreamingQuery:
     """Observation stream → outlier check → observation table, quarantine, and grids.
 
     Rows carry their batch id: when a batch is repeated after a failure, rows it has
-    put into the table or the quarantine already are left out.  With `grids` (paths by
-    grid name), the days of a batch are recomputed from the table once it is stored.
+    put into the table already are left out, and those in the quarantine are replaced.
+    With `grids` (paths by grid name), the stored cells take up the rows of a batch once it
+    is stored.  With `ring`, outliers are judged by the latest accepted rows, and those of
+    the batch join them.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        store_arrived(batch, batch_id, path, quarantine, filter_outliers, grids)
+        store_arrived(batch, batch_id, path, quarantine, filter_outliers, grids, ring)
 
     return _start(observations, each, checkpoint, available_now)
 
@@ -167,43 +187,39 @@ def store_arrived(
     quarantine: str,
     filter_outliers: bool = True,
     grids: dict[str, str] | None = None,
+    ring: HistoryRing | None = None,
 ) -> None:
-    """One micro-batch of `store_stream`; repeating it changes nothing."""
+    """One micro-batch of `store_stream`; repeating it changes nothing.
+
+    Verdicts rest on earlier batches alone, so a repeated batch accepts the same rows.
+    """
     spark = batch.sparkSession
     rows = batch.withColumn("batch_id", F.lit(batch_id))
-    good = _not_yet(rows.where(storable()), _stored_days(spark, path, *_batch_days(rows)), batch_id)
-    bad = _not_yet(rows.where(~storable()), _table(spark, quarantine), batch_id)
-    if filter_outliers:
-        good = accept_batch(spark, good, path)
-    store_batch(good, bad, path, quarantine)
-    if grids:
-        refresh_days(spark, path, _days(batch), grids)
+    with discarded(spark):
+        accepted = rows.where(storable())
+        if filter_outliers:
+            accepted = materialized(accept_batch(spark, accepted, path, batch_id, ring=ring), "accepted")
+        if ring is not None:
+            ring.accept(accepted, batch_id)
+        good = _not_yet(accepted, _stored_days(spark, path, *_batch_days(rows)), batch_id)
+        store_batch(good, rows.where(~storable()), path, quarantine)
+        for spec in GRIDS if grids else ():
+            merge_rows(storage_form(accepted), spec, grids[spec.name])
 
 
 def _not_yet(rows: DataFrame, stored: DataFrame | None, batch_id: int) -> DataFrame:
-    """Rows of a batch that an earlier, interrupted attempt has not stored yet."""
+    """Rows of a batch that an earlier, interrupted attempt has not stored yet.
+
+    Rows without an id can't be told apart: they are stored if the batch has stored none.
+    """
     if stored is None or "batch_id" not in stored.columns:
         return rows
-    done = stored.where(F.col("batch_id") == batch_id).select("obs_id")
-    return rows.join(done, "obs_id", "left_anti")
-
-
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored table, None while there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _days(batch: DataFrame) -> list[date]:
-    """The days of a micro-batch; as literals they prune the stored directories."""
-    return [r.date for r in batch.select(F.to_date("time").alias("date")).distinct().collect() if r.date]
+    done = stored.where(F.col("batch_id") == batch_id).select(F.col("obs_id").alias("_done")).distinct()
+    return rows.join(done, F.col("obs_id").eqNullSafe(F.col("_done")), "left_anti")
 
 
 def grid_stream(
     stored: DataFrame,
-    table: str,
     paths: dict[str, str],
     checkpoint: str,
     available_now: bool = False,
@@ -211,12 +227,15 @@ def grid_stream(
 ) -> StreamingQuery:
     """Keep the grids in step with the observation table.
 
-    `stored` is a stream of the table itself, so that a day is recomputed after its
-    rows are stored and not before.  Running a trigger twice gives the same grid.
+    `stored` is a stream of the table itself: rows join their cells after they are stored
+    and not before.  Running a trigger twice gives the same grid; rows that are taken out
+    of the table leave it by `refresh_days`.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        refresh_days(batch.sparkSession, table, _days(batch), paths)
+        with discarded(batch.sparkSession):
+            for spec in GRIDS:
+                merge_rows(storage_form(batch), spec, paths[spec.name])
 
     writer = stored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     if available_now:

@@ -10,7 +10,7 @@ from skysonde import settings as S
 from skysonde.operators.asof import fill_altitude, report_observations
 from skysonde.operators.filters import drop_absurd_temperature
 from skysonde.sources import messages, tables
-from skysonde.sources.storage import materialized
+from skysonde.sources.storage import materialized, stored_table
 from skysonde.streaming import fragments, jobs
 
 
@@ -93,7 +93,7 @@ def collect_datalink(
             window_s,
             xid_timeout_s,
         )
-        taken = jobs._table(spark, store.path("taken"))
+        taken = stored_table(spark, store.path("taken"))
         if taken is not None:
             earlier = taken.where(F.col("batch") < batch_id).select("xid_seq").distinct()
             filled = filled.join(earlier, "xid_seq", "left_anti")
@@ -114,7 +114,7 @@ def _store(found: DataFrame, batch_id: int, store: LiveTables, filter_outliers:
 
 def _near(spark: SparkSession, path: str, schema, first, last, reach_s: int) -> DataFrame:
     """Stored rows of the days that a batch, widened by the reach, touches; none at first."""
-    rows = jobs._table(spark, path)
+    rows = stored_table(spark, path)
     if rows is None:
         return spark.createDataFrame([], schema)
     days = -(-reach_s // 86_400)

@@ -577,6 +577,7 @@ _GV = "altitude | temperature | wind_x | wind_y | wind_speed | wind_angle"
 put("a7_half_hour_grid", [OBS, FIT, HALF], "half_hour", "time_bucket, altitude_bin, time", _GV)
 put("a7_three_hour_grid", [OBS, FIT, THREE], "three_hour", "time_bucket, altitude_bin, time", _GV)
 put("a8_incremental_refresh", [OBS, FIT, THREE], "three_hour", "time_bucket, altitude_bin, time", _GV)
+put("a8_merged_refresh", [OBS, FIT, THREE], "three_hour", "time_bucket, altitude_bin, time", _GV)
 put("a9_full_rebuild", [OBS, FIT, HALF], "half_hour", "time_bucket, altitude_bin, time", _GV)
 _WF = """
 windy AS (SELECT * FROM fit WHERE sqrt(wind_x * wind_x + wind_y * wind_y) > 0.1e0{low}),
@@ -626,6 +627,35 @@ put("a17_outlier_flags", [OBS, _HIST.format(rows="obs"),
     "line AS (SELECT regr_slope(temperature, altitude) AS s, regr_intercept(temperature, altitude) AS i FROM hist)",
     """v AS (SELECT *, abs(temperature - (s * altitude + i)) AS residual, abs(temperature - mean_t) AS dev FROM near, line)"""],
     "v", "obs_id, residual > 3.25 AND (dev > 20 OR (std_t > 0 AND dev / std_t > 4)) AS is_outlier", "residual")
+# Each step judges the rows up to the 50th accepted one; 400 rows always hold so many.
+_IN_ORDER = """
+todo AS MATERIALIZED (SELECT obs_id, method, altitude AS a, temperature AS t, row_number() OVER (PARTITION BY method ORDER BY time, obs_id) AS rn
+  FROM obs WHERE altitude IS NOT NULL AND temperature >= -100),
+fold AS (
+  SELECT method, 0::BIGINT AS done, []::STRUCT(a DOUBLE, t DOUBLE)[] AS hist, []::BIGINT[] AS bad FROM (SELECT DISTINCT method FROM todo)
+  UNION ALL (
+  WITH s AS (SELECT * FROM fold WHERE done < (SELECT count(*) FROM todo WHERE todo.method = fold.method)),
+  h AS (SELECT method, x.a, x.t, i FROM (SELECT method, unnest(hist) AS x, unnest(range(len(hist))) AS i FROM s)),
+  line AS (SELECT method, regr_slope(t, a) AS m, regr_intercept(t, a) AS c FROM h GROUP BY method),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY a, i) AS no,
+      a + lead(a, 200) OVER (PARTITION BY method ORDER BY a, i) AS twice FROM h),
+  runs AS (SELECT method, no, avg(t) OVER r AS mean_t, stddev_pop(t) OVER r AS std_t
+    FROM ranked WINDOW r AS (PARTITION BY method ORDER BY no ROWS BETWEEN CURRENT ROW AND 199 FOLLOWING)),
+  passed AS (SELECT method, max(no) AS no, twice FROM ranked WHERE twice IS NOT NULL GROUP BY method, twice),
+  next AS (SELECT q.*, 2 * q.a AS double_a, len(s.hist) AS known FROM todo q JOIN s ON q.method = s.method AND q.rn > s.done AND q.rn <= s.done + 400),
+  placed AS (SELECT n.*, 1 + coalesce((SELECT max(no) FROM passed p WHERE p.method = n.method AND p.twice < n.double_a), 0) AS run FROM next n),
+  verdict AS (SELECT p.*, known >= 100 AND abs(p.t - (m * p.a + c)) > 3.25
+      AND (abs(p.t - mean_t) > 20 OR (std_t > 0 AND abs(p.t - mean_t) / std_t > 4)) AS far
+    FROM placed p LEFT JOIN line USING (method) LEFT JOIN runs r ON r.method = p.method AND r.no = p.run),
+  counted AS (SELECT *, sum((NOT coalesce(far, FALSE))::INTEGER) OVER (PARTITION BY method ORDER BY rn) AS good,
+      coalesce(far, FALSE) AS is_far FROM verdict),
+  block AS (SELECT * FROM counted WHERE good - (NOT is_far)::INTEGER < CASE WHEN known < 100 THEN 100 - known ELSE 50 END)
+  SELECT s.method, max(b.rn), (s.hist || coalesce(list({'a': b.a, 't': b.t} ORDER BY b.rn) FILTER (NOT is_far), []))[-1000:],
+    s.bad || coalesce(list(b.obs_id) FILTER (is_far), [])
+  FROM s JOIN block b USING (method) GROUP BY s.method, s.hist, s.bad)),
+judged_in_order AS (SELECT obs_id, obs_id IN (SELECT unnest(bad) FROM fold) AS is_outlier FROM todo)"""
+put("a17_outliers_in_order", [OBS, _IN_ORDER], "judged_in_order", "obs_id, is_outlier")
+put("st5_refit_stream", [OBS, _IN_ORDER], "judged_in_order", "obs_id, is_outlier")
 put("a18_datalink_summary", [REPORTS], "reports",
     """count(*) AS weather_messages, count(altitude_ft) AS with_altitude, count(temperature_c) AS with_temperature,
     count(*) FILTER (wind_dir_deg IS NOT NULL AND wind_speed_kt IS NOT NULL) AS with_wind,
@@ -847,6 +877,18 @@ put("st5_outlier_stream", [OBS,
           OR (std_t > 0 AND abs(temperature - mean_t) / std_t > 4))))"""],
     "kept", "obs_id", "temperature")
 
+put("st9_stored_ring", [OBS,
+    f"early AS (SELECT * FROM obs WHERE {_ARRIVED} AND altitude IS NOT NULL AND temperature >= -100)",
+    "latest AS (SELECT * FROM early WHERE temperature > -100 ORDER BY time DESC, obs_id DESC LIMIT 300)",
+    _HIST.format(rows="latest"),
+    "line AS (SELECT regr_slope(temperature, altitude) AS s, regr_intercept(temperature, altitude) AS i FROM hist)",
+    f"""kept AS (SELECT obs_id, time, altitude, temperature FROM early UNION ALL
+      SELECT obs_id, time, altitude, temperature FROM near, line WHERE NOT {_ARRIVED}
+        AND NOT (abs(temperature - (s * altitude + i)) > 3.25 AND (abs(temperature - mean_t) > 20
+          OR (std_t > 0 AND abs(temperature - mean_t) / std_t > 4)))),
+    ring AS (SELECT * FROM kept WHERE temperature > -100 ORDER BY time DESC, obs_id DESC LIMIT 300)"""],
+    "ring", "obs_id", "altitude | temperature")
+
 _REACHED = [OBS, POS, PROBES, _NEAR.format(k="seq", t="time", probes="probes")]
 put("st3_nearest_position_stream", _REACHED, "probes LEFT JOIN near ON seq = probe", "seq, icao",
     "altitude_m | abs(off) / 1e6 AS gap_s")

@@ -1,13 +1,16 @@
 """Streams give what the batch operators give on the same input."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from skysonde import bridge
 from skysonde import settings as S
 from skysonde.operators import asof, grid
 from skysonde.sources import landing, messages, tables
-from skysonde.sources.storage import fresh_folder
+from skysonde.sources.storage import fresh_folder, shared_folder
 from skysonde.streaming import fragments, jobs
+from skysonde.streaming.ring import HistoryRing
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,7 +93,7 @@ def test_grid_upkeep_equals_rebuild(spark):
     tables.append_observations(rows.where("altitude IS NOT NULL"), table)
     paths = {spec.name: fresh_folder(spark, spec.name) for spec in grid.GRIDS}
     source = landing.stream_observations(spark, land(spark, rows), 1)
-    query = jobs.grid_stream(source, table, paths, fresh_folder(spark, "mark"), available_now=True)
+    query = jobs.grid_stream(source, paths, fresh_folder(spark, "mark"), available_now=True)
     assert query.awaitTermination(120)
     for spec in grid.GRIDS:
         kept = grid.read_grid(spark, paths[spec.name]).drop("date")
@@ -123,3 +126,71 @@ def test_an_emptied_day_leaves_the_grid(spark):
     first_kept = F.to_date(grid.refresh_start(grid.THREE_HOUR_GRID, now))
     stale = grid.read_grid(spark, path).where(F.to_date("time_bucket") >= first_kept)
     assert stale.where(F.col("time") > left.agg(F.max("time")).first()[0]).count() == 0
+
+
+def folders(spark):
+    return set(os.listdir(shared_folder(spark)))
+
+
+def test_a_repeated_batch_is_judged_as_before_and_leaves_no_tables(spark):
+    rows = bridge.observations(spark, "/root/testdata/sf0.01").withColumn("time", F.col("time").cast("timestamp"))
+    rows = rows.withColumn("obs_id", F.when(F.col("obs_id") % 500 != 0, F.col("obs_id")))
+    half = F.lit("2024-01-15").cast("timestamp")
+    table, bad = fresh_folder(spark, "table"), fresh_folder(spark, "bad")
+    paths = {spec.name: fresh_folder(spark, spec.name) for spec in grid.GRIDS}
+    ring = HistoryRing(fresh_folder(spark, "ring"), size=500, compact_after=2)
+
+    def arrive(part, batch_id):
+        jobs.store_arrived(part, batch_id, table, bad, grids=paths, ring=ring)
+        kept = sorted(tables.read_observations(spark, table).select("time", "temperature").collect())
+        cells = sorted(grid.read_grid(spark, paths["half_hour"]).select("time_bucket", "altitude_bin", "time").collect())
+        return kept, cells, sorted(ring.rows(spark).collect(), key=lambda r: (r.time, r.temperature))
+
+    once = arrive(rows.where(F.col("time") < half), 0)
+    late = rows.where(F.col("time") >= half)
+    # the last attempt broke off after the table was written
+    done = arrive(late, 1)
+    held = folders(spark)
+    assert arrive(late, 1) == done and folders(spark) == held
+    assert len(once[0]) < len(done[0]) < rows.where("altitude IS NOT NULL AND temperature IS NOT NULL").count()
+    assert len(done[2]) == 500
+    whole = grid.representative_grid(tables.read_observations(spark, table), grid.HALF_HOUR_GRID)
+    assert len(done[1]) == whole.count()
+
+
+def test_the_ring_holds_the_latest_rows_however_batches_come(spark):
+    rows = bridge.observations(spark, SF).withColumn("time", F.col("time").cast("timestamp")).where(
+        "altitude IS NOT NULL AND temperature > -100"
+    )
+    ring = HistoryRing(fresh_folder(spark, "ring"), size=90, compact_after=3)
+    assert ring.rows(spark) is None
+    parts = [rows.where(F.pmod(F.xxhash64("obs_id"), F.lit(8)) == n) for n in range(8)]
+    for n, part in enumerate(parts):
+        ring.accept(part, n)
+        ring.accept(part, n)
+    expected = [r.obs_id for r in rows.orderBy(F.desc("time"), F.desc("obs_id")).limit(90).collect()]
+    assert [r.obs_id for r in ring.rows(spark).orderBy(F.desc("time"), F.desc("obs_id")).collect()] == expected
+    before = parts[0].unionByName(parts[1])
+    assert {r.obs_id for r in HistoryRing.before(ring, spark, 99).collect()} == set(expected)
+    stored = spark.read.parquet(ring.path).select("kind", "batch").distinct().collect()
+    assert {(r.kind, r.batch) for r in stored} == {("whole", 5), ("part", 6), ("part", 7)} and before.count()
+    ring.accept(rows.limit(0), 8)
+    assert [r.obs_id for r in ring.rows(spark).orderBy(F.desc("time"), F.desc("obs_id")).collect()] == expected
+
+
+def test_merging_into_a_grid_reads_touched_days_only_and_repeats_safely(spark):
+    rows = bridge.observations(spark, SF)
+    path = fresh_folder(spark, "grid")
+    for part in (rows.where("obs_id % 3 = 0"), rows.where("obs_id % 3 = 1"), rows.where("obs_id % 3 = 1"), rows.where("obs_id % 3 = 2"), rows.limit(0)):
+        grid.merge_rows(part, grid.HALF_HOUR_GRID, path)
+    kept, whole = grid.read_grid(spark, path).drop("date"), grid.representative_grid(rows, grid.HALF_HOUR_GRID)
+    assert kept.count() == whole.count() and kept.exceptAll(whole).count() == 0
+
+
+def test_time_ties_in_a_merged_grid_go_to_the_higher_id(spark):
+    rows = bridge.observations(spark, SF).where("altitude > 0 AND temperature > -100 AND distance < 100").limit(1)
+    path = fresh_folder(spark, "grid")
+    for number, temperature in ((5, 1.0), (9, 2.0), (7, 3.0)):
+        tied = rows.withColumns({"obs_id": F.lit(number).cast("long"), "temperature": F.lit(temperature)})
+        grid.merge_rows(tied, grid.HALF_HOUR_GRID, path)
+    assert [r.temperature for r in grid.read_grid(spark, path).collect()] == [2.0]
