@@ -1,6 +1,6 @@
 """Outliers against the altitude-temperature relation of a history."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysonde import settings as S
@@ -57,18 +57,10 @@ def neighbour_spans(history: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     shared = rows.select(
         "*", home.alias("_home"), F.explode(F.filter(slices, lambda s: s.isNotNull())).alias("_slice")
     )
-    order = Window.partitionBy("_slice").orderBy("_at")
-    run = order.rowsBetween(0, k - 1)
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    runs = shared.withColumns(
-        {
-            "mean_temperature": F.avg("temperature").over(run),
-            "std_temperature": F.stddev_pop("temperature").over(run),
-            "neighbours": F.count(F.lit(1)).over(run),
-            "above": (F.lag("altitude").over(order) + F.lead("altitude", k - 1).over(order)) / 2,
-            "upto": (F.col("altitude") + F.lead("altitude", k).over(order)) / 2,
-        }
-    ).where((F.col("_slice") == F.col("_home")) & (F.col("_at") <= F.greatest(total - k + 1, F.lit(1))))
+    runs = _with_runs(shared, k).where(
+        (F.col("_slice") == F.col("_home")) & (F.col("_at") <= F.greatest(total - k + 1, F.lit(1)))
+    )
     return runs.select(
         F.coalesce("above", F.lit(float("-inf"))).alias("above"),
         F.coalesce("upto", F.lit(float("inf"))).alias("upto"),
@@ -78,6 +70,55 @@ def neighbour_spans(history: DataFrame, k: int = S.NEIGHBOURS) -> DataFrame:
     ).where(F.col("above") < F.col("upto"))
 
 
+def _with_runs(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of slices with the statistics of the k rows from each one on, and the span that is theirs.
+
+    Sums over a run are differences of running sums, so that their cost doesn't depend on k.
+    They are taken of deviations from the slice's mean; a run without any change has no
+    deviation, whatever rounding leaves.
+    """
+    whole = Window.partitionBy("_slice")
+    order = whole.orderBy("_at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    to_end = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    off = F.col("temperature") - F.col("_middle")
+    change = F.when(F.col("temperature") != F.lag("temperature").over(order), F.col("_at"))
+    centred = rows.withColumns({"_middle": F.avg("temperature").over(whole), "_change": change})
+    sums = centred.withColumns(
+        {
+            "_sum": F.sum(off).over(upto),
+            "_squares": F.sum(off * off).over(upto),
+            "_changed": F.max("_change").over(upto),
+            "_last": F.max("_at").over(whole),
+        }
+    )
+
+    def over_run(running: str) -> Column:
+        end = F.coalesce(F.lead(running, k - 1).over(order), F.last(running).over(to_end))
+        return end - F.coalesce(F.lag(running).over(order), F.lit(0.0))
+
+    n = F.least(F.lit(k), F.col("_last") - F.col("_at") + 1)
+    ended = F.coalesce(F.lead("_changed", k - 1).over(order), F.last("_changed").over(to_end))
+    both = sums.withColumns(
+        {
+            "_run_sum": over_run("_sum"),
+            "_run_squares": over_run("_squares"),
+            "_level": F.coalesce(ended <= F.col("_at"), F.lit(True)),
+            "neighbours": n.cast("long"),
+            "above": (F.lag("altitude").over(order) + F.lead("altitude", k - 1).over(order)) / 2,
+            "upto": (F.col("altitude") + F.lead("altitude", k).over(order)) / 2,
+        }
+    )
+    mean = F.col("_run_sum") / F.col("neighbours")
+    variance = F.greatest(F.col("_run_squares") / F.col("neighbours") - mean * mean, F.lit(0.0))
+    return both.withColumns(
+        {
+            "mean_temperature": F.col("_middle") + mean,
+            "std_temperature": F.when(F.col("_level"), F.lit(0.0)).otherwise(F.sqrt(variance)),
+        }
+    )
+
+
 def _with_neighbours(candidates: DataFrame, spans: DataFrame) -> DataFrame:
     """Candidates with the values of the span that holds their altitude.
 
@@ -123,7 +164,8 @@ def outlier_flags(
     """Batch with `is_outlier`, judged against a frozen history.
 
     First stage: close to the regression line is normal.  Second stage: far from
-    the mean of the altitude neighbours, in degrees or in deviations, is not.
+    the mean of the altitude neighbours, in degrees or in deviations, is not; only rows
+    that come to it have mean_temperature and std_temperature.
     With too little history everything is normal.  The history does not grow
     while a batch is judged, so verdicts near the limits can differ from judging
     row by row; feed the accepted rows back and repeat to follow the data.
@@ -138,15 +180,15 @@ def outlier_flags(
         ),
     )
     near_line = F.coalesce(F.col("residual") <= tolerance, F.lit(True))
-    scored = _with_neighbours(judged.withColumn("_near", near_line), neighbour_spans(history, k))
+    # only rows off the line need neighbours; the others aren't put into any order
+    suspects = _with_neighbours(judged.where(~near_line), neighbour_spans(history, k))
+    scored = suspects.unionByName(judged.where(near_line), allowMissingColumns=True)
     deviation = F.abs(F.col("temperature") - F.col("mean_temperature"))
     z = F.when(F.col("std_temperature") > 0, deviation / F.col("std_temperature")).otherwise(
         F.lit(0.0)
     )
     far = (deviation > deviation_limit) | (z > sigma_limit)
-    return scored.withColumn("is_outlier", ~F.col("_near") & F.coalesce(far, F.lit(False))).drop(
-        "_line", "_near", "neighbours"
-    )
+    return scored.withColumn("is_outlier", F.coalesce(far, F.lit(False))).drop("_line", "neighbours")
 
 
 def without_outliers(

@@ -895,14 +895,14 @@ put("st3_nearest_position_stream", _REACHED, "probes LEFT JOIN near ON seq = pro
 put("st2_position_retention", _REACHED, "probes LEFT JOIN near ON seq = probe GROUP BY icao",
     "icao, count(altitude_m) AS matched, count(*) - count(altitude_m) AS unmatched", "max(abs(off)) / 1e6 AS widest_gap_s")
 
-_NAMED = """
+_ASKED = """
 asked AS (SELECT obs_id AS seq, epoch_us(time) AS micros, CASE WHEN obs_id % 4 <> 0 THEN 'AB' || icao END AS icao,
     CASE WHEN obs_id % 4 = 0 THEN upper(callsign) END AS callsign FROM obs WHERE method = 'vdl2'),
 gaps AS (SELECT seq, epoch_us(time) AS micros, upper(trim(icao)) AS icao, upper(trim(callsign)) AS callsign, altitude_m,
     coalesce(epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY upper(trim(icao)) ORDER BY time, seq) > 7200000000, TRUE) AS begins
   FROM pos),
 spells AS (SELECT *, max(CASE WHEN begins THEN micros END) OVER (PARTITION BY icao ORDER BY micros, seq) AS since FROM gaps)"""
-put("st2_history_answers", [OBS, POS, _NAMED, """
+put("st2_history_answers", [OBS, POS, _ASKED, """
 led AS (SELECT DISTINCT ON (a.seq) a.seq, g.icao FROM asked a JOIN spells g ON a.icao IS NULL AND g.callsign = a.callsign AND g.micros < a.micros
   ORDER BY a.seq, g.micros DESC, g.seq DESC),
 near AS (SELECT DISTINCT ON (a.seq) a.seq, a.micros, a.callsign, s.altitude_m, abs(s.micros - a.micros) AS gap, s.icao, s.since
@@ -911,7 +911,7 @@ near AS (SELECT DISTINCT ON (a.seq) a.seq, a.micros, a.callsign, s.altitude_m, a
 known AS (SELECT n.* FROM near n WHERE n.callsign IS NULL OR EXISTS (SELECT 1 FROM spells s
   WHERE s.icao = n.icao AND s.since = n.since AND s.callsign = n.callsign AND s.micros <= n.micros))"""],
     "asked a LEFT JOIN known k USING (seq) WHERE a.icao IS NOT NULL OR a.callsign IS NOT NULL", "a.seq", "altitude_m | gap / 1e6 AS gap_s")
-put("st2_history_state", [OBS, POS, _NAMED, """
+put("st2_history_state", [OBS, POS, _ASKED, """
 mark AS (SELECT (least((SELECT max(micros) FROM spells), (SELECT max(micros) FROM asked)) // 1000 - 10000) * 1000 - 7200000000 AS old),
 held AS (SELECT 'position' AS kind, icao, NULL::VARCHAR AS callsign, seq, micros, since FROM spells, mark WHERE micros > old
   UNION ALL SELECT 'callsign', icao, callsign, NULL, until, since FROM (

@@ -146,7 +146,7 @@ def test_planted_outliers_are_found(spark):
 def test_discrepancies_meet_once_and_use_keys(spark):
     records = compare.comparison_records(bridge.observations(spark, "/root/testdata/sf0.01"))
     one = compare.discrepancies(records, window_s=3600)
-    salted = compare.discrepancies(records, window_s=3600, salts=5)
+    salted = compare.discrepancies(records, window_s=3600, step_records=3)
     ids = ["modes_obs_id", "vdl2_obs_id"]
     assert one.select(ids).distinct().count() == one.count() == salted.count() > 0
     assert one.select(ids).exceptAll(salted.select(ids)).count() == 0
