@@ -107,6 +107,23 @@ def _(spark, sf):
     return messages.modes_hex_lines(bridge.modes_lines(spark, sf)).select("seq", "hex")
 
 
+def _capture(lines: DataFrame, path: str, files: int = 5) -> str:
+    """Lines as text files whose names follow their order."""
+    ordered = lines.repartitionByRange(files, "seq").sortWithinPartitions("seq")
+    ordered.select(F.coalesce("line", F.lit("")).alias("value")).write.mode("append").text(path)
+    return path
+
+
+@query("s1_numbered_capture")
+def _(spark, sf):
+    """Usable lines of capture files numbered in file order; the datalink lines go on from them."""
+    heard = messages.read_modes_capture(spark, _capture(bridge.modes_lines(spark, sf), fresh_folder(spark, "capture-modes")))
+    last = materialized(heard, "heard").agg(F.max("seq").alias("seq")).first().seq or 0
+    lines = _capture(bridge.vdl2_lines(spark, sf), fresh_folder(spark, "capture-datalink"))
+    after = messages.read_numbered_lines(spark, lines, before=last)
+    return heard.select("seq", F.col("hex").alias("text")).unionByName(after.select("seq", F.col("line").alias("text")))
+
+
 @query("s2_datalink_json_scan")
 def _(spark, sf):
     d = F.col("doc.vdl2.avlc")
@@ -187,6 +204,18 @@ def _(spark, sf):
     return _streamed(spark, routed, "landing")
 
 
+@query("s7_numbered_arrivals")
+def _(spark, sf):
+    """Three arrivals of text lines, numbered by a stream that starts anew for each."""
+    landed, table, mark = (fresh_folder(spark, f"arrivals-{n}") for n in ("landed", "table", "mark"))
+    lines = bridge.vdl2_lines(spark, sf)
+    for n in range(3):
+        third = lines.where(F.floor(F.col("seq") / F.lit(500)) % 3 == n)
+        _capture(third, landed, 1)
+        landing.number_arrivals(spark, landed, table, mark, True, files=1).awaitTermination()
+    return spark.read.parquet(table).select("seq", "line")
+
+
 @query("s8_naive_time_migration")
 def _(spark, sf):
     moved = tables.naive_to_zoned(obs(spark, sf).select("obs_id", "time"))
@@ -948,6 +977,11 @@ def _(spark, sf):
     return surface.temperature_surface(_measures(spark, sf), _extent(spark, sf), limited=True)
 
 
+@query("g2_surface_in_hull")
+def _(spark, sf):
+    return surface.surface_in_hull(_measures(spark, sf), _extent(spark, sf))
+
+
 @query("g3_isotherms")
 def _(spark, sf):
     return surface.isotherms(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from skysonde import settings as S
 from skysonde.functions.staging import computed_once
 from skysonde.functions.timebins import micros
+from skysonde.operators.hull import convex_hull, with_inside
+from skysonde.sources.storage import materialized
 
 # Nodes within this many mesh steps share their observations with a node.
 REACH = 2
@@ -171,6 +173,27 @@ def temperature_surface(
     return regular_mesh(extent, nodes, limited).join(fitted, ["i", "j"], "left")
 
 
+def surface_in_hull(
+    rows: DataFrame,
+    extent: DataFrame,
+    value: str = "temperature",
+    nodes: int = S.MESH_NODES,
+    limited: bool = False,
+) -> DataFrame:
+    """As `temperature_surface`, but NULL outside the convex hull of the observations, and everywhere
+    when fewer than three of them, or only such on a line, have a hull."""
+    top = S.ALTITUDE_LIMITED_M if limited else S.ALTITUDE_MAX_M
+    t = micros(F.col("time"))
+    within = computed_once(rows, _e=_bounds(extent)).where((t >= F.col("_e.first")) & (t <= F.col("_e.last")))
+    points = within.where(F.col("altitude").between(0.0, top) & F.col(value).isNotNull()).select(
+        (t / F.lit(86_400e6)).alias("x"), F.col("altitude").alias("y")
+    )
+    surface = temperature_surface(rows, extent, value, nodes, limited)
+    hull = materialized(convex_hull(points), "hull")  # a few corners, read twice
+    held = with_inside(surface, hull, F.col("mesh_day"), F.col("mesh_altitude"))
+    return held.withColumn("value", F.when(F.col("inside"), F.col("value")))
+
+
 def isotherms(surface: DataFrame, limited: bool = False, step: int | None = None) -> DataFrame:
     """Where each temperature level crosses a mesh edge, by linear interpolation.
 

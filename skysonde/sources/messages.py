@@ -1,21 +1,77 @@
 """Message sources: Mode S lines and VDL2 JSON lines."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skysonde import schemas
 from skysonde.functions.acars import with_weather_text
 from skysonde.functions.identifiers import strip_callsign
 from skysonde.functions.staging import computed_once
+from skysonde.sources.storage import materialized
 
 MIN_MESSAGE_DIGITS = 22
 
 
 def read_text_lines(spark: SparkSession, path: str, column: str = "line") -> DataFrame:
-    """Text files as one column; ordering must come with the data, not from here."""
+    """Text files as one column; `read_numbered_lines` also gives their order."""
     return spark.read.text(path).select(F.col("value").alias(column))
 
 
+#: Lines lie in blocks of a file; up to so many blocks, 100 bytes each, are broadcast.
+BROADCAST_BLOCKS = 500_000
+_PLACE = ("_arrived", "_file", "_block")
+
+
+def with_place(lines: DataFrame) -> DataFrame:
+    """Lines of text files with where they stand: file, block of it, and order in the block.
+
+    A block of a file is read by one task from its start on, so that ids grow along it.
+    """
+    return lines.select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_modification_time").alias("_arrived"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
+
+
+def numbered_in_place(lines: DataFrame, order: tuple[str, ...], before: int | Column = 0) -> DataFrame:
+    """Lines of `with_place` with `seq`, from `before` + 1 on without gaps, in the order of their places.
+
+    No line moves: lines are counted per block, and each block starts where those before it
+    end.  They are written first, so that blocks are cut once and for all.
+    """
+    rows = materialized(lines.withColumn("_id", F.monotonically_increasing_id()), "lines")
+    blocks = rows.groupBy(*_PLACE).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    start = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + before
+    starts = materialized(blocks.withColumn("_start", start).drop("_n"), "blocks")
+    if starts.count() <= BROADCAST_BLOCKS:
+        starts = F.broadcast(starts)
+    placed = rows.join(starts, list(_PLACE))
+    return placed.select((F.col("_start") + F.col("_id") - F.col("_first") + 1).alias("seq"), "line")
+
+
+def read_numbered_lines(
+    spark: SparkSession, path: str | list[str], kept: Column | None = None, before: int | Column = 0
+) -> DataFrame:
+    """(seq, line) of text files: a running number over the lines that are `kept`, by file name and line.
+
+    `before` goes on from another file's lines, as a capture of both methods counts them.
+    """
+    lines = with_place(spark.read.text(path))
+    if kept is not None:
+        lines = lines.where(kept)
+    return numbered_in_place(lines, ("_file", "_block"), before)
+
+
+def read_modes_capture(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(seq, line, hex) of the usable lines of Mode S capture files, numbered in file order."""
+    text = F.trim(F.col("line"))
+    digits = F.length(F.rtrim(F.substring(text, 2, 2_147_483_647), F.lit(";")))
+    return modes_hex_lines(read_numbered_lines(spark, path, F.startswith(text, F.lit("*")) & (digits >= MIN_MESSAGE_DIGITS)))
+
+
 def modes_hex_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Raw Mode S lines `*<hex>;` reduced to their hex text.
 

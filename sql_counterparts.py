@@ -286,12 +286,17 @@ def put(name: str, ctes: list[str], source: str, columns: str, doubles: str = ""
 
 # --- sources -------------------------------------------------------------------------------
 _HEX = "lpad(upper(to_hex(event_id)), {0}, '8')"
-put("s1_modes_line_scan", [f"""l AS (SELECT event_id AS seq, CASE event_id % 6
+_HEX_LINES = f"""l AS (SELECT event_id AS seq, CASE event_id % 6
     WHEN 0 THEN {_HEX.format(28)} WHEN 1 THEN '*' || {_HEX.format(22)} || ';'
     WHEN 2 THEN '*' || {_HEX.format(28)} || ';' WHEN 3 THEN '*' || {_HEX.format(14)} || ';'
     WHEN 4 THEN '  *' || {_HEX.format(28)} || '; ' ELSE '' END AS line FROM events),
-  c AS (SELECT seq, rtrim(substr(trim(line), 2), ';') AS hex FROM l WHERE trim(line) LIKE '*%')"""],
+  c AS (SELECT seq, rtrim(substr(trim(line), 2), ';') AS hex FROM l WHERE trim(line) LIKE '*%')"""
+put("s1_modes_line_scan", [_HEX_LINES],
     "c WHERE length(hex) >= 22", "seq, hex")
+put("s1_numbered_capture", [_HEX_LINES, LINES, """
+n AS (SELECT row_number() OVER (ORDER BY seq) AS seq, hex AS text FROM c WHERE length(hex) >= 22
+  UNION ALL SELECT (SELECT count(*) FROM c WHERE length(hex) >= 22) + row_number() OVER (ORDER BY seq), line FROM lines)"""],
+    "n", "seq, text")
 put("s2_datalink_json_scan", [LINES], "docs",
     "seq, j ->> '$.vdl2.avlc.src.type' AS sender_type, "
     "(j -> '$.vdl2.avlc.acars') IS NOT NULL AS has_acars, (j -> '$.vdl2.avlc.xid') IS NOT NULL AS has_xid")
@@ -325,6 +330,7 @@ _KIND = """CASE WHEN df IN (17, 18) AND typecode BETWEEN 1 AND 4 THEN 'callsign'
     WHEN df IN (17, 18) AND (typecode BETWEEN 5 AND 18 OR typecode BETWEEN 20 AND 22) THEN 'position'
     WHEN df IN (20, 21) THEN CASE bds WHEN '44' THEN 'bds44' WHEN '50' THEN 'bds50'
       WHEN '60' THEN 'bds60' ELSE 'comm_b' END END"""
+put("s7_numbered_arrivals", [LINES], "lines", "row_number() OVER (ORDER BY seq // 500 % 3, seq) AS seq, line")
 put("s7_landing_stream", [MSG], "msg", f"seq, icao, {_KIND} AS kind")
 
 # --- filters ----------------------------------------------------------------------------------
@@ -758,6 +764,20 @@ _G2 = _surface("fit", 80, 80, 13000)
 put("g2_temperature_surface", [OBS, FIT, _FULL, _G2], "surf", "i, j", "mesh_day | mesh_altitude | value")
 put("g2_temperature_surface_limited", [OBS, FIT, _FULL, _surface("fit", 80, 41, 2000)], "surf", "i, j",
     "mesh_day | mesh_altitude | value")
+_HULL = """
+pts AS MATERIALIZED (SELECT DISTINCT epoch_us(time) / 86400e6 AS x, altitude AS y FROM fit WHERE altitude BETWEEN 0 AND 13000),
+lower AS ((SELECT x, y FROM pts ORDER BY x, y LIMIT 1) UNION ALL
+  SELECT n.p.x, n.p.y FROM (SELECT arg_min({'x': p.x, 'y': p.y}, ((p.y - l.y) / (p.x - l.x), -p.x)) AS p
+    FROM lower l JOIN pts p ON p.x > l.x) n WHERE n.p IS NOT NULL),
+upper AS ((SELECT x, y FROM pts ORDER BY x, y DESC LIMIT 1) UNION ALL
+  SELECT n.p.x, n.p.y FROM (SELECT arg_max({'x': p.x, 'y': p.y}, ((p.y - l.y) / (p.x - l.x), p.x)) AS p
+    FROM upper l JOIN pts p ON p.x > l.x) n WHERE n.p IS NOT NULL),
+sides AS (SELECT x AS x1, y AS y1, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM lower
+  UNION ALL SELECT x, y, lag(x) OVER (ORDER BY x), lag(y) OVER (ORDER BY x) FROM upper),
+held AS (SELECT s.*, (SELECT count(*) FROM pts) >= 3 AND mesh_day BETWEEN (SELECT min(x) FROM pts) AND (SELECT max(x) FROM pts)
+    AND NOT EXISTS (SELECT 1 FROM sides WHERE x2 IS NOT NULL
+      AND (x2 - x1) * (s.mesh_altitude - y1) - (y2 - y1) * (s.mesh_day - x1) < 0) AS inside FROM surf s)"""
+put("g2_surface_in_hull", [OBS, FIT, _FULL, _G2, _HULL], "held", "i, j, inside", "mesh_day | mesh_altitude | CASE WHEN inside THEN value END AS value")
 put("g3_isotherms", [OBS, FIT, _FULL, _G2, _iso(-80, 30, 10)], "crossed", "i, j, edge, lvl AS level", _ISOC)
 
 # --- streams whose outcome a batch statement can give ---------------------------------------------------
