@@ -31,7 +31,7 @@ from skysonde.operators import (
 )
 from skysonde.plans import replay, views
 from skysonde.sources import exports, landing, messages, tables
-from skysonde.streaming import fragments, jobs, live
+from skysonde.streaming import alarms, fragments, jobs, live
 from skysonde.streaming import positions as history
 from skysonde.streaming.ring import HistoryRing
 from skysonde.sources.storage import fresh_folder, materialized
@@ -45,6 +45,7 @@ XID_REACH_S = 21_600
 COMPARE_REACH_S = 3600
 PAIRING_TTL_S = 86_400
 SECOND_ARRIVAL = "2024-01-15"
+SILENCE_LIMITS = {S.MODE_S: 1800, S.VDL2: 3600}
 NOW = "2024-01-30 12:34:56"
 PERIOD = ("2024-01-05 00:10:00", "2024-01-25 12:50:00")
 
@@ -1210,6 +1211,16 @@ def _(spark, sf):
     return monitor.freshness(obs(spark, sf), instant(NOW), F.lit(21))
 
 
+@query("st7_absence_alarms")
+def _(spark, sf):
+    """Silences of both methods that a replay in three arrivals raises alarms for."""
+    path = _in_turn(spark, obs(spark, sf), "time", "alarms")
+    raised = alarms.absence_alarms(landing.stream_observations(spark, path, 1), SILENCE_LIMITS, by_clock=False)
+    with history.keyed_state(spark):
+        out = _streamed(spark, raised, "alarms")
+    return out.select("method", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_received", "due")])
+
+
 @query("st8_quarantine")
 def _(spark, sf):
     path, bad = _stored(spark, sf)

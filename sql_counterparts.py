@@ -788,6 +788,11 @@ f AS (SELECT *, greatest(0, (epoch_us({NOW}) - epoch_us(last_received)) / 1e6) A
     (epoch_us({NOW}) - epoch_us(last_received)) // 60000000 AS mins FROM seen)"""], "f",
     "method, last_received, lim AS limit_seconds, coalesce(age > lim, TRUE) AS failed, "
     "coalesce(mins >= CASE method WHEN 'vdl2' THEN 360 ELSE 30 END, TRUE) AS stale", "age AS age_seconds")
+put("st7_absence_alarms", [OBS, """
+heard AS (SELECT DISTINCT method, epoch_us(time) AS at_us, CASE method WHEN 'vdl2' THEN 3600000000 ELSE 1800000000 END AS lim FROM obs),
+gaps AS (SELECT *, coalesce(lead(at_us) OVER (PARTITION BY method ORDER BY at_us),
+    ((SELECT max(at_us) FROM heard) // 1000 - 10000) * 1000) - at_us AS gap FROM heard)"""],
+    "gaps WHERE gap > lim", "method, make_timestamp(at_us) AS last_received, make_timestamp(at_us + lim) AS due")
 put("st8_quarantine", [OBS], "obs",
     "obs_id, CASE WHEN altitude IS NULL OR temperature IS NULL THEN 'quarantine' ELSE 'stored' END AS sink")
 put("st9_bounded_history", [OBS,
