@@ -17,6 +17,7 @@ from skysonde.functions.identifiers import normal_identifier, strip_callsign
 from skysonde.operators import (
     asof,
     compare,
+    contours,
     detectors,
     fetch,
     filters,
@@ -990,6 +991,11 @@ def _(spark, sf):
     )
 
 
+@query("g3_contour_lines")
+def _(spark, sf):
+    return contours.contour_lines(surface.temperature_surface(_measures(spark, sf), _extent(spark, sf)))
+
+
 # --- streaming -------------------------------------------------------------------------------------
 
 

@@ -780,6 +780,30 @@ held AS (SELECT s.*, (SELECT count(*) FROM pts) >= 3 AND mesh_day BETWEEN (SELEC
 put("g2_surface_in_hull", [OBS, FIT, _FULL, _G2, _HULL], "held", "i, j, inside", "mesh_day | mesh_altitude | CASE WHEN inside THEN value END AS value")
 put("g3_isotherms", [OBS, FIT, _FULL, _G2, _iso(-80, 30, 10)], "crossed", "i, j, edge, lvl AS level", _ISOC)
 
+# Lines: every end, and every edge as the lowest of a closed line, is walked from; walks that get round, or to
+# a higher end, are kept.
+_LINES = """
+cross_nodes AS MATERIALIZED (SELECT lvl, i, j, edge, (i * 1000000 + j) * 2 + (edge = 'altitude')::BIGINT AS node,
+    d1 + share * (d2 - d1) AS cross_day, a1 + share * (a2 - a1) AS cross_altitude FROM crossed),
+cells AS (SELECT a.i, a.j, a.value AS corner, (a.value + b.value + c.value + d.value) / 4 AS mean FROM surf a
+  JOIN surf b ON b.i = a.i + 1 AND b.j = a.j JOIN surf c ON c.i = a.i AND c.j = a.j + 1 JOIN surf d ON d.i = a.i + 1 AND d.j = a.j + 1
+  WHERE a.value + b.value + c.value + d.value IS NOT NULL),
+sided AS (SELECT lvl, i, j, 'b' AS side, node FROM cross_nodes WHERE edge = 'time' UNION ALL SELECT lvl, i, j - 1, 't', node FROM cross_nodes WHERE edge = 'time'
+  UNION ALL SELECT lvl, i, j, 'l', node FROM cross_nodes WHERE edge = 'altitude' UNION ALL SELECT lvl, i - 1, j, 'r', node FROM cross_nodes WHERE edge = 'altitude'),
+faced AS (SELECT lvl, i, j, (mean > lvl) = (corner > lvl) AS alike, side, node, count(*) OVER (PARTITION BY lvl, i, j) AS n FROM sided JOIN cells USING (i, j)),
+adj AS MATERIALIZED (SELECT x.lvl, x.node AS p, y.node AS q FROM faced x JOIN faced y ON x.lvl = y.lvl AND x.i = y.i AND x.j = y.j AND x.node <> y.node
+  WHERE x.n = 2 OR x.side || y.side IN (SELECT unnest(CASE WHEN x.alike THEN ['br', 'rb', 'lt', 'tl'] ELSE ['bl', 'lb', 'tr', 'rt'] END))),
+deg AS (SELECT lvl, p, count(*) AS n, min(q) AS near FROM adj GROUP BY lvl, p),
+walk AS (SELECT a.lvl, a.p AS start, a.p AS prev, a.q AS node, 1 AS position, n = 2 AS loop FROM adj a JOIN deg d ON d.lvl = a.lvl AND d.p = a.p WHERE n = 1 OR q = near
+  UNION ALL SELECT w.lvl, w.start, w.node, a.q, w.position + 1, w.loop FROM walk w JOIN adj a ON a.lvl = w.lvl AND a.p = w.node AND a.q <> w.prev
+    WHERE w.node <> w.start AND (NOT w.loop OR w.node > w.start)),
+whole AS (SELECT lvl, start, loop FROM walk GROUP BY lvl, start, loop
+  HAVING CASE WHEN loop THEN count_if(node = start) > 0 ELSE start < arg_max(node, position) END),
+placed_points AS (SELECT lvl, start, loop, position, node FROM walk JOIN whole USING (lvl, start, loop) WHERE node <> start
+  UNION ALL SELECT lvl, start, loop, 0, start FROM whole)"""
+put("g3_contour_lines", [OBS, FIT, _FULL, _G2, _iso(-80, 30, 10), _LINES], "placed_points JOIN cross_nodes USING (lvl, node)",
+    "lvl AS level, start AS line, position::INTEGER AS position, loop AS closed", "cross_day | cross_altitude")
+
 # --- streams whose outcome a batch statement can give ---------------------------------------------------
 put("st6_grid_upkeep", [OBS, FIT, HALF], "half_hour", "time_bucket, altitude_bin", "altitude")
 put("st7_freshness", [OBS, _METHODS, _LAST, f"""
