@@ -27,23 +27,25 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b"))).first())
 
 
-def component_labels(edges: DataFrame) -> DataFrame:
+def component_labels(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of edges (a, b) of longs; component is the least node.
 
+    The result is a table of `scratch` if there is one, else left for the caller to read.
+
     Each round's edges are a table in the shared folder, so lineage stays short and a lost
     executor costs one round.  Stars are joins on the node: a centre with very many
     neighbours is aggregated before it is shuffled, and its rows are split as a skewed join.
     Loops, repeated and reversed edges don't matter; edges with nulls are left out; no edges
     give no rows.
     """
-    with Scratch(edges.sparkSession) as scratch:
-        now = scratch.table(edges.where("a <> b").select("a", "b").distinct(), "edges")
+    with Scratch(edges.sparkSession) as rounds:
+        now = rounds.table(edges.where("a <> b").select("a", "b").distinct(), "edges")
         before, state = None, _state(now)
         while state != before:
-            now = scratch.table(_small_star(_large_star(now)), "stars")
+            now = rounds.table(_small_star(_large_star(now)), "stars")
             before, state = state, _state(now)
-            scratch.drop_before(1)
-        return scratch.result(_labels(now), "components")
+            rounds.drop_before(1)
+        return (scratch.table if scratch else rounds.result)(_labels(now), "components")
 
 
 def _labels(stars: DataFrame) -> DataFrame:
