@@ -78,7 +78,7 @@ def fetch_grid_by_time(
 ) -> DataFrame:
     """Grid rows at their true observation time, in time order."""
     rows = grid_rows(grid, start, end, max_altitude)
-    return rows.select("time", "altitude", "temperature", *S.WIND_COLUMNS).orderBy("time")
+    return rows.select("time", "altitude", "temperature", *S.WIND_COLUMNS).orderBy("time", "altitude", "temperature")
 
 
 def fetch_grid_measures(
@@ -154,5 +154,5 @@ def fetch_summary(rows: DataFrame) -> DataFrame:
 
 
 def fetch_sample(rows: DataFrame, n: int = 3) -> DataFrame:
-    """The first rows of a fetch in time order."""
-    return rows.orderBy("time").limit(n)
+    """The first rows of a fetch in time order; ties go by the other columns."""
+    return rows.orderBy("time", *[c for c in rows.columns if c != "time"]).limit(n)
