@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -98,11 +99,79 @@ BARE = {
 }
 
 
+BARE |= {
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "BSLGrant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy",
+    "ZlibGrant": "Permission is granted to anyone to use this software for any purpose",
+    "ZlibNoWarranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "OFL": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "ArtisticVer2": "The Artistic License 2.0",
+    "EPLVer2": "Eclipse Public License - v 2.0",
+    "EPLVer1": "Eclipse Public License v1.0",
+    "EUPL": "European Union Public Licence",
+    "WTFPL": "Do What The Fuck You Want To Public License",
+    "LGPLAny": "GNU Library General Public License",
+    "AGPLAny": "GNU Affero General Public License",
+}
+#: One for each of NOTICES.
+NOTED = {
+    "LGPLOrLater": "GNU Lesser General Public License or any later version",
+    "AGPLOrLater": "GNU Affero General Public License, or any later version",
+    "GPLVer3OrLater": "GNU General Public License as published by the FSF, version 3, or any later version",
+    "GPLVer2OrLater": "GNU General Public License v2 or any later version",
+    "Ver3OrLater": "Either version 3 of the License, or (at your option) any later version.",
+    "Ver2OrLater": "Either version 2 of the License, or (at your option) any later version.",
+    "GnuHope": "In the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "GnuImplied": "Without even the implied warranty of MERCHANTABILITY",
+    "GnuAddress": "If not, see <https://www.gnu.org/licenses/>.",
+    "ApacheUse": "You may not use this file except in compliance with the License.",
+    "ApacheSee": "See the License for the specific language governing permissions",
+    "NoLiability": "In no event shall the authors be liable for any claim.",
+    "Disclaimer": "Provided by the authors AS IS and any express or implied warranties are disclaimed",
+}
+
+
 def test_each_known_sentence_passes_the_stems(rows):
-    assert list(BARE) == [name for name, _ in license_rules.SENTENCES]
-    more = ["CC0 Universal", "CC0 dedication", "cc attribution-sharealike"]
-    found = {r.doc_id: r.sentence_ids for r in license_rules.license_scan(rows([*BARE.values(), *more])).collect()}
-    assert [found[i] for i in range(len(found))] == [*BARE, "CC0", "CC0", "CCBySa"]
+    assert sorted(BARE) == sorted(name for name, _ in license_rules.SENTENCES)
+    assert list(NOTED) == [name for name, _ in license_rules.NOTICES]
+    more = {"CC0 Universal": "CC0", "CC0 dedication": "CC0", "cc attribution-sharealike": "CCBySa"}
+    texts = [*BARE.values(), *NOTED.values(), *more]
+    found = {r.doc_id: r.sentence_ids for r in license_rules.license_scan(rows(texts)).collect()}
+    assert [found[i] for i in range(len(found))] == ["SPDX:mit", *list(BARE)[1:], *NOTED, *more.values()]
+
+
+def test_spdx_lines_count_as_their_expressions(rows):
+    texts = ["# SPDX-License-Identifier: GPL-2.0-only", "/* SPDX-License-Identifier: MIT OR Apache-2.0; */\n// SPDX-License-Identifier: MIT."]
+    found = {r.doc_id: r.licenses for r in license_rules.license_scan(rows(texts)).collect()}
+    assert found == {0: "gpl-2.0-only", 1: "mit or apache-2.0,mit"}
+
+
+LONG = (
+    "provided as is ", "gnu general public license as published by ", "gnu lesser general public license ", "permission to use, copy, "
+    "modify, and distribute this software ", "endorse or promote products derived from this software without ", "*", "-", "/*", "*/ ", "\n * ", "v. ",
+)
+
+
+def test_long_texts_of_half_known_sentences_take_time_in_proportion(rows):
+    texts = [part * (200_000 // len(part)) + end for part in LONG for end in ("", " licence")]
+    begun = time.monotonic()
+    assert len(license_rules.license_scan(rows(texts)).collect()) == len(texts)
+    assert time.monotonic() - begun < 60
+
+
+def test_license_sql_equals_the_scan_on_notices_and_comments(rows):
+    kinds = (BARE, NOTED, HEADERS)
+    texts = [x for kind in kinds for x in (kind if kind is HEADERS else kind.values())]
+    texts += [". ".join(texts), "\r\n".join(f"// {t}" for t in texts), "\n".join(f"   * {t} */" for t in texts), "<!-- *** --- rem x ---> licence"]
+    frame = rows(texts)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t in enumerate(texts)])
+    result = db.execute(license_rules.oracle())
+    names = [c[0] for c in result.description]
+    expected = sorted(dict(zip(names, r)).items() for r in result.fetchall())
+    got = sorted(r.asDict().items() for r in license_rules.license_scan(frame).select(names).collect())
+    assert [list(x) for x in got] == [list(x) for x in expected]
 
 
 GNU = """This program is free software{} you can redistribute it and/or modify
