@@ -46,6 +46,8 @@ XID_REACH_S = 21_600
 COMPARE_REACH_S = 3600
 PAIRING_TTL_S = 86_400
 SECOND_ARRIVAL = "2024-01-15"
+#: Tasks that keyed state is dealt to: the driver tables have few aircraft.
+STATE_PARTITIONS = 4
 SILENCE_LIMITS = {S.MODE_S: 1800, S.VDL2: 3600}
 NOW = "2024-01-30 12:34:56"
 PERIOD = ("2024-01-05 00:10:00", "2024-01-25 12:50:00")
@@ -1054,7 +1056,7 @@ def _history(spark, sf, purpose: str, closing: bool) -> tuple[DataFrame, str]:
         POSITION_REACH_S,
     )
     out, mark = fresh_folder(spark, purpose), fresh_folder(spark, f"{purpose}-mark")
-    with history.keyed_state(spark):
+    with history.keyed_state(spark, STATE_PARTITIONS):
         started = found.writeStream.option("checkpointLocation", mark).trigger(availableNow=True).format("parquet").start(out)
     started.awaitTermination()
     return spark.read.schema(found.schema).parquet(out), mark
@@ -1222,7 +1224,7 @@ def _(spark, sf):
     """Silences of both methods that a replay in three arrivals raises alarms for."""
     path = _in_turn(spark, obs(spark, sf), "time", "alarms")
     raised = alarms.absence_alarms(landing.stream_observations(spark, path, 1), SILENCE_LIMITS, by_clock=False)
-    with history.keyed_state(spark):
+    with history.keyed_state(spark, STATE_PARTITIONS):
         out = _streamed(spark, raised, "alarms")
     return out.select("method", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_received", "due")])
 

@@ -237,18 +237,24 @@ def filled_from_history(
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
+def keyed_state(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
     """Streams started inside keep their state where processors of keyed state need it.
 
-    A stream takes the session's settings when it starts, so others are left as they are.
+    `partitions` is how many tasks a new stream's state is dealt to; its checkpoint keeps
+    that number.  A stream takes the session's settings when it starts, so others are left
+    as they are.
     """
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKS_DB)
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS_DB}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def held_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:

@@ -5,7 +5,6 @@ import os
 from pyspark.sql import functions as F
 
 from skysonde import bridge
-from skysonde import settings as S
 from skysonde.operators import asof, grid
 from skysonde.sources import landing, messages, tables
 from skysonde.sources.storage import fresh_folder, shared_folder
