@@ -169,9 +169,8 @@ def test_license_sql_equals_the_scan_on_notices_and_comments(rows):
     db.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, t in enumerate(texts)])
     result = db.execute(license_rules.oracle())
     names = [c[0] for c in result.description]
-    expected = sorted(dict(zip(names, r)).items() for r in result.fetchall())
-    got = sorted(r.asDict().items() for r in license_rules.license_scan(frame).select(names).collect())
-    assert [list(x) for x in got] == [list(x) for x in expected]
+    expected = sorted(result.fetchall())
+    assert sorted(map(tuple, license_rules.license_scan(frame).select(names).collect())) == expected
 
 
 GNU = """This program is free software{} you can redistribute it and/or modify
