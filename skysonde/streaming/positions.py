@@ -6,8 +6,10 @@ aircraft drops what falls out of the windows; an aircraft without positions lose
 callsigns too, so that state is bounded by the aircraft in the air.
 """
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 from typing import NamedTuple
 
 import pandas as pd
@@ -55,18 +57,32 @@ class Probe(NamedTuple):
     named: bool
 
 
-def _micros(time: pd.Timestamp) -> int:
-    return time.value // 1000
+#: Columns of arriving rows, as `_arrived` gives them; the time comes first, in microseconds.
+_ARRIVING = ("seq", "icao", "callsign", "altitude_m", "latitude", "longitude", "is_probe", "named")
 
 
-def _plain(value: object) -> object:
-    return None if pd.isna(value) else value
+def _arrived(frames: Iterable[pd.DataFrame]) -> list[tuple]:
+    """Rows of one key as (at, *_ARRIVING), in order of time and message; columns they haven't are None."""
+    rows = []
+    for frame in frames:
+        columns = [(frame["time"].to_numpy("datetime64[ns]").astype("int64") // 1000).tolist()]
+        for name in _ARRIVING:
+            values = frame[name].astype(object) if name in frame else pd.Series([None] * len(frame), dtype=object)
+            columns.append(values.where(values.notna(), None).tolist())
+        rows += zip(*columns)
+    return sorted(rows, key=itemgetter(0, 1))
 
 
-def nearest(positions: list[Position], at: int, reach: int) -> Position | None:
-    """The position nearest in time within the reach, the later one (then the later message) on a tie."""
-    near = [p for p in positions if abs(p.at - at) <= reach]
-    return min(near, key=lambda p: (abs(p.at - at), -p.at, -p.seq), default=None)
+def nearest(positions: list[Position], times: list[int], at: int, reach: int) -> Position | None:
+    """The position nearest in time within the reach, the later one (then the later message) on a tie.
+
+    Positions are in order of time and message; `times` are theirs.
+    """
+    after = bisect_right(times, at)
+    before = positions[after - 1] if after and at - times[after - 1] <= reach else None
+    if after < len(times) and times[after] - at <= (at - before.at if before else reach):
+        return positions[bisect_right(times, times[after], after) - 1]
+    return before
 
 
 class PositionBuffer(StatefulProcessor):
@@ -89,21 +105,21 @@ class PositionBuffer(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         positions, names, waiting = self._held()
-        last = max(positions, default=None)
-        came = [r for frame in rows for r in frame.itertuples(index=False)]
-        for row in sorted(came, key=lambda r: (_micros(r.time), r.seq)):
-            at, callsign = _micros(row.time), _plain(row.callsign)
-            if row.is_probe:
-                waiting.append(Probe(at, int(row.seq), callsign, bool(row.named)))
+        last = max(positions, key=itemgetter(0, 1), default=None)
+        heard: dict[int, int] = {}  # by appearance: the latest of its positions that came
+        for at, seq, _icao, callsign, *place, is_probe, named in _arrived(rows):
+            if is_probe:
+                waiting.append(Probe(at, int(seq), callsign, bool(named)))
                 continue
             since = at if last is None or at - last.at > 2 * self.reach else last.since
-            place = (_plain(v) for v in (row.altitude_m, row.latitude, row.longitude))
-            position = Position(at, int(row.seq), *place, since)
+            position = Position(at, int(seq), *place, since)
             positions.append(position)
-            last = position if last is None else max(last, position)
+            last = position if last is None or position[:2] > last[:2] else last
+            heard[since] = at
             if callsign and (callsign, since) not in names:
                 names[callsign, since] = Name(callsign, since, at, at)
-            names |= {k: n._replace(until=max(n.until, at)) for k, n in names.items() if n.since == since}
+        for k, n in names.items():
+            names[k] = n._replace(until=max(n.until, heard.get(n.since, n.until)))
         yield from self._settled(key, timerValues, positions, names, waiting)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -113,8 +129,10 @@ class PositionBuffer(StatefulProcessor):
         """Answer the probes whose window is over, drop what is old, and set the next timer."""
         now = timers.getCurrentWatermarkInMs() * 1000
         answers = []
-        for probe in sorted(p for p in waiting if p.at + self.reach <= now):
-            found = nearest(positions, probe.at, self.reach)
+        positions = sorted(positions, key=itemgetter(0, 1))
+        times = [p.at for p in positions]
+        for probe in sorted((p for p in waiting if p.at + self.reach <= now), key=itemgetter(0, 1)):
+            found = nearest(positions, times, probe.at, self.reach)
             if found and probe.named:
                 name = names.get((probe.callsign, found.since))
                 found = found if name and name.heard <= probe.at else None
@@ -122,7 +140,7 @@ class PositionBuffer(StatefulProcessor):
             gap = abs(found.at - probe.at) / 1e6 if found else None
             answers.append((probe.seq, pd.Timestamp(probe.at * 1000), key[0], probe.callsign, *place, gap))
         waiting = [p for p in waiting if p.at + self.reach > now]
-        positions = sorted(p for p in positions if p.at + 2 * self.reach > now)
+        positions = positions[bisect_right(times, now - 2 * self.reach) :]
         self._keep(self.positions, positions)
         self._keep(self.callsigns, sorted(n for n in names.values() if n.until + 2 * self.reach > now))
         self._keep(self.waiting, waiting)
@@ -156,14 +174,12 @@ class CallsignRouter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.aircraft.get()
         out = []
-        came = [r for frame in rows for r in frame.itertuples(index=False)]
-        for row in sorted(came, key=lambda r: (_micros(r.time), r.seq)):
-            at = _micros(row.time)
-            if row.is_probe:
+        for at, seq, heard_from, *_measures, is_probe, _named in _arrived(rows):
+            if is_probe:
                 icao = held[2] if held else f"?{key[0]}"
-                out.append((int(row.seq), row.time, icao, key[0], None, None, None, True))
-            elif held is None or (at, int(row.seq)) >= tuple(held[:2]):
-                held = (at, int(row.seq), row.icao)
+                out.append((int(seq), pd.Timestamp(at * 1000), icao, key[0], None, None, None, True))
+            elif held is None or (at, int(seq)) >= tuple(held[:2]):
+                held = (at, int(seq), heard_from)
         if held:
             self.aircraft.update(tuple(held))
             self.handle.registerTimer(held[0] // 1000 + self.ttl_ms)

@@ -1,5 +1,6 @@
 """The position history as keyed state: windows, ties, names and timers, without and with a stream."""
 
+import time
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -137,3 +138,16 @@ def test_a_stream_answers_by_address_and_by_callsign(spark):
     assert [r.seq for r in history.held_state(spark, mark, "positions").collect()] == [3]
     assert [r.icao for r in history.held_state(spark, mark, "aircraft").collect()] == ["A1"]
     assert [r.seq for r in history.held_state(spark, mark, "waiting").collect()] == [8]
+
+
+def test_a_busy_aircraft_takes_no_longer_for_each_row():
+    processor, _ = buffer(1000)
+    rows = [(n / 10, n, float(n), f"N{n % 100}") for n in range(10_000)] + [(n / 2 + 0.31, 20_000 + n, None, None) for n in range(2000)]
+    began = time.process_time()
+    feed(processor, rows, 0)
+    answers = tick(processor, 3000)
+    assert time.process_time() - began < 3
+    assert len(answers) == 2000
+    for seq, altitude in list(answers.items())[::50]:
+        asked = (seq - 20_000) / 2 + 0.31
+        assert altitude == min(range(10_000), key=lambda n: abs(n / 10 - asked))
