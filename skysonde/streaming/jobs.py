@@ -1,11 +1,16 @@
 """Streaming joins and the jobs that feed the stored tables."""
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from skysonde import settings as S
 from skysonde.functions.identifiers import normal_identifier
@@ -19,6 +24,37 @@ from skysonde.sources.tables import append_observations, read_observations
 from skysonde.streaming.ring import HistoryRing
 
 
+_PLACES = np.dtype([("at", "i8"), ("seq", "i8"), ("altitude_m", "f8"), ("latitude", "f8"), ("longitude", "f8")])
+_WAITING = "places binary, probes string"
+_NEAREST = "asked string, at long, altitude_m double, latitude double, longitude double, gap_s double"
+
+
+def _places(frame: pd.DataFrame) -> np.ndarray:
+    out = np.zeros(len(frame), _PLACES)
+    for name in _PLACES.names:
+        out[name] = frame[name].to_numpy()
+    return out
+
+
+def _in_order(places: np.ndarray) -> np.ndarray:
+    """Places in order of time, of those at one instant the one of the last message."""
+    places = places[np.lexsort((places["seq"], places["at"]))]
+    return places[np.append(places["at"][1:] != places["at"][:-1], True)] if len(places) else places
+
+
+def _nearest_places(places: np.ndarray, at: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the place nearest to each instant, the later one on a tie, and its gap; -1 out of reach."""
+    far = np.iinfo(np.int64).max
+    after = np.searchsorted(places["at"], at, side="right")
+    # no place before the first, none after the last
+    edges = np.concatenate([[0], places["at"], [0]])
+    before_gap = np.where(after > 0, at - edges[after], far)
+    after_gap = np.where(after < len(places), edges[after + 1] - at, far)
+    gap = np.minimum(before_gap, after_gap)
+    chosen = np.where(after_gap <= before_gap, after, after - 1)
+    return np.where(gap <= reach, chosen, -1), gap
+
+
 def nearest_position_stream(
     probes: DataFrame,
     positions: DataFrame,
@@ -27,53 +63,66 @@ def nearest_position_stream(
 ) -> DataFrame:
     """Nearest position within `window_s` for each weather row of a stream.
 
-    The join key holds the aircraft and a time slot ten times as wide as the
+    State is keyed by the aircraft and a time slot ten times as wide as the
     window (positions are listed under every slot they can serve), so the state of
-    a busy aircraft is spread.  Both sides carry a watermark, so positions are kept
-    for the window and no longer.  Probes without a position in reach come out with
-    NULLs.  A result appears once the watermark has passed its probe; the newest probes
-    wait until more input arrives.
+    a busy aircraft is spread.  It holds the positions of two windows in order of time, one
+    per instant, and the probes that wait, so no pairs are built.  Both sides carry a
+    watermark; a probe is answered once that is a window past it, with NULLs if
+    no position is in reach.  The newest probes wait until more input arrives.
     """
+    reach = window_s * 1_000_000
+
     def slot(micros: Column) -> Column:
         return F.floor(micros / F.lit(window_s * SLICE_FACTOR * 1_000_000))
 
-    span = F.lit(window_s * 1_000_000)
-    at = F.unix_micros(F.col("time").cast("timestamp"))
-    left = probes.select(
-        "seq",
-        "icao",
-        normal_identifier(F.col("icao")).alias("_aircraft"),
-        F.col("time").cast("timestamp").alias("time"),
-        slot(at).alias("slot"),
-    )
-    right = positions.select(
-        normal_identifier(F.col("icao")).alias("_icao"),
-        F.col("time").cast("timestamp").alias("_time"),
-        "altitude_m",
-        "latitude",
-        "longitude",
-        F.explode(F.sequence(slot(at - span), slot(at + span))).alias("_slot"),
-    )
-    reach = F.expr(f"INTERVAL {window_s} SECONDS")
-    joined = left.withWatermark("time", lateness).join(
-        right.withWatermark("_time", lateness),
-        (F.col("_aircraft") == F.col("_icao"))
-        & (F.col("slot") == F.col("_slot"))
-        & (F.col("_time") >= F.col("time") - reach)
-        & (F.col("_time") <= F.col("time") + reach),
-        "left",
+    at = F.unix_micros("time")
+    aircraft = normal_identifier(F.col("icao")).alias("aircraft")
+    time = F.col("time").cast("timestamp").alias("time")
+    who = F.struct(probes["seq"], probes["icao"])
+    asked = probes.select(aircraft, time, F.to_json(who, {"ignoreNullFields": "false"}).alias("asked"))
+    last = F.col("seq").cast("long") if "seq" in positions.columns else F.lit(None).cast("long")
+    held = positions.select(
+        aircraft,
+        time,
+        F.coalesce(last, F.lit(-1)).alias("seq"),
+        *[F.col(c).cast("double").alias(c) for c in _PLACES.names[2:]],
+    ).withWatermark("time", lateness)
+    slots = F.sequence(slot(at - F.lit(reach)), slot(at + F.lit(reach)))
+    left = asked.withWatermark("time", lateness).select("*", F.explode(F.array(slot(at))).alias("slot"))
+    right = held.select("*", F.explode(F.when(F.col("aircraft").isNotNull(), slots)).alias("slot"))
+    rows = left.where("slot IS NOT NULL").unionByName(right, allowMissingColumns=True).withColumn("at", at)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (b"", "[]")
+        places, waiting = [np.frombuffer(held[0], _PLACES)], {tuple(p) for p in json.loads(held[1])}
+        for frame in () if state.hasTimedOut else frames:
+            asks = frame["asked"].notna()
+            waiting.update(zip(frame.loc[asks, "at"].tolist(), frame.loc[asks, "asked"].tolist()))
+            places.append(_places(frame[~asks]))
+        known, now = _in_order(np.concatenate(places)), state.getCurrentWatermarkMs() * 1000
+        due = sorted(p for p in waiting if p[0] + reach <= now)
+        left = sorted(p for p in waiting if p[0] + reach > now)
+        kept = known[known["at"] + 2 * reach > now]
+        if left or len(kept):
+            state.update((kept.tobytes(), json.dumps(left)))
+            end = left[0][0] + reach if left else int(kept["at"][-1]) + 2 * reach
+            state.setTimeoutTimestamp(max(-(-end // 1000), now // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if due:
+            found, gap = _nearest_places(known, np.array([p[0] for p in due], dtype="i8"), reach)
+            none = np.zeros(1, _PLACES)
+            chosen = np.append(known, none)[found]
+            answers = {"asked": [p[1] for p in due], "at": [p[0] for p in due]}
+            measures = {c: chosen[c] for c in _PLACES.names[2:]} | {"gap_s": gap / 1e6}
+            yield pd.DataFrame(answers | {c: np.where(found < 0, np.nan, v) for c, v in measures.items()})
+
+    nearest = rows.groupBy("aircraft", "slot").applyInPandasWithState(
+        step, _NEAREST, _WAITING, "append", GroupStateTimeout.EventTimeTimeout
     )
-    offset = F.unix_micros("_time") - F.unix_micros("time")
-    return (
-        joined.groupBy("seq", "icao", "time")
-        .agg(
-            F.min_by(
-                F.struct("altitude_m", "latitude", "longitude"),
-                F.struct(F.abs(offset).alias("gap"), (-offset).alias("later_first")),
-            ).alias("match"),
-            F.min(F.abs(offset)).alias("gap_micros"),
-        )
-        .select("seq", "icao", "time", "match.*", (F.col("gap_micros") / F.lit(1e6)).alias("gap_s"))
+    asker = F.from_json("asked", StructType([probes.schema["seq"], probes.schema["icao"]]))
+    return nearest.withColumns({"asked": asker, "time": F.timestamp_micros("at")}).select(
+        "asked.*", "time", *_PLACES.names[2:], "gap_s"
     )
 
 
