@@ -285,3 +285,19 @@ def test_numbering_and_latest_values_over_blocks(spark):
         latest = latest if mark is None else mark
         expected[i] = latest
     assert {r.id: r.mark for r in with_latest(rows, "mark", "v", "id").collect()} == expected
+
+
+def test_discrepancies_are_stored_compressed(spark):
+    import os
+
+    from skysonde.operators import compare
+    from skysonde.sources import exports
+
+    records = compare.comparison_records(bridge.observations(spark, SF))
+    pairs = compare.discrepancies(records, window_s=36_000)
+    path = fresh_folder(spark, "json")
+    exports.write_discrepancies_json(pairs, path)
+    files = [n for n in os.listdir(path) if n.startswith("part-")]
+    plain = exports.discrepancy_documents(pairs).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.sum("n")).first()[0]
+    assert files and all(n.endswith(".json.gz") for n in files)
+    assert sum(os.path.getsize(f"{path}/{n}") for n in files) < 0.5 * plain
