@@ -1,11 +1,13 @@
 """Keyed fragment state: register pairing and XID buffering on live streams.
 
 State is one small row per aircraft.  Within a micro-batch the rows of an
-aircraft are put in message order first; batches are bounded at the source.
+aircraft are put in message order first, as columns of plain numbers, and folded
+a few thousand at a time; batches are bounded at the source.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,10 @@ _COMPLETE = (
 _COMPLETE_NAMES = [part.strip().split()[0] for part in _COMPLETE.split(",")]
 
 
+#: Rows of an aircraft that are turned into Python objects at a time.
+FOLDED_ROWS = 10_000
+
+
 def _known(fragment: dict, *names: str) -> bool:
     return all(fragment[n] is not None for n in names)
 
@@ -49,27 +55,66 @@ def _value(value: object) -> object:
     return None if pd.isna(value) else value
 
 
+def _columns(frames: Iterable[pd.DataFrame], names: Iterable[str]) -> dict[str, np.ndarray]:
+    """Columns of all frames; equal texts are one object, and no frame is kept."""
+    texts: dict[str, str] = {}
+    parts: dict[str, list[np.ndarray]] = {n: [] for n in names}
+    for frame in frames:
+        for name, found in parts.items():
+            values = frame[name].to_numpy()
+            if values.dtype == object:
+                values = np.array([texts.setdefault(v, v) if isinstance(v, str) else v for v in values], dtype=object)
+            found.append(values)
+    return {n: np.concatenate(parts.pop(n)) for n in list(parts)}
+
+
+def _plain_columns(columns: dict[str, np.ndarray], names: list[str], order: np.ndarray) -> list[list]:
+    """Some rows of the columns as lists, with None for what is missing."""
+    out = []
+    for name in names:
+        values = pd.Series(columns[name][order])
+        out.append(values.astype(object).where(values.notna(), None).tolist())
+    return out
+
+
+def _folded(
+    frames: Iterable[pd.DataFrame], icao: str | None, fragment: dict, seen: int | None, ttl_s: int
+) -> Iterator[tuple[list[dict], dict, int | None]]:
+    """Complete fragments of so many rows of one aircraft at a time, with the fragment they leave."""
+    columns = _columns(frames, ["seq", "time", "at", *_FIELDS])
+    order = np.argsort(columns["seq"], kind="stable")
+    held = [fragment[n] for n in _FIELDS]
+    for first in range(0, len(order), FOLDED_ROWS):
+        part = order[first : first + FOLDED_ROWS]
+        out = []
+        lists = _plain_columns(columns, ["at", "seq", *_FIELDS], part)
+        for i, (at, seq, *fields) in enumerate(zip(*lists)):
+            at = int(at)
+            if seen is not None and at - seen > ttl_s * 1_000_000:
+                held = [None] * len(_FIELDS)
+            seen = at
+            held = [old if new is None else new for old, new in zip(held, fields)]
+            fragment = dict(zip(_FIELDS, held))
+            kind = _ready(fragment)
+            if kind is not None:
+                time = columns["time"][part[i]]
+                out.append({**fragment, "seq": seq, "time": time, "icao": icao, "data_source": kind})
+                held = [None] * len(_FIELDS)
+        yield out, dict(zip(_FIELDS, held)), seen
+
+
 def pair_fragments(
     rows: pd.DataFrame, fragment: dict, seen: int | None, ttl_s: int = S.FRAGMENT_TTL_S
 ) -> tuple[list[dict], dict, int | None]:
-    """Fold ordered rows of one aircraft into its fragment.
+    """Fold the rows of one aircraft, in message order, into its fragment.
 
     A fragment not touched for `ttl_s` is forgotten; a complete one is emitted
     and forgotten whole.
     """
     out = []
-    for row in rows.sort_values(["seq"]).to_dict("records"):
-        at = int(row["at"])
-        if seen is not None and at - seen > ttl_s * 1_000_000:
-            fragment = dict.fromkeys(_FIELDS)
-        seen = at
-        fragment = {
-            n: old if (new := _value(row[n])) is None else new for n, old in fragment.items()
-        }
-        kind = _ready(fragment)
-        if kind is not None:
-            out.append({**fragment, **{n: row[n] for n in ("seq", "time", "icao")}, "data_source": kind})
-            fragment = dict.fromkeys(_FIELDS)
+    icao = rows["icao"].iloc[0] if len(rows) else None
+    for found, fragment, seen in _folded([rows], icao, fragment, seen, ttl_s):
+        out += found
     return out, fragment, seen
 
 
@@ -126,13 +171,12 @@ def live_pairs(
             state.remove()
             return
         held = state.get if state.exists else (None,) * (len(_FIELDS) + 1)
-        found, fragment, seen = pair_fragments(
-            pd.concat(list(batches)), dict(zip(_FIELDS, held[1:])), held[0], ttl_s
-        )
+        fragment, seen = dict(zip(_FIELDS, held[1:])), held[0]
+        for found, fragment, seen in _folded(batches, key[0], fragment, seen, ttl_s):
+            if found:
+                yield pd.DataFrame(found)[_COMPLETE_NAMES]
         state.update((seen, *[fragment[n] for n in _FIELDS]))
         _forget_after(state, seen, ttl_s)
-        if found:
-            yield pd.DataFrame(found)[_COMPLETE_NAMES]
 
     return (
         fragment_updates(messages)
@@ -195,7 +239,9 @@ def join_fragments(
     takes it.  A held XID is dropped `evict_s` after it came.
     """
     out = []
-    for row in rows.sort_values(["at", "seq"]).to_dict("records"):
+    ordered = rows.sort_values(["at", "seq"])
+    parts = (ordered.iloc[n : n + FOLDED_ROWS] for n in range(0, len(ordered), FOLDED_ROWS))
+    for row in (row for part in parts for row in part.to_dict("records")):
         at = int(row["at"])
         if xid is not None and at - xid[0] > evict_s * 1_000_000:
             xid = None

@@ -1,10 +1,14 @@
 """Streams give what the batch operators give on the same input."""
 
 import os
+import tracemalloc
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from skysonde import bridge
+from skysonde import bridge, catalog
 from skysonde.operators import asof, grid
 from skysonde.sources import landing, messages, tables
 from skysonde.sources.storage import fresh_folder, shared_folder
@@ -193,3 +197,55 @@ def test_time_ties_in_a_merged_grid_go_to_the_higher_id(spark):
         tied = rows.withColumns({"obs_id": F.lit(number).cast("long"), "temperature": F.lit(temperature)})
         grid.merge_rows(tied, grid.HALF_HOUR_GRID, path)
     assert [r.temperature for r in grid.read_grid(spark, path).collect()] == [2.0]
+
+
+def test_a_busy_aircraft_holds_one_state_row_per_slot(spark):
+    """Positions and probes of two seconds of one aircraft: no pairs, and the last message wins an instant."""
+    rows = spark.range(600).withColumn("time", F.timestamp_millis(F.lit(1_704_067_200_000) + F.floor(F.col("id") / 2) * 5))
+    places = rows.select(
+        F.col("id").alias("seq"), "time", F.lit(" ab").alias("icao"), F.col("id").cast("double").alias("altitude_m"),
+        F.lit(35.0).alias("latitude"), F.lit(139.0).alias("longitude"),
+    )
+    asked = places.select((F.col("seq") + 10_000).alias("seq"), F.expr("time + INTERVAL 1 MILLISECOND").alias("time"), F.lit("Ab").alias("icao"))
+    late = F.expr("time + INTERVAL 1 DAY")
+    places = places.unionByName(places.limit(1).withColumns({"time": late, "icao": F.lit("zz")}))
+    asked = asked.unionByName(asked.limit(1).withColumns({"time": late, "icao": F.lit("zy")}))
+
+    def stream(path):
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    found = jobs.nearest_position_stream(stream(land(spark, asked)), stream(land(spark, places)), 60)
+    out = fresh_folder(spark, "out")
+    query = found.writeStream.option("checkpointLocation", fresh_folder(spark, "mark")).trigger(availableNow=True).format("parquet").start(out)
+    assert query.awaitTermination(90)
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
+    assert 0 < max(held) <= 6
+    got = {r.seq: (r.altitude_m, r.gap_s) for r in spark.read.parquet(out).collect()}
+    assert got == {10_000 + n: (float(n // 2 * 2 + 1), 0.001) for n in range(600)}
+
+
+def test_folding_a_busy_aircraft_keeps_few_rows_as_objects():
+    n = 60_000
+    names = [*fragments._FIELDS]
+    rows = pd.DataFrame({name: np.full(n, np.nan) for name in names}).assign(
+        callsign=None, seq=np.arange(n)[::-1], at=np.arange(n)[::-1], time=pd.Timestamp("2024-01-01"), icao="A", t44=1.5
+    )
+    tracemalloc.start()
+    out, left, seen = fragments.pair_fragments(rows, dict.fromkeys(names), None, 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (out, left["t44"], seen) == ([], 1.5, n - 1)
+    assert peak < 50e6
+
+
+def test_rows_that_land_in_turn_are_made_by_several_tasks(spark):
+    def marked(frames):
+        for frame in frames:
+            yield frame.assign(task=TaskContext.get().partitionId())
+
+    rows = spark.range(0, 3000, 1, 4).select("id", F.timestamp_seconds("id").alias("time"))
+    path = catalog._in_turn(spark, rows.mapInPandas(marked, "id long, time timestamp, task int"), "time", "turn")
+    got = spark.read.parquet(path)
+    assert got.select("id").distinct().count() == got.count() == 3000
+    assert got.select(F.input_file_name()).distinct().count() == 3
+    assert got.select("task").distinct().count() > 1
