@@ -4,8 +4,11 @@ from collections import deque
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from skysonde import catalog
+from skysonde.operators import detectors
 from skysonde.operators.detectors import Detector, Rule, outliers_in_arrival_order, outliers_in_order
 from skysonde.sources.storage import fresh_folder
 
@@ -109,3 +112,18 @@ def test_a_history_given_beforehand_is_learnt_and_not_judged(spark):
 def test_no_rows(spark):
     rows = frame(spark, {}).where("obs_id < 0")
     assert outliers_in_order(rows, rule=RULE).collect() == []
+
+
+def test_only_what_a_detector_reads_is_sorted(spark):
+    plan = catalog.QUERIES["a17_outliers_in_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "temperature" in plan and "wind_x" not in plan and "longitude" not in plan
+
+
+def test_a_micro_batch_is_held_packed(spark, monkeypatch):
+    rows = pd.DataFrame({"obs_id": range(5000), "method": [f"mode-{n}" for n in range(5000)]})
+    assert detectors._packed(rows).nbytes < 0.6 * rows.memory_usage(deep=True).sum()
+    seen = []
+    monkeypatch.setattr(catalog.detectors, "outliers_in_arrival_order", lambda stream, *_: seen.append(stream.columns) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        catalog.QUERIES["st5_refit_stream"](spark, "/root/testdata/sf0.001")
+    assert seen == [["obs_id", "time", "altitude", "temperature", "method"]]
