@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skysonde import bridge
 from skysonde import settings as S
+from skysonde.catalog import rounded
 from skysonde.operators import (
     compare, filters, grid, medians, outliers, profile, series, surface, winds,
 )
@@ -155,6 +156,59 @@ def test_discrepancies_meet_once_and_use_keys(spark):
     assert "NestedLoop" not in plan_of(one) and "Cartesian" not in plan_of(one)
 
 
+def dense_records(spark):
+    """Many records of one time and altitude step, with ids and times that repeat or are null."""
+    i = F.col("id")
+    seconds = F.when(i % 101 != 0, F.pmod(F.hash("id"), F.lit(3000)))
+    return spark.range(3000).select(
+        F.when(i % 50 != 0, i % 2500).alias("obs_id"),
+        (F.lit(T0) + F.make_dt_interval(secs=seconds)).cast("timestamp_ntz").alias("time"),
+        F.lit("FL1").alias("callsign"),
+        F.when(i % 31 != 0, (i % 200).cast("double")).alias("altitude"),
+        F.when(i % 7 != 0, (i % 40).cast("double")).alias("temperature"),
+        (i % 30).cast("double").alias("wind_speed"),
+        (i % 360).cast("double").alias("wind_angle"),
+        F.when(i % 3 == 0, "vdl2").otherwise("modes").alias("source"),
+    )
+
+
+def test_a_dense_step_is_spread_over_tasks(spark):
+    records = dense_records(spark)
+    whole = compare.discrepancies(records, window_s=3600)
+    spread = compare.discrepancies(records, window_s=3600, task_candidates=20_000)
+    assert whole.count() == spread.count() > 100_000
+    assert whole.exceptAll(spread).count() == 0
+    tasks = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 20 and max(tasks) < 0.15 * sum(tasks)
+
+
+def test_tasks_follow_the_candidates(spark):
+    records = spark.range(400).crossJoin(spark.range(1600).withColumnRenamed("id", "step")).select(
+        (F.col("step") * 400 + F.col("id")).alias("obs_id"),
+        (F.lit(T0) + F.make_dt_interval(hours=F.col("step").cast("int") * 3, secs=F.col("id"))).cast("timestamp_ntz").alias("time"),
+        F.lit("FL1").alias("callsign"), (F.col("id") % 50 + 1000).cast("double").alias("altitude"), F.lit(0.0).alias("temperature"),
+        F.lit(0.0).alias("wind_speed"), (F.col("id") % 2 * 90).cast("double").alias("wind_angle"),
+        F.when(F.col("id") % 2 == 0, "vdl2").otherwise("modes").alias("source"),
+    )
+    pairs = compare.discrepancies(records, window_s=3600)
+    tasks = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 1600 * 200 * 199 // 2
+    assert len(tasks) > 8
+
+
+def test_doubles_are_rounded_as_by_round(spark):
+    rng = np.random.default_rng(3)
+    ties = [k + h for k in range(-3, 4) for h in (0.0000005, 0.0000015, 0.1234565, 0.5, 1e-9 / 2, 3.5e-9)]
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, -1e-7, 1e-300, 1e300, -1e15, 999999.9999995, 1e6 + 0.1234565]
+    values = ties + odd + list(map(float, rng.uniform(-200, 200, 5000))) + [float(round(x, 7)) for x in rng.uniform(-9, 9, 5000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    for places in (6, 9):
+        plain = F.round("v", places) + F.lit(0.0)
+        kept = rows.select(rounded(F.col("v"), places).alias("got"), plain.alias("due"))
+        assert kept.where(~F.col("got").eqNullSafe(F.col("due"))).count() == 0
+        assert kept.where((F.col("got") == 0) & (F.col("got").cast("string") != "0.0")).count() == 0
+
+
 def affine_rows(spark, n=4000):
     rng = np.random.default_rng(5)
     t, a = rng.uniform(0, 86400e6, n).astype("int64"), rng.uniform(0, 13000, n)
