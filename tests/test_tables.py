@@ -355,3 +355,36 @@ def test_discrepancies_are_stored_compressed(spark):
     plain = exports.discrepancy_documents(pairs).select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.sum("n")).first()[0]
     assert files and all(n.endswith(".json.gz") for n in files)
     assert sum(os.path.getsize(f"{path}/{n}") for n in files) < 0.5 * plain
+
+
+def test_tiles_hold_the_same_pairs(spark):
+    records = dense_records(spark).where(F.col("altitude").isNull() | (F.col("altitude") < 40)).localCheckpoint()
+    whole = compare.discrepancies(records, window_s=3600)
+    for limits in ({"task_candidates": 4_000}, {"step_records": 100, "symmetric": True}):
+        plain = compare.discrepancies(records, window_s=3600, **limits)
+        tiled = compare.discrepancies(records, window_s=3600, tile=7, **limits)
+        assert tiled.columns == whole.columns and tiled.count() == plain.count() > 10_000
+        assert tiled.exceptAll(plain).count() == 0
+    assert compare.discrepancies(records.where("source = 'modes'"), window_s=3600, tile=7).count() == 0
+
+
+def test_documents_of_a_dense_hour_take_few_bytes(spark, tmp_path):
+    import glob
+    import os
+
+    from skysonde.catalog import QUERIES
+
+    rng = np.random.default_rng(7)
+    n = 5000
+    seconds, values = rng.uniform(0, 3600, n), rng.uniform(0, 100, n)
+    kinds = ("error", "signup", "view", "click", "purchase")
+    spark.createDataFrame(
+        [(i, T0 + timedelta(seconds=float(seconds[i])), i % 301, kinds[rng.integers(5)], float(values[i]), "{}") for i in range(n)],
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    stored = f"{spark.conf.get('spark.checkpoint.dir')}/skysonde-discrepancies-*"
+    before = set(glob.glob(stored))
+    rows = QUERIES["s6_discrepancy_json"](spark, str(tmp_path)).count()
+    (path,) = set(glob.glob(stored)) - before
+    size = sum(os.path.getsize(f) for f in glob.glob(f"{path}/part-*"))
+    assert rows > 100_000 and size / rows < 66
